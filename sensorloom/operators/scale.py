@@ -190,10 +190,10 @@ def quantiles(
     mark = F.xxhash64("_v")
     cuts = (
         counts.groupBy(*keys, F.pmod(mark, F.lit(splits)).alias("_s"))
-        .agg(F.min_by("_v", mark).alias("_v"))
+        .agg(F.min_by(F.struct("_v", "_n"), mark).alias("_pick"))
         .groupBy(*keys)
-        .agg(F.sort_array(F.collect_set("_v")).alias("_cuts"))
-    )
+        .agg(F.sort_array(F.collect_set("_pick._v")).alias("_cuts"))
+    )  # taking _v with _n keeps this branch's columns, so the counting shuffle is reused
     placed = counts.join(cuts, list(keys)).select(
         *keys, "_v", "_n", _bucket(F.col("_cuts"), F.col("_v"), splits).alias("_b")
     )

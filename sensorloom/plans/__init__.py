@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sensorloom.plans import registry
 
-FAMILIES = ("grids",)
+FAMILIES = ("grids", "charts", "quality")
 
 for _family in FAMILIES:
     importlib.import_module(f"sensorloom.plans.{_family}")

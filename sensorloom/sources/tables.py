@@ -38,6 +38,7 @@ def faulty_readings(spark: SparkSession, folder: str) -> DataFrame:
     value = (
         F.when(F.col("seq") % 101 == 0, F.lit(-9999.0))
         .when(F.col("seq") % 53 == 0, F.lit(-20.0))
+        .when(F.col("seq") % 59 == 0, F.lit(-40.0))
         .when(F.col("seq") % 61 == 0, F.lit(None))
         .otherwise(F.col("value"))
     )
