@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sensorloom.functions.stats import MAD_SCALE
-from sensorloom.operators.scale import framed, numbered, prefix, quantiles
+from sensorloom.operators.scale import above_low, framed, numbered, quantiles, runs
 
 
 def median_and_mad(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -26,13 +26,9 @@ def median_and_mad(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def segments(df: DataFrame, keys: Sequence[str], value: str, reset: int) -> DataFrame:
     """Real steps only, with the first step of their stretch since a gap of over ``reset`` steps."""
     real = df.where(F.col(value).isNotNull())
-    real = prefix(real, keys, "step", {"_prev": ("prev", F.col("step"))})
-    opens = F.when(
-        F.col("_prev").isNull() | (F.col("step") - F.col("_prev") > reset + 1), F.col("step")
-    )
-    return prefix(
-        real.withColumn("_opens", opens), keys, "step", {"segment": ("last", F.col("_opens"))}
-    ).drop("_opens", "_prev")
+    return runs(
+        real, keys, "step", lambda was, now: now - was > reset + 1, "_run", start="segment"
+    ).drop("_run")
 
 
 def cusum(df: DataFrame, keys: Sequence[str], z: str = "z", allowance: float = 0.5,
@@ -45,18 +41,11 @@ def cusum(df: DataFrame, keys: Sequence[str], z: str = "z", allowance: float = 0
         stretches = df.where(F.col(z).isNotNull()).withColumn("segment", F.lit(0).cast("bigint"))
     else:
         stretches = segments(df, keys, z, reset)
-    up, down = F.col(z) - allowance, -F.col(z) - allowance
-    inside = [*keys, "segment"]
-    out = prefix(stretches, inside, "step", {"_up": ("sum", up), "_down": ("sum", down)})
-    out = prefix(out, inside, "step", {
-        "_uplow": ("min", F.col("_up")), "_downlow": ("min", F.col("_down")),
-    })
-    zero = F.lit(0.0)
-    high = F.col("_up") - F.least(zero, F.col("_uplow"))
-    low = F.col("_down") - F.least(zero, F.col("_downlow"))
-    return out.withColumns({"high": high, "low": low, "cusum": F.greatest(high, low)}).drop(
-        "_up", "_down", "_uplow", "_downlow"
+    out = above_low(
+        stretches, [*keys, "segment"], "step",
+        {"high": F.col(z) - allowance, "low": -F.col(z) - allowance},
     )
+    return out.withColumn("cusum", F.greatest("high", "low"))
 
 
 def ewma(df: DataFrame, keys: Sequence[str], z: str = "z", lam: float = 0.2, reset: int | None = 8,

@@ -27,15 +27,16 @@ def level(df: DataFrame, keys: Sequence[str], width: int, min_real: float = 0.75
     A series no longer than the window has no level at all.
     """
     need = -int(-min_real * width // 1)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_steps"))
     out = framed(
         df, keys, "step",
         {
             "_middle": lambda w: F.percentile(value, 0.5).over(w.rowsBetween(-width, -1)),
             "_real": lambda w: F.count(value).over(w.rowsBetween(-width, -1)),
+            # over ``width`` rows around any row exactly when the series is longer than that
+            "_steps": lambda w: F.count(F.lit(1)).over(w.rowsBetween(-width, width)),
         },
-        before=width,
-    ).join(sizes, list(keys))
+        before=width, after=width,
+    )
     return out.withColumn(
         name, F.when((F.col("_steps") > width) & (F.col("_real") >= need), F.col("_middle"))
     ).drop("_middle", "_real", "_steps")
@@ -43,12 +44,14 @@ def level(df: DataFrame, keys: Sequence[str], width: int, min_real: float = 0.75
 
 def _spread_frame(df: DataFrame, keys: Sequence[str], width: int, value: str) -> DataFrame:
     """Trailing window's values, median and raw MAD. Needs the whole series as long as the window."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_steps"))
     out = framed(
         df, keys, "step",
-        {"_seen": lambda w: F.collect_list(value).over(w.rowsBetween(1 - width, 0))},
-        before=width,
-    ).join(sizes, list(keys))
+        {
+            "_seen": lambda w: F.collect_list(value).over(w.rowsBetween(1 - width, 0)),
+            "_steps": lambda w: F.count(F.lit(1)).over(w.rowsBetween(1 - width, width - 1)),
+        },
+        before=width, after=width,
+    )
     out = out.withColumn("_median", median_of(F.col("_seen")))
     apart = F.transform("_seen", lambda x: F.abs(x - F.col("_median")))
     return out.withColumn("_mad", median_of(apart))
@@ -100,8 +103,8 @@ def daily_profile(df: DataFrame, site_keys: Sequence[str], value: str, day: str,
     work; the rolling median over days then runs per (sensor, slot).
     """
     cells = df.groupBy(*site_keys, slot, day).agg(F.percentile(value, 0.5).alias("_cell"))
-    ends = df.groupBy(*site_keys).agg(F.min(day).alias("_first"), F.max(day).alias("_last"))
-    slots = df.select(*site_keys, slot).distinct()
+    ends = cells.groupBy(*site_keys).agg(F.min(day).alias("_first"), F.max(day).alias("_last"))
+    slots = cells.select(*site_keys, slot).distinct()
     calendar = slots.join(ends, list(site_keys)).select(
         *site_keys, slot, "_last", F.explode(F.sequence("_first", "_last")).alias(day)
     )

@@ -14,8 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sensorloom.functions import flags
 from sensorloom.functions.flags import FAIL, GOOD, MISSING, SUSPECT, UNKNOWN
 from sensorloom.operators import grid
-from sensorloom.operators.scale import framed, numbered, prefix, quantiles
-from sensorloom.session import checkpoint
+from sensorloom.operators.scale import framed, numbered, prefix, quantiles, runs
 
 MICROS = 1_000_000
 TICK = 1 << 20  # one series-specific window on the rescaled clock, exact for widths to 32,768
@@ -42,11 +41,10 @@ def rows_for(count: int, spacing_us: Column) -> Column:
 
 def run_lengths(df: DataFrame, keys: Sequence[str], tolerance: float = 0.0) -> DataFrame:
     """How many rows back each value has stayed within tolerance; a gap starts over."""
-    out = framed(df, keys, "n", {"_back": lambda w: F.lag("value").over(w)}, before=1)
-    same = F.coalesce(F.abs(F.col("value") - F.col("_back")) <= tolerance, F.lit(False))
-    out = out.withColumn("_starts", F.when(~same, F.col("n"))).drop("_back")
-    out = prefix(out, keys, "n", {"_start": ("last", F.col("_starts"))})
-    return out.withColumn("run_length", F.col("n") - F.col("_start")).drop("_start", "_starts")
+    out = runs(
+        df, keys, "n", lambda was, now: F.abs(now - was) > tolerance, "_run", also="value", start="_start"
+    )
+    return out.withColumn("run_length", F.col("n") - F.col("_start")).drop("_start", "_run")
 
 
 def flat_line(df: DataFrame, keys: Sequence[str], suspect: Column, fail: Column,
@@ -185,8 +183,7 @@ def screening_spine(readings: DataFrame, sensors: DataFrame, keys: Sequence[str]
                     default: int = STEP_SECONDS) -> DataFrame:
     """Readings and, for in-service sensors, one NULL row per expected step nothing fell in.
 
-    The step is the series' own cadence. The numbered result is read by every test, so it is
-    written once to the checkpoint folder.
+    The step is the series' own cadence. Every test reads the numbered result, so callers store it.
     """
     pace = grid.cadence(readings, keys, chunk_seconds, default)
     whole = readings.agg(F.min("us").alias("_lo"), F.max("us").alias("_hi"))
@@ -208,7 +205,7 @@ def screening_spine(readings: DataFrame, sensors: DataFrame, keys: Sequence[str]
         .select(*keys, "us", F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("double").alias("value"))
     )
     rows = readings.select(*keys, "us", "seq", "value").unionByName(empty)
-    return checkpoint(numbered(rows, keys, "us", "n", chunk_seconds * MICROS, ("seq",)))
+    return numbered(rows, keys, "us", "n", chunk_seconds * MICROS, ("seq",))
 
 
 def covers() -> Column:
@@ -256,10 +253,9 @@ TESTS = ("out_of_water", "gross_range", "sentinel", "flat_line", "attenuated_sig
          "rate_of_change", "staleness")
 
 
-def screen(readings: DataFrame, sensors: DataFrame, thresholds: DataFrame, keys: Sequence[str],
+def screen(spine: DataFrame, sensors: DataFrame, thresholds: DataFrame, keys: Sequence[str],
            now_us: int, earliest_us: int, chunk_seconds: int, probe: str | None = None) -> DataFrame:
     """The screened level: battery, missing steps, impossible dates, gaps, dry probes, install dates."""
-    spine = screening_spine(readings, sensors, keys, chunk_seconds)
     out = battery(spine, thresholds, keys, chunk_seconds)
     out = time_gap(out, keys, 2 * 3600 * MICROS, chunk_seconds * MICROS)
     date = F.when(F.col("value").isNull(), MISSING).otherwise(

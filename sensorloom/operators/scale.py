@@ -137,19 +137,99 @@ def numbered(
 def runs(
     df: DataFrame, keys: Sequence[str], order: str, breaks: Callable[[Column, Column], Column],
     name: str = "run", size: int = 2048, tie: Sequence[str] = (), also: str | None = None,
+    start: str | None = None,
 ) -> DataFrame:
-    """Number the stretches of rows between breaks, from 1.
+    """Number the stretches of rows between breaks, from 1; ``start`` names each row's stretch opening.
 
-    ``breaks(previous, current)`` compares ``also`` (default ``order``) on neighbouring rows; the
-    first row always opens a run.
+    ``breaks(previous, current)`` compares ``also`` (default ``order``) on neighbouring rows, and a
+    NULL answer breaks; the first row always opens a run. Breaks inside a chunk need only the chunk;
+    whether a chunk's first row opens one is settled on the chunk rows.
     """
-    what = F.col(also or order)
-    out = prefix(df, keys, order, {"_before": ("prev", F.struct(what.alias("v")))}, size, tie)
-    opened = F.when(
-        F.col("_before").isNull() | F.coalesce(breaks(F.col("_before")["v"], what), F.lit(True)), 1
-    ).otherwise(0)
-    out = out.withColumn("_open", opened.cast("bigint")).drop("_before")
-    return prefix(out, keys, order, {name: ("sum", F.col("_open"))}, size, tie).drop("_open")
+    what, place = F.col(also or order), F.struct(order, *tie)
+    w = Window.partitionBy(*keys, "_chunk").orderBy(order, *tie)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    across = Window.partitionBy(*keys).orderBy("_chunk")
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    cut = F.coalesce(breaks(F.col("_back.v"), what), F.lit(True))
+    local = (
+        df.withColumn("_chunk", F.floor(F.col(order) / F.lit(size)))
+        .withColumn("_back", F.lag(F.struct(what.alias("v"))).over(w))
+        .withColumn("_inner", F.when(F.col("_back").isNotNull() & cut, 1).otherwise(0).cast("bigint"))
+        .withColumns({
+            "_n": F.sum("_inner").over(upto),
+            "_s": F.last(F.when(F.col("_inner") == 1, F.col(order)), ignorenulls=True).over(upto),
+        })
+    )
+    joins = (
+        local.groupBy(*keys, "_chunk")
+        .agg(
+            F.min_by(F.struct(what.alias("v")), place).alias("_head"),
+            F.max_by(F.struct(what.alias("v")), place).alias("_tail"),
+            F.min(order).alias("_lead"),
+            F.sum("_inner").alias("_opened"),
+            F.max(F.when(F.col("_inner") == 1, F.col(order))).alias("_latest"),
+        )
+        .withColumn("_was", F.lag("_tail").over(across))
+        .withColumn(
+            "_first",
+            F.when(
+                F.col("_was").isNull()
+                | F.coalesce(breaks(F.col("_was.v"), F.col("_head.v")), F.lit(True)),
+                1,
+            ).otherwise(0).cast("bigint"),
+        )
+        .withColumn("_own", F.when(F.col("_first") == 1, F.col("_lead")))
+        .select(
+            *keys, "_chunk", "_first", "_own",
+            F.coalesce(F.sum(F.col("_first") + F.col("_opened")).over(earlier), F.lit(0)).alias("_runs"),
+            F.last(F.coalesce("_latest", "_own"), ignorenulls=True).over(earlier).alias("_from"),
+        )
+    )
+    out = local.join(joins, [*keys, "_chunk"]).withColumn(
+        name, F.col("_runs") + F.col("_first") + F.col("_n")
+    )
+    if start:
+        out = out.withColumn(start, F.coalesce("_s", "_own", "_from"))
+    return out.drop("_chunk", "_back", "_inner", "_n", "_s", "_first", "_own", "_runs", "_from")
+
+
+def above_low(
+    df: DataFrame, keys: Sequence[str], order: str, values: Mapping[str, Column], size: int = 2048
+) -> DataFrame:
+    """Each running sum's height above its lowest point so far, that point at most 0.
+
+    A sum clipped at zero on every step, in closed form. A chunk folds to its total and its lowest
+    running sum, which is all later chunks need of it.
+    """
+    w = Window.partitionBy(*keys, "_chunk").orderBy(order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = (
+        Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    local = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(size)))
+    local = local.withColumns({f"_c_{n}": F.sum(v).over(upto) for n, v in values.items()})
+    local = local.withColumns({f"_m_{n}": F.min(f"_c_{n}").over(upto) for n in values})
+    folds = [
+        part
+        for n, v in values.items()
+        for part in (F.sum(v).alias(f"_t_{n}"), F.min(f"_c_{n}").alias(f"_l_{n}"))
+    ]
+    chunks = local.groupBy(*keys, "_chunk").agg(*folds)
+    chunks = chunks.withColumns(
+        {f"_o_{n}": F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0.0)) for n in values}
+    )
+    chunks = chunks.select(
+        *keys, "_chunk",
+        *[f"_o_{n}" for n in values],
+        *[F.min(F.col(f"_o_{n}") + F.col(f"_l_{n}")).over(earlier).alias(f"_b_{n}") for n in values],
+    )
+    out = local.join(chunks, [*keys, "_chunk"])
+    heights = {
+        n: F.col(f"_o_{n}") + F.col(f"_c_{n}")
+        - F.least(F.lit(0.0), F.col(f"_b_{n}"), F.col(f"_o_{n}") + F.col(f"_m_{n}"))
+        for n in values
+    }
+    return out.select(*df.columns, *[h.alias(n) for n, h in heights.items()])
 
 
 def _bucket(cuts: Column, value: Column, width: int) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sensorloom.operators import grid
+from sensorloom.session import level as stored
 from sensorloom.sources import tables
 
 STEP = 7200
@@ -69,12 +70,12 @@ def readings(spark: SparkSession, sf: str) -> DataFrame:
 
 def series(spark: SparkSession, sf: str) -> DataFrame:
     """(site, variable, step, value) on the two-hour grid."""
-    return grid.on_grid(readings(spark, sf), KEYS, STEP)
+    return stored(spark, ("series", sf), lambda: grid.on_grid(readings(spark, sf), KEYS, STEP))
 
 
 def site_series(spark: SparkSession, sf: str) -> DataFrame:
     """(site, step, value) on the hourly grid."""
-    return grid.on_grid(readings(spark, sf), ["site"], HOUR)
+    return stored(spark, ("sites", sf), lambda: grid.on_grid(readings(spark, sf), ["site"], HOUR))
 
 
 def rain(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,7 +86,7 @@ def rain(spark: SparkSession, sf: str) -> DataFrame:
         "step",
         (F.greatest(F.col("value") - 55.0, F.lit(0.0)) / 10.0).alias("rain"),
     )
-    return grid.complete(binned, ["area"]).drop("area")
+    return stored(spark, ("rain", sf), lambda: grid.complete(binned, ["area"]).drop("area"))
 
 
 
@@ -185,61 +186,81 @@ mult AS (
 )
 
 
-def resid(spark: SparkSession, sf: str) -> DataFrame:
-    """The grid with level, daily profile and residual."""
+def leveled(spark: SparkSession, sf: str) -> DataFrame:
+    """The grid with each step's level, local day and slot, and the reading above its level."""
     from sensorloom.operators import frames
 
     local = F.col("step") * STEP - PST_SECONDS
-    leveled = (
-        frames.level(series(spark, sf), KEYS, LEVEL_STEPS)
+    return stored(
+        spark, ("leveled", sf),
+        lambda: frames.level(series(spark, sf), KEYS, LEVEL_STEPS)
         .withColumn("day", F.floor(local / 86400))
         .withColumn("slot", F.floor((local % 86400) / 900))
-        .withColumn("above", F.col("value") - F.col("level"))
-    )
-    profiles, _ = frames.daily_profile(leveled, KEYS, "above", "day", "slot")
-    return leveled.join(profiles, [*KEYS, "slot", "day"]).withColumn(
-        "resid", F.col("above") - F.col("profile")
+        .withColumn("above", F.col("value") - F.col("level")),
     )
 
 
+def resid(spark: SparkSession, sf: str) -> DataFrame:
+    """The grid with level, daily profile and residual."""
+    from sensorloom.operators import frames
+
+    def make() -> DataFrame:
+        profiles, _ = frames.daily_profile(leveled(spark, sf), KEYS, "above", "day", "slot")
+        return (
+            leveled(spark, sf).join(profiles, [*KEYS, "slot", "day"])
+            .select(*KEYS, "step", "value", "level", "profile",
+                    (F.col("above") - F.col("profile")).alias("resid"))
+        )
+
+    return stored(spark, ("resid", sf), make)
+
+
 def standardised(spark: SparkSession, sf: str) -> DataFrame:
     """Residuals with their sensor's spread and floor, and z."""
     from sensorloom.operators import charts
 
-    base = resid(spark, sf).select(*KEYS, "step", "value", "level", "profile", "resid")
-    spread = charts.median_and_mad(base, KEYS, "resid").select(
-        *KEYS, F.col("sigma").alias("spread")
-    )
-    finest = F.when(F.col("variable") == "temperature", 0.1).otherwise(1.0)
-    return (
-        base.join(spread, list(KEYS))
-        .withColumn("floor", F.greatest(finest, F.col("spread") * 0.1))
-        .withColumn("z", F.col("resid") / F.greatest("spread", "floor"))
-    )
+    def make() -> DataFrame:
+        spread = charts.median_and_mad(resid(spark, sf), KEYS, "resid").select(
+            *KEYS, F.col("sigma").alias("spread")
+        )
+        finest = F.when(F.col("variable") == "temperature", 0.1).otherwise(1.0)
+        return (
+            resid(spark, sf).join(spread, list(KEYS))
+            .withColumn("floor", F.greatest(finest, F.col("spread") * 0.1))
+            .withColumn("z", F.col("resid") / F.greatest("spread", "floor"))
+        )
+
+    return stored(spark, ("standardised", sf), make)
 
 
 def charted(spark: SparkSession, sf: str) -> DataFrame:
     """All three control statistics at every step."""
     from sensorloom.operators import charts, frames
 
-    z = standardised(spark, sf)
-    spikes = frames.hampel(z, KEYS, F.col("floor"), HAMPEL_STEPS, value="resid")
-    sums = charts.cusum(z.select(*KEYS, "step", "z"), KEYS)
-    averages = charts.ewma(z.select(*KEYS, "step", "z"), KEYS)
-    at = [*KEYS, "step"]
-    return (
-        spikes.select(*at, "value", "resid", "z", "hampel")
-        .join(sums.select(*at, "cusum"), at, "left")
-        .join(averages.select(*at, "ewma"), at, "left")
-    )
+    def make() -> DataFrame:
+        z = standardised(spark, sf)
+        spikes = frames.hampel(z, KEYS, F.col("floor"), HAMPEL_STEPS, value="resid")
+        sums = charts.cusum(z.select(*KEYS, "step", "z"), KEYS)
+        averages = charts.ewma(z.select(*KEYS, "step", "z"), KEYS)
+        at = [*KEYS, "step"]
+        return (
+            spikes.select(*at, "value", "resid", "z", "hampel")
+            .join(sums.select(*at, "cusum"), at, "left")
+            .join(averages.select(*at, "ewma"), at, "left")
+        )
+
+    return stored(spark, ("charted", sf), make)
 
 
 def wet(spark: SparkSession, sf: str) -> DataFrame:
     """The rain series with totals, dryness and every mode's multiplier."""
     from sensorloom.operators import rain as gate
 
-    out = gate.wetness(rain(spark, sf), STEP)
-    total, dry = F.col("total"), F.col("dry_hours")
-    return out.withColumns(
-        {f"{mode}_mode": gate.multiplier(mode, total, dry) for mode in ("step", "decay", "deployed")}
-    )
+    def make() -> DataFrame:
+        out = gate.wetness(rain(spark, sf), STEP)
+        total, dry = F.col("total"), F.col("dry_hours")
+        return out.withColumns({
+            f"{mode}_mode": gate.multiplier(mode, total, dry) for mode in ("step", "decay", "deployed")
+        })
+
+    return stored(spark, ("wet", sf), make)

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sensorloom.operators import charts, frames, grid, rain as gate
-from sensorloom.operators.scale import framed, prefix
+from sensorloom.operators.scale import framed
 from sensorloom.plans import base
 from sensorloom.plans.base import (
     CHARTS, EV, GRID, KEYS, PST_SECONDS, RAINM, RESID, SITEGRID, SPREAD, STEP, US, series,
 )
 from sensorloom.plans.registry import query, r6
+from sensorloom.session import level as stored
 
 AT = [*KEYS, "step"]
 
@@ -111,24 +112,14 @@ def e9_latest(spark, sf):
 WITH {RESID} SELECT site, variable, slot, day, r6(cell) AS cell FROM cells""")
 def d26(spark, sf):
     return (
-        _above(spark, sf)
+        base.leveled(spark, sf)
         .groupBy(*KEYS, "slot", "day")
         .agg(r6(F.percentile("above", 0.5)).alias("cell"))
     )
 
 
-def _above(spark, sf):
-    local = F.col("step") * STEP - PST_SECONDS
-    return (
-        frames.level(series(spark, sf), KEYS, base.LEVEL_STEPS)
-        .withColumn("day", F.floor(local / 86400))
-        .withColumn("slot", F.floor((local % 86400) / 900))
-        .withColumn("above", F.col("value") - F.col("level"))
-    )
-
-
 def _profiles(spark, sf):
-    return frames.daily_profile(_above(spark, sf), KEYS, "above", "day", "slot")
+    return frames.daily_profile(base.leveled(spark, sf), KEYS, "above", "day", "slot")
 
 
 @query("e10_x84", f"""
@@ -256,6 +247,10 @@ x AS (SELECT site, step, coalesce(r / sigma, 0) AS x FROM rm JOIN s USING (site)
 
 
 def _baseline(spark, sf):
+    return stored(spark, ("baseline", sf), lambda: _standardise(spark, sf))
+
+
+def _standardise(spark, sf):
     out = frames.trailing_median(base.site_series(spark, sf), ["site"], 8)
     out = out.withColumn("r", F.col("value") - F.col("median")).select("site", "step", "r")
     scale = charts.median_and_mad(out, ["site"], "r").select(
@@ -342,7 +337,9 @@ def j5(spark, sf):
 def scores(spark, sf):
     from sensorloom.operators.scoring import score_rows
 
-    return score_rows(base.charted(spark, sf), base.wet(spark, sf), KEYS)
+    return stored(
+        spark, ("scores", sf), lambda: score_rows(base.charted(spark, sf), base.wet(spark, sf), KEYS)
+    )
 
 
 @query("j6_score_rows", f"""

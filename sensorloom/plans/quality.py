@@ -10,6 +10,7 @@ from sensorloom.operators.scale import framed, numbered, prefix, runs
 from sensorloom.plans import base
 from sensorloom.plans.base import DAY_US, EV, FAULTY, HOUR, KEYS, START_US, STEP, US
 from sensorloom.plans.registry import query, r6
+from sensorloom.session import level as stored
 from sensorloom.sources import tables
 
 CHUNK = 4 * 86400
@@ -370,12 +371,18 @@ screened AS (
 
 
 def spine(spark, sf):
-    return quality.screening_spine(faulty(spark, sf), sensors(spark, sf), KEYS, CHUNK)
+    return stored(
+        spark, ("spine", sf),
+        lambda: quality.screening_spine(faulty(spark, sf), sensors(spark, sf), KEYS, CHUNK),
+    )
 
 
 def screened(spark, sf):
-    return quality.screen(
-        faulty(spark, sf), sensors(spark, sf), thresholds(spark, sf), KEYS, NOW_US, START_US, CHUNK
+    return stored(
+        spark, ("screened", sf),
+        lambda: quality.screen(
+            spine(spark, sf), sensors(spark, sf), thresholds(spark, sf), KEYS, NOW_US, START_US, CHUNK
+        ),
     )
 
 

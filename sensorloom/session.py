@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +39,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sensorloom-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+_LEVELS: dict[tuple, DataFrame] = {}
+
+
+def level(spark: SparkSession, name: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+    """A derived level (grid, residuals, flags, scores) written once per session and read by many.
+
+    Deep plans branch: a level read by four operators would otherwise be planned and run four times.
+    """
+    key = (spark.sparkContext.applicationId, *name)
+    if key not in _LEVELS:
+        _LEVELS[key] = checkpoint(make())
+    return _LEVELS[key]
+
+
+def forget_levels() -> None:
+    """Drop the handles, so that the next query builds its levels itself (the bench does this)."""
+    _LEVELS.clear()
