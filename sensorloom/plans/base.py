@@ -57,7 +57,7 @@ g AS (SELECT s.site, s.step, b.value FROM spine s LEFT JOIN bins b USING (site,
 )
 
 RAIN = f"""rainbins AS (
-  SELECT us // {STEP * US} AS step, greatest(avg(value) - 55.0, 0.0) / 10.0 AS rain
+  SELECT us // {STEP * US} AS step, greatest(avg(value) - 100.0, 0.0) / 10.0 AS rain
   FROM ev WHERE site = 'signup' GROUP BY ALL),
 rain AS (
   SELECT x.step, r.rain FROM (SELECT unnest(range(min(step), max(step) + 1)) AS step FROM rainbins) x
@@ -84,7 +84,7 @@ def rain(spark: SparkSession, sf: str) -> DataFrame:
     binned = grid.resample(mine, [], STEP, {"value": F.avg("value")}).select(
         F.lit("catchment").alias("area"),
         "step",
-        (F.greatest(F.col("value") - 55.0, F.lit(0.0)) / 10.0).alias("rain"),
+        (F.greatest(F.col("value") - 100.0, F.lit(0.0)) / 10.0).alias("rain"),
     )
     return stored(spark, ("rain", sf), lambda: grid.complete(binned, ["area"]).drop("area"))
 

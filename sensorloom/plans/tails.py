@@ -99,7 +99,7 @@ for _id, _name in (("j7", "excursion"), ("j8", "loo_channel"), ("j9", "reconstru
 
 NULLS = (
     CHANNELS
-    + """, long AS (SELECT site, variable, step, channel, score FROM ch
+    + """, long AS (SELECT site, variable, step, channel, round(score, 9) AS score FROM ch
    UNPIVOT (score FOR channel IN (excursion, loo_channel, reconstruction, dispersion))),
 first AS (SELECT min(step) + 240 AS cut FROM g),
 samples AS (SELECT channel, score FROM long, first WHERE step < cut),
@@ -120,7 +120,7 @@ pv AS (
 def long_channels(spark, sf):
     return channels(spark, sf).select(*AT, "excursion", "loo_channel", "reconstruction", "dispersion").unpivot(
         AT, ["excursion", "loo_channel", "reconstruction", "dispersion"], "channel", "score"
-    ).where("score IS NOT NULL")
+    ).where("score IS NOT NULL").withColumn("score", F.round("score", 9))
 
 
 def null_samples(spark, sf):
@@ -484,12 +484,12 @@ def d14(spark, sf):
 
 
 @query("d15_masked_mean", f"""
-WITH {GRID} SELECT step, r6(avg(CASE WHEN variable <> 'depth' THEN value END)) AS masked,
-  r6(coalesce(avg(CASE WHEN variable <> 'depth' THEN value END), avg(value))) AS pooled FROM g GROUP BY step""")
+WITH {GRID} SELECT step, round(avg(CASE WHEN variable <> 'depth' THEN value END), 9) AS masked,
+  round(coalesce(avg(CASE WHEN variable <> 'depth' THEN value END), avg(value)), 9) AS pooled FROM g GROUP BY step""")
 def d15(spark, sf):
     kept = F.avg(F.when(F.col("variable") != "depth", F.col("value")))
     return series(spark, sf).groupBy("step").agg(
-        r6(kept).alias("masked"), r6(F.coalesce(kept, F.avg("value"))).alias("pooled")
+        F.round(kept, 9).alias("masked"), F.round(F.coalesce(kept, F.avg("value")), 9).alias("pooled")
     )
 
 
@@ -576,7 +576,7 @@ def j15(spark, sf):
 WITH {NULLS}, {RAINM}, p AS (SELECT site, variable, step, max(CASE WHEN channel = 'loo_channel' THEN p END) AS p1,
    max(CASE WHEN channel = 'dispersion' THEN p END) AS p2 FROM pv GROUP BY ALL),
 b AS (SELECT c.site, c.variable, c.step, c.excursion AS score, coalesce(m.step_mode, 1.0)::DOUBLE AS m1, coalesce(m.decay_mode, 1.0) AS m2,
-   coalesce(p1 < 0.02, false) AS d1, coalesce(p2 < 0.02, false) AS d2 FROM ch c LEFT JOIN mult m ON m.step = c.step LEFT JOIN p USING (site, variable, step)),
+   coalesce(p1 < 0.02, false) AS d1, coalesce(p2 < 0.02, false) AS d2 FROM ch c LEFT JOIN mult m ON m.step = c.step LEFT JOIN p ON p.site = c.site AND p.variable = c.variable AND p.step = c.step),
 f AS (SELECT *, 1.5 * m1 * m2 AS line, coalesce(score > 1.5 * m1 * m2, false) AS fired FROM b)
 SELECT site, variable, step, r6(line) AS final_threshold, fired AS primary_fired,
   CASE WHEN fired OR d1 OR d2 THEN 'fired' WHEN score IS NULL THEN 'not_scorable' ELSE 'clear' END AS verdict,
