@@ -149,5 +149,5 @@ def evenly_spread(df: DataFrame, keys: Sequence[str], order: str, count: int, si
 def carried_then_backfilled(df: DataFrame, keys: Sequence[str], value: str, size: int = 2048) -> DataFrame:
     """Forward fill, then backward fill what the start left empty."""
     out = prefix(df, keys, "step", {"_f": ("last", F.col(value))}, size)
-    out = prefix(out, keys, "step", {"_b": ("last", F.col(value))}, size, reverse=True)
+    out = prefix(out, keys, "step", {"_b": ("last", F.col(value))}, size, reverse=True, source=df)
     return out.withColumn("filled", F.coalesce("_f", "_b")).drop("_f", "_b")

@@ -125,7 +125,7 @@ def fill_short_gaps(df: DataFrame, keys: Sequence[str], limit: int, chunk: int =
     """Linear interpolation inside gaps, at most ``limit`` rows from each gap's start."""
     known = F.when(F.col("value").isNotNull(), F.struct("step", "value"))
     out = prefix(df, keys, "step", {"_left": ("last", known)}, chunk)
-    out = prefix(out, keys, "step", {"_right": ("last", known)}, chunk, reverse=True)
+    out = prefix(out, keys, "step", {"_right": ("last", known)}, chunk, reverse=True, source=df)
     share = (F.col("step") - F.col("_left.step")) / (F.col("_right.step") - F.col("_left.step"))
     between = F.col("_left.value") + (F.col("_right.value") - F.col("_left.value")) * share
     filled = F.when(F.col("value").isNotNull(), F.col("value")).when(

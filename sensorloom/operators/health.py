@@ -100,7 +100,7 @@ def wasserstein(current: DataFrame, reference: DataFrame, keys: Sequence[str], v
     b = reference.groupBy(*keys, value).agg(F.lit(0).cast("bigint").alias("_a"), F.count(F.lit(1)).alias("_b"))
     merged = a.unionByName(b).groupBy(*keys, value).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
     ran = prefix(merged, keys, value, {"_ca": ("sum", F.col("_a")), "_cb": ("sum", F.col("_b"))}, width)
-    ran = prefix(ran, keys, value, {"_next": ("prev", F.col(value))}, width, reverse=True)
+    ran = prefix(ran, keys, value, {"_next": ("prev", F.col(value))}, width, reverse=True, source=merged)
     sizes = merged.groupBy(*keys).agg(F.sum("_a").alias("_na"), F.sum("_b").alias("_nb"))
     spread = reference.groupBy(*keys).agg(F.stddev_pop(value).alias("_sd"))
     gap = F.abs(F.col("_ca") / F.col("_na") - F.col("_cb") / F.col("_nb")) * (F.col("_next") - F.col(value))

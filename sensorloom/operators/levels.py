@@ -46,3 +46,20 @@ def review(screened: DataFrame, log: DataFrame, keys: Sequence[str], bucket_us:
     )
     out = present.withColumn("removed_by", cause)
     return out.withColumn("value", F.when(F.col("removed_by") == 0, F.col("value"))).drop("line")
+
+
+def in_force(rows: DataFrame, versions: DataFrame, at: str, applied: str, bucket: int) -> DataFrame:
+    """Adds the version applied last at each row's moment, the first version before any was."""
+    from pyspark.sql import Window
+
+    w = Window.orderBy(applied)  # one row per applied setting
+    ends = rows.agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+    spans = versions.select(
+        "*", F.lead(applied).over(w).alias("_next"), F.row_number().over(w).alias("_r")
+    ).crossJoin(ends)
+    start = F.when(F.col("_r") == 1, F.least("_lo", F.col(applied))).otherwise(F.col(applied))
+    spans = spans.select(
+        *[c for c in versions.columns if c != applied], start.alias("_from"),
+        F.coalesce("_next", F.greatest(F.col("_hi"), F.col(applied)) + 1).alias("_until"),
+    )
+    return period_join(rows, spans, [], at, "_from", "_until", bucket, closed_end=False).drop("_from", "_until")

@@ -39,17 +39,19 @@ def rows_for(count: int, spacing_us: Column) -> Column:
     return F.when(spacing_us > 0, F.greatest(rows, F.lit(1))).otherwise(F.lit(count)).cast("bigint")
 
 
-def run_lengths(df: DataFrame, keys: Sequence[str], tolerance: float = 0.0) -> DataFrame:
+def run_lengths(df: DataFrame, keys: Sequence[str], tolerance: float = 0.0,
+                source: DataFrame | None = None) -> DataFrame:
     """How many rows back each value has stayed within tolerance; a gap starts over."""
     out = runs(
-        df, keys, "n", lambda was, now: F.abs(now - was) > tolerance, "_run", also="value", start="_start"
+        df, keys, "n", lambda was, now: F.abs(now - was) > tolerance, "_run", also="value",
+        start="_start", source=source,
     )
     return out.withColumn("run_length", F.col("n") - F.col("_start")).drop("_start", "_run")
 
 
 def flat_line(df: DataFrame, keys: Sequence[str], suspect: Column, fail: Column,
-              tolerance: float = 0.0, name: str = "flat_line") -> DataFrame:
-    out = run_lengths(df, keys, tolerance)
+              tolerance: float = 0.0, name: str = "flat_line", source: DataFrame | None = None) -> DataFrame:
+    out = run_lengths(df, keys, tolerance, source)
     flag = (
         F.when(F.col("value").isNull(), MISSING)
         .when(F.col("run_length") >= fail, FAIL)
@@ -103,13 +105,13 @@ def spike(df: DataFrame, keys: Sequence[str], threshold: Column, fail: Column |
 
 
 def rate_of_change(df: DataFrame, keys: Sequence[str], width: Column, threshold: Column,
-                   span_seconds: int, name: str = "rate_of_change") -> DataFrame:
+                   span_seconds: int, name: str = "rate_of_change", source: DataFrame | None = None) -> DataFrame:
     """Change against the row one window earlier, the limit held to the same rate over other spans."""
-    out = df.withColumn("_w", width)
-    earlier = out.select(
-        *keys, (F.col("n") + F.col("_w")).alias("n"), F.col("value").alias("_v0"), F.col("us").alias("_t0")
+    out = df.withColumn("_at", F.col("n") - width)
+    earlier = (df if source is None else source).select(
+        *keys, F.col("n").alias("_at"), F.col("value").alias("_v0"), F.col("us").alias("_t0")
     )
-    out = out.join(earlier, [*keys, "n"], "left")
+    out = out.join(earlier, [*keys, "_at"], "left")
     span = span_seconds * MICROS
     apart = F.col("us") - F.col("_t0")
     limit = F.when(apart != span, threshold * apart / span).otherwise(threshold)
@@ -118,14 +120,13 @@ def rate_of_change(df: DataFrame, keys: Sequence[str], width: Column, threshold:
         .when(F.abs(F.col("value") - F.col("_v0")) > limit, SUSPECT)
         .otherwise(GOOD)
     )
-    return out.withColumn(name, flag).drop("_w", "_v0", "_t0")
+    return out.withColumn(name, flag).drop("_at", "_v0", "_t0")
 
 
 def staleness(df: DataFrame, keys: Sequence[str], max_gap_us: int, chunk_us: int,
-              name: str = "staleness") -> DataFrame:
-    out = prefix(
-        df, keys, "us", {"_seen": ("last", F.when(F.col("value").isNotNull(), F.col("us")))}, chunk_us, tie=("n",)
-    )
+              name: str = "staleness", source: DataFrame | None = None) -> DataFrame:
+    seen = F.when(F.col("value").isNotNull(), F.col("us"))
+    out = prefix(df, keys, "us", {"_seen": ("last", seen)}, chunk_us, tie=("n",), source=source)
     flag = (
         F.when(F.col("value").isNotNull(), GOOD)
         .when(F.col("_seen").isNull(), MISSING)
@@ -135,11 +136,13 @@ def staleness(df: DataFrame, keys: Sequence[str], max_gap_us: int, chunk_us: int
     return out.withColumn(name, flag).drop("_seen")
 
 
-def time_gap(df: DataFrame, keys: Sequence[str], max_gap_us: int, chunk_us: int, name: str = "time_gap") -> DataFrame:
+def time_gap(df: DataFrame, keys: Sequence[str], max_gap_us: int, chunk_us: int, name: str = "time_gap",
+             source: DataFrame | None = None) -> DataFrame:
     """The reading after a long gap; the first reading takes the second's flag."""
     here = F.when(F.col("value").isNotNull(), F.col("us"))
-    out = prefix(df, keys, "us", {"_p": ("before", here)}, chunk_us, tie=("n",))
-    out = prefix(out, keys, "us", {"_q": ("before", here)}, chunk_us, tie=("n",), reverse=True)
+    source = df if source is None else source
+    out = prefix(df, keys, "us", {"_p": ("before", here)}, chunk_us, tie=("n",), source=source)
+    out = prefix(out, keys, "us", {"_q": ("before", here)}, chunk_us, tie=("n",), reverse=True, source=source)
     gap = F.when(F.col("_p").isNotNull(), F.col("us") - F.col("_p")).otherwise(F.col("_q") - F.col("us"))
     flag = F.when(F.col("value").isNull(), MISSING).when(gap > max_gap_us, FAIL).otherwise(GOOD)
     return out.withColumn(name, flag).drop("_p", "_q")
@@ -239,13 +242,13 @@ def battery(spine: DataFrame, thresholds: DataFrame, keys: Sequence[str], chunk_
         "gross_range": F.when(near_zero & (ranged == SUSPECT), GOOD).otherwise(ranged),
         "sentinel": flags.sentinel(value),
     })
-    out = flat_line(out, keys, rows_for(flat[0], F.col("spacing")), rows_for(flat[1], F.col("spacing")))
+    out = flat_line(out, keys, rows_for(flat[0], F.col("spacing")), rows_for(flat[1], F.col("spacing")), source=spine)
     out = attenuated(out, keys, rows_for(window, F.col("spacing")), F.col("calm_std"))
     out = spike(out, keys, F.col("spike_over"))
     out = rate_of_change(
-        out, keys, rows_for(window, F.col("spacing")), F.col("change_over"), window * STEP_SECONDS
+        out, keys, rows_for(window, F.col("spacing")), F.col("change_over"), window * STEP_SECONDS, source=spine
     )
-    out = staleness(out, keys, int(stale_hours * 3600 * MICROS), chunk)
+    out = staleness(out, keys, int(stale_hours * 3600 * MICROS), chunk, source=spine)
     return out.withColumn("flag", flags.worst(*[F.col(t) for t in TESTS]))
 
 
@@ -257,7 +260,7 @@ def screen(spine: DataFrame, sensors: DataFrame, thresholds: DataFrame, keys: Se
            now_us: int, earliest_us: int, chunk_seconds: int, probe: str | None = None) -> DataFrame:
     """The screened level: battery, missing steps, impossible dates, gaps, dry probes, install dates."""
     out = battery(spine, thresholds, keys, chunk_seconds)
-    out = time_gap(out, keys, 2 * 3600 * MICROS, chunk_seconds * MICROS)
+    out = time_gap(out, keys, 2 * 3600 * MICROS, chunk_seconds * MICROS, source=spine)
     date = F.when(F.col("value").isNull(), MISSING).otherwise(
         flags.impossible_date(F.col("us"), F.lit(now_us), F.lit(earliest_us))
     )

@@ -67,12 +67,16 @@ def prefix(
     size: int = 2048,
     tie: Sequence[str] = (),
     reverse: bool = False,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Add columns running from the start of each series (from its end when ``reverse``).
 
     ``running`` maps a name to (kind, expression). Kinds: ``sum``, ``min``, ``max`` and ``last``
     (last non-null) include the current row; ``prev`` is the expression on the row before;
     ``before`` is the last non-null value strictly before the row.
+
+    The chunk rows come from ``source`` where given: the stored frame ``df`` grew from, with the same
+    rows. A chain of calls then reads the stored frame once per link and never reruns the chain.
     """
     out = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(size)))
     sort = [F.col(c).desc() if reverse else F.col(c) for c in (order, *tie)]
@@ -116,8 +120,10 @@ def prefix(
         else:
             raise ValueError(f"unknown running kind {kind!r}")
 
+    base = df if source is None else source
     chunks = (
-        out.groupBy(*keys, "_chunk")
+        base.withColumn("_chunk", F.floor(F.col(order) / F.lit(size)))
+        .groupBy(*keys, "_chunk")
         .agg(*[c.alias(n) for n, c in fold.items()])
         .select(*keys, "_chunk", *[c.alias(n) for n, c in carry.items()])
     )
@@ -137,7 +143,7 @@ def numbered(
 def runs(
     df: DataFrame, keys: Sequence[str], order: str, breaks: Callable[[Column, Column], Column],
     name: str = "run", size: int = 2048, tie: Sequence[str] = (), also: str | None = None,
-    start: str | None = None,
+    start: str | None = None, source: DataFrame | None = None,
 ) -> DataFrame:
     """Number the stretches of rows between breaks, from 1; ``start`` names each row's stretch opening.
 
@@ -151,17 +157,21 @@ def runs(
     across = Window.partitionBy(*keys).orderBy("_chunk")
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
     cut = F.coalesce(breaks(F.col("_back.v"), what), F.lit(True))
-    local = (
-        df.withColumn("_chunk", F.floor(F.col(order) / F.lit(size)))
-        .withColumn("_back", F.lag(F.struct(what.alias("v"))).over(w))
-        .withColumn("_inner", F.when(F.col("_back").isNotNull() & cut, 1).otherwise(0).cast("bigint"))
-        .withColumns({
-            "_n": F.sum("_inner").over(upto),
-            "_s": F.last(F.when(F.col("_inner") == 1, F.col(order)), ignorenulls=True).over(upto),
-        })
-    )
+
+
+    def opened(frame: DataFrame) -> DataFrame:
+        return (
+            frame.withColumn("_chunk", F.floor(F.col(order) / F.lit(size)))
+            .withColumn("_back", F.lag(F.struct(what.alias("v"))).over(w))
+            .withColumn("_inner", F.when(F.col("_back").isNotNull() & cut, 1).otherwise(0).cast("bigint"))
+        )
+
+    local = opened(df).withColumns({
+        "_n": F.sum("_inner").over(upto),
+        "_s": F.last(F.when(F.col("_inner") == 1, F.col(order)), ignorenulls=True).over(upto),
+    })
     joins = (
-        local.groupBy(*keys, "_chunk")
+        opened(df if source is None else source).groupBy(*keys, "_chunk")
         .agg(
             F.min_by(F.struct(what.alias("v")), place).alias("_head"),
             F.max_by(F.struct(what.alias("v")), place).alias("_tail"),

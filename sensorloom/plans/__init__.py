@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sensorloom.plans import registry
 
-FAMILIES = ("grids", "charts", "quality", "tails", "flow", "grading", "health")
+FAMILIES = ("grids", "charts", "quality", "tails", "flow", "grading", "health", "feeds")
 
 for _family in FAMILIES:
     importlib.import_module(f"sensorloom.plans.{_family}")
