@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sensorloom.plans import registry
 
-FAMILIES = ("grids", "charts", "quality", "tails", "flow", "grading", "health", "feeds")
+FAMILIES = ("grids", "charts", "quality", "tails", "flow", "grading", "health", "feeds", "lifecycle")
 
 for _family in FAMILIES:
     importlib.import_module(f"sensorloom.plans.{_family}")
@@ -23,4 +23,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return registry.QUERIES["d1_grid_resample"](spark, folder)
+    """Alerts from raw readings: grid, residuals, charts, rain-gated lines, noticed groups."""
+    return registry.QUERIES["d18_notice_groups"](spark, folder)

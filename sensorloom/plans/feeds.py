@@ -121,9 +121,9 @@ def a11(spark, sf):
     return files.to_long(wide, ["site", "step"], VARIABLES).withColumn("value", r6("value"))
 
 
-@query("a12_raw_to_wide", f"WITH {EV} SELECT us, {PIV} FROM ev WHERE site = 'view' GROUP BY us")
+@query("a12_raw_to_wide", f"WITH {EV} SELECT site, us, {PIV} FROM ev GROUP BY ALL")
 def a12(spark, sf):
-    return files.to_wide(base.readings(spark, sf).where("site = 'view'"), ["us"], VARIABLES, "variable")
+    return files.to_wide(base.readings(spark, sf), ["site", "us"], VARIABLES, "variable")
 
 
 @query("a13_wide_to_raw", """
