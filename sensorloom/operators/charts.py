@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sensorloom.functions.stats import MAD_SCALE
 from sensorloom.operators.scale import above_low, framed, numbered, quantiles, runs
+from sensorloom.session import checkpoint
 
 
 def median_and_mad(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Per key: the median and the scaled median absolute deviation."""
-    middle = quantiles(df, keys, value, {"median": 0.5})
+    middle = checkpoint(quantiles(df, keys, value, {"median": 0.5}))  # one row per key, read twice
     apart = df.join(middle, list(keys)).withColumn(
         "_apart", F.abs(F.col(value) - F.col("median"))
     )

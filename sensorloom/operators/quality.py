@@ -15,6 +15,7 @@ from sensorloom.functions import flags
 from sensorloom.functions.flags import FAIL, GOOD, MISSING, SUSPECT, UNKNOWN
 from sensorloom.operators import grid
 from sensorloom.operators.scale import framed, numbered, prefix, quantiles, runs
+from sensorloom.session import checkpoint
 
 MICROS = 1_000_000
 TICK = 1 << 20  # one series-specific window on the rescaled clock, exact for widths to 32,768
@@ -188,7 +189,7 @@ def screening_spine(readings: DataFrame, sensors: DataFrame, keys: Sequence[str]
 
     The step is the series' own cadence. Every test reads the numbered result, so callers store it.
     """
-    pace = grid.cadence(readings, keys, chunk_seconds, default)
+    pace = checkpoint(grid.cadence(readings, keys, chunk_seconds, default))  # one row per series
     whole = readings.agg(F.min("us").alias("_lo"), F.max("us").alias("_hi"))
     width = F.col("seconds") * MICROS
     ends = pace.crossJoin(whole).select(
@@ -230,7 +231,8 @@ def battery(spine: DataFrame, thresholds: DataFrame, keys: Sequence[str], chunk_
     calm_std, floor (true where the variable has an out-of-water floor).
     """
     chunk = chunk_seconds * MICROS
-    out = spine.join(spacing(spine, keys, chunk), list(keys), "left").join(thresholds, list(keys))
+    gaps = checkpoint(spacing(spine, keys, chunk))  # one row per series
+    out = spine.join(gaps, list(keys), "left").join(thresholds, list(keys))
     value = F.col("value")
     dry = F.when(F.col("has_floor"), flags.out_of_water(value, dry_floor, F.col("span_lo"))).otherwise(GOOD)
     ranged = flags.gross_range(

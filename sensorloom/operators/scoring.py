@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sensorloom.operators.charts import corroborated, siblings
 from sensorloom.operators.scale import quantiles
+from sensorloom.session import checkpoint
 
 RULES = (("hampel_spike", "spike", "hampel_base"), ("cusum_shift", "cusum", "cusum_base"),
          ("ewma_drift", "ewma", "ewma_base"))
@@ -28,7 +29,7 @@ def kind_lines(charted: DataFrame, kind: str = "variable", q: float = 0.98) -> D
 def spikes_with_lines(charted: DataFrame, keys: Sequence[str], lines: DataFrame | None = None) -> DataFrame:
     """The spike statistic kept only as far as the step before or a sibling sensor agrees."""
     site, variable = keys
-    out = charted.join(lines if lines is not None else kind_lines(charted, variable), variable)
+    out = charted.join(lines if lines is not None else checkpoint(kind_lines(charted, variable)), variable)
     out = out.withColumn("ratio", F.col("hampel") / F.col("hampel_base"))
     out = siblings(out, [site, "step"], variable, "ratio")
     out = corroborated(out, keys, "ratio", "siblings", "_agreed")
