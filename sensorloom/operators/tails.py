@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sensorloom.functions.stats import gpd_sf, threshold_for
 from sensorloom.operators.scale import prefix, quantiles, runs
+from sensorloom.session import checkpoint
 
 # The ladder of start percentiles and the least clusters a fit needs.
 LADDER = (98.0, 95.0, 90.0, 85.0, 80.0)
@@ -74,6 +75,7 @@ def fit_gpd(excess: DataFrame, keys: Sequence[str], y: str = "excess", rounds: i
     candidate's neighbours. The exponential limit wins where no candidate beats it. ``bounded`` also
     tries negative shapes (down to -1), whose tails end.
     """
+    excess = checkpoint(excess.select(*keys, y))  # read once per round
     basics = excess.groupBy(*keys).agg(
         F.count(y).alias("n"), F.avg(y).alias("_mean"), F.max(y).alias("_top")
     )
@@ -106,10 +108,10 @@ def fit_gpd(excess: DataFrame, keys: Sequence[str], y: str = "excess", rounds: i
             F.max(F.when(F.col("_i") < F.col("_best._i"), F.col("_s"))).alias("_na"),
             F.min(F.when(F.col("_i") > F.col("_best._i"), F.col("_s"))).alias("_nb"),
         )
-        best = basics.join(around, list(keys)).select(
+        best = checkpoint(basics.join(around, list(keys)).select(
             *keys, "n", "_mean", "_top", "_best",
             F.coalesce("_na", "_best._s").alias("_a"), F.coalesce("_nb", "_best._s").alias("_b"),
-        )
+        ))  # one row per key
     flat = -F.log("_mean") - 1.0
     exponential = flat >= F.col("_best._ll")
     return best.select(
@@ -121,7 +123,8 @@ def fit_gpd(excess: DataFrame, keys: Sequence[str], y: str = "excess", rounds: i
 
 def pot(scores: DataFrame, keys: Sequence[str], score: str, q: float = 1e-4, u: float = 0.98) -> DataFrame:
     """Peaks over threshold with its diagnostics and fallbacks, one row per key."""
-    marks = quantiles(scores, keys, score, {"u": u, "_q": 1.0 - q}, count="n")
+    scores = checkpoint(scores.select(*keys, score))
+    marks = checkpoint(quantiles(scores, keys, score, {"u": u, "_q": 1.0 - q}, count="n"))
     over = scores.join(marks.select(*keys, "u"), list(keys)).where(F.col(score) > F.col("u"))
     excess = over.select(*keys, (F.col(score) - F.col("u")).alias("excess"))
     fit = fit_gpd(excess, keys).withColumnRenamed("n", "n_u")
@@ -144,7 +147,7 @@ def pot(scores: DataFrame, keys: Sequence[str], score: str, q: float = 1e-4, u:
 
 def fit_null(samples: DataFrame, keys: Sequence[str], score: str, tail: float = 0.95) -> DataFrame:
     """One row per channel: n, and the tail's u, sigma, gamma, share where it can be fitted."""
-    marks = quantiles(samples, keys, score, {"u": tail}, count="n")
+    marks = checkpoint(quantiles(samples, keys, score, {"u": tail}, count="n"))
     over = samples.join(marks, list(keys)).where(F.col(score) > F.col("u"))
     excess = over.select(*keys, (F.col(score) - F.col("u")).alias("excess"))
     fit = fit_gpd(excess, keys).withColumnRenamed("n", "n_u")
