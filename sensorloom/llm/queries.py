@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sensorloom.llm import decontam, html, lines, packing, pii
+from sensorloom.llm import decontam, html, jaccard, lines, lm, packing, pii
 from sensorloom.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, folder, "documents"))
+
+
 def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -43,7 +47,11 @@ def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"))
 
 
+def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score(table(spark, folder, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op2_site_line_dedup, op3_best_fit_packing, op5_html_extraction, op7_quality_rules, op8_benchmark_decontamination, op9_pii,
+    op2_site_line_dedup, op3_best_fit_packing, op4_ngram_jaccard_join, op5_html_extraction, op7_quality_rules, op8_benchmark_decontamination, op9_pii, op10_lm_scoring,
 )}
 ORACLES: dict[str, str] = {}
