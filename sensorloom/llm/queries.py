@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sensorloom.llm import decontam, html, jaccard, lines, lm, packing, pii
+from sensorloom.llm import chat, decontam, html, jaccard, lines, lm, mil, packing, pii
 from sensorloom.llm.common import table
 
 
+def op1_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.link_calls(*chat.calls_of_turns(table(spark, folder, "conversations")), chat.TOOLS)
+
+
 def op2_site_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.drop_boilerplate(table(spark, folder, "documents")).select("doc_id", "source", "n_lines_dropped", "text")
 
@@ -25,6 +30,14 @@ def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    model = mil.train(docs, table(spark, folder, "labels").where(~held_out))
+    return mil.predict(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return lines.line_quality(table(spark, folder, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_words_left")
@@ -52,6 +65,6 @@ def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_site_line_dedup, op3_best_fit_packing, op4_ngram_jaccard_join, op5_html_extraction, op7_quality_rules, op8_benchmark_decontamination, op9_pii, op10_lm_scoring,
-)}
+    op1_chat_formatting, op2_site_line_dedup, op3_best_fit_packing, op4_ngram_jaccard_join, op5_html_extraction, op6_quality_classifier, op7_quality_rules, op8_benchmark_decontamination, op9_pii, op10_lm_scoring,
+)} | {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {}
