@@ -7,8 +7,8 @@ How a bin packing is planned depends only on how many pieces there are of each l
   its largest piece is fixed for good, as often as there are pieces for it, and the instance shrinks.
 * What is left goes by best fit, longest first, whole classes of equal sequences at a time.
 
-A piece finds its place by its rank among the pieces of its length. Ranks come from runs of about a
-thousand pieces, so a length that a third of all pieces share is spread over many tasks.
+A piece finds its place by its rank among the pieces of its length. Ranks come from runs of about
+256 pieces, so a length that a third of all pieces share is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -25,18 +25,21 @@ from pyspark.sql import DataFrame, Window, functions as F
 from sensorloom.llm.common import arrow_rows, encoded, slices, stored
 from sensorloom.llm.words import U, mix
 
-CAPACITY, RUN = 4096, 1024
+CAPACITY, RUN = 4096, 256
 _ENCODERS: dict = {}
 
 
 class Encoder:
     """Token ids of texts, as little-endian 32-bit bytes.
 
-    No token of this tokenizer spans white space, so texts are encoded word by word and words are remembered
-    (a bounded number of them).
+    No token of this tokenizer spans white space, nor a letter or digit and the punctuation after it, and it
+    lower-cases. So texts are encoded word by word, and words (without the punctuation at their end) are
+    remembered, a bounded number of them. Special tokens are found before lower-casing: a text that may hold
+    one keeps its case.
     """
 
     REMEMBERED, LONGEST = 400_000, 64
+    _TAIL = b".,;:!?*#$%&"
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -48,20 +51,27 @@ class Encoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         out = []
         for a, b in slices([len(t) for t in texts], 2_000_000):
-            words = [t.split() for t in texts[a:b]]
-            new = list(set().union(*words) - self.known.keys())
-            if len(self.known) + len(new) > self.REMEMBERED:
+            words = [(t if b"<|" in t else t.lower()).split() for t in texts[a:b]]
+            if len(self.known) > self.REMEMBERED:
                 self.known = {}
-                new = list(set().union(*words))
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            known = self.known
-            known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(new, found, strict=True))
+            known, new = self.known, set().union(*words)
+            new -= known.keys()
+            parts = {w: self._parts(w) for w in new}
+            missing = list({p for two in parts.values() for p in two} - known.keys())
+            found = self.tokenizer.encode_batch_fast([p.decode() for p in missing], add_special_tokens=False)
+            known.update((p, np.array(e.ids, dtype="<u4").tobytes()) for p, e in zip(missing, found, strict=True))
+            known.update((w, b"".join([known[p] for p in two])) for w, two in parts.items() if len(two) > 1)
             out += [b"".join(map(known.__getitem__, w)) for w in words]
-            for w in new:
+            for w in [*new, *missing]:
                 if len(w) > self.LONGEST:
-                    del known[w]
+                    known.pop(w, None)
         return out
 
+    def _parts(self, word: bytes) -> tuple[bytes, ...]:
+        """A word, or what comes before its last punctuation and that punctuation."""
+        body = word.rstrip(self._TAIL)
+        return (body, word[len(body):]) if 0 < len(body) < len(word) and body[-1:].isalnum() else (word,)
+
 
 def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:

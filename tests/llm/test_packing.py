@@ -98,6 +98,6 @@ def test_documents(documents, odd, empty):
 
 def test_words_give_the_tokenizers_ids():
     tokenizer = Tokenizer.from_file(PATH)
-    texts = ["It's THE <|endoftext|>end don't stop now İΣ é ́x  a<|startoftext|> b", "x\r\n\x0b\x0c\ty\x1cz\x85w", "'s 'Sſ 12a3 ab''ll", "﻿a ​b 日本 \U0001F600"]
+    texts = ["It's THE <|endoftext|>end don't stop now İΣ é ́x  a<|startoftext|> b", "x\r\n\x0b\x0c\ty\x1cz\x85w", "'s 'Sſ 12a3 ab''ll", "<|ENDOFTEXT|> The end. a<|b.", "The THE the, The. x... y?! d1, 1. é. e\u0301. I\u0307. I\u0307 don't. can't, #a. ##. a_. b'., It's*** %%%", "﻿a ​b 日本 \U0001F600"]
     for text, ids in zip(texts, packing.Encoder(PATH).encode([t.encode() for t in texts]), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
