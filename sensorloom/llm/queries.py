@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sensorloom.llm import chat, decontam, html, jaccard, lines, lm, mil, packing, pii
 from sensorloom.llm.common import table
+from sensorloom.llm.sql import ORACLES  # noqa: F401
 
 
 def op1_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,4 +68,3 @@ def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_chat_formatting, op2_site_line_dedup, op3_best_fit_packing, op4_ngram_jaccard_join, op5_html_extraction, op6_quality_classifier, op7_quality_rules, op8_benchmark_decontamination, op9_pii, op10_lm_scoring,
 )} | {"pipeline": corpus_pipeline.run}
-ORACLES: dict[str, str] = {}
