@@ -10,21 +10,18 @@ MAD_SCALE = 1.4826
 
 
 def chi2_sf_even(stat: Column, half: Column | int) -> Column:
-    """Chi-square survival for 2 * ``half`` degrees of freedom, in closed form."""
+    """Chi-square survival for 2 * ``half`` degrees of freedom.
+
+    It is the chance of fewer than ``half`` events of a Poisson variable with mean ``stat`` / 2, each term taken in
+    logs so that none is 0 times infinity.
+    """
     x = stat / 2.0
     half = F.lit(half) if isinstance(half, int) else half
-    poisson = F.aggregate(
-        F.when(half > 1, F.sequence(F.lit(1), (half - 1).cast("int"))).otherwise(
-            F.array().cast("array<int>")
-        ),
-        F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total")),
-        lambda acc, i: F.struct(
-            (acc["term"] * x / i).alias("term"),
-            (acc["total"] + acc["term"] * x / i).alias("total"),
-        ),
-        lambda acc: acc["total"],
-    )
-    return F.least(F.greatest(F.exp(-x) * poisson, F.lit(0.0)), F.lit(1.0))
+    places = F.sequence(F.lit(0), F.greatest(half, F.lit(1)).cast("int") - 1)
+    log_factorial = lambda i: F.aggregate(F.sequence(F.lit(0), i), F.lit(0.0), lambda a, j: a + F.when(j > 1, F.log(j.cast("double"))).otherwise(0.0))
+    terms = F.transform(places, lambda i: F.exp(i * F.log(x) - x - log_factorial(i)))
+    tail = F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)
+    return F.when(x <= 0, 1.0).otherwise(F.least(tail, F.lit(1.0)))
 
 
 def gpd_sf(x: Column, u: Column, sigma: Column, gamma: Column) -> Column:

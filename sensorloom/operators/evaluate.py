@@ -80,14 +80,17 @@ def false_alarms_per_week(grid: DataFrame, keys: Sequence[str], over: str, clean
 
 
 def range_scores(grid: DataFrame, keys: Sequence[str], labelled: str, detected: str) -> DataFrame:
-    """Range-based precision and recall: each range's covered share, averaged over ranges."""
+    """Range-based precision and recall: each range's covered share, averaged over ranges.
+
+    A key with only labels or only detections has one of the two, the other is NULL.
+    """
     def share(of: str, by: str, name: str) -> DataFrame:
         marked = runs(grid.where(of), keys, "step", lambda was, now: now - was > 1, "_r")
         per = marked.groupBy(*keys, "_r").agg(F.avg(F.col(by).cast("int")).alias("_s"))
         return per.groupBy(*keys).agg(F.avg("_s").alias(name))
 
     precision = share(detected, labelled, "range_precision")
-    return precision.join(share(labelled, detected, "range_recall"), list(keys), "inner")
+    return precision.join(share(labelled, detected, "range_recall"), list(keys), "full")
 
 
 def forecast_skill(rows: DataFrame, keys: Sequence[str], model: str, need: int = 200) -> DataFrame:

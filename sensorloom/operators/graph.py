@@ -18,7 +18,9 @@ def closure(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """
     weight = F.col("weight") if "weight" in edges.columns else F.lit(1.0)
     known = edges.select("src", "dst", F.lit(1).alias("hops"), weight.alias("weight"))
-    for k in range(max_rounds):
+    for k in range(max_rounds + 1):
+        if k == max_rounds:
+            raise ValueError(f"paths still grow after {max_rounds} doublings: the edges have a cycle")
         known = checkpoint(known)
         ends = known.where(F.col("hops") == 2**k).select(
             "src", F.col("dst").alias("mid"), F.col("hops").alias("h"), F.col("weight").alias("w")

@@ -18,12 +18,14 @@ from sensorloom.operators.scale import framed, numbered, prefix, quantiles, runs
 from sensorloom.session import checkpoint
 
 MICROS = 1_000_000
-TICK = 1 << 20  # one series-specific window on the rescaled clock, exact for widths to 32,768
+TICK = 1 << 30  # one series-specific window on the rescaled clock: widths to 2**25 rows, 2**33 windows in a series
 STEP_SECONDS = 900
 
 
 def row_clock(n: Column, width: Column) -> Column:
-    return F.floor(n * TICK / width)
+    """``n`` in units of a window's TICK-th part, in whole numbers throughout."""
+    whole = F.call_function("div", n, width)
+    return whole * TICK + F.call_function("div", (n - whole * width) * TICK, width)
 
 
 def spacing(df: DataFrame, keys: Sequence[str], chunk_us: int) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sensorloom.functions import clock
 from sensorloom.operators import grid
 from sensorloom.session import level as stored
 from sensorloom.sources import tables
@@ -93,7 +94,13 @@ def rain(spark: SparkSession, sf: str) -> DataFrame:
 
 LEVEL_STEPS, HAMPEL_STEPS = 12, 13
 RESOLUTION = {"conductivity": 1.0, "depth": 1.0, "temperature": 0.1}
-PST_SECONDS = 8 * 3600  # the given data lies in January, where the creek's clock is UTC-8
+
+
+def local_sql(seconds: str) -> str:
+    """Seconds of the creek's own clock, daylight saving included, of UTC epoch seconds."""
+    return f"epoch(timezone('America/Los_Angeles', to_timestamp({seconds})))::BIGINT"
+
+
 
 RESID = (
     GRID
@@ -105,8 +112,8 @@ RESID = (
 leveled AS (
   SELECT site, variable, step, value,
          CASE WHEN n > {LEVEL_STEPS} AND seen >= 9 THEN mid END AS level,
-         (step * {STEP} - {PST_SECONDS}) // 86400 AS day,
-         ((step * {STEP} - {PST_SECONDS}) % 86400) // 900 AS slot
+         {local_sql(f"step * {STEP}")} // 86400 AS day,
+         ({local_sql(f"step * {STEP}")} % 86400) // 900 AS slot
   FROM lv),
 cells AS (
   SELECT site, variable, slot, day, quantile_cont(value - level, 0.5) AS cell FROM leveled GROUP BY ALL),
@@ -190,12 +197,12 @@ def leveled(spark: SparkSession, sf: str) -> DataFrame:
     """The grid with each step's level, local day and slot, and the reading above its level."""
     from sensorloom.operators import frames
 
-    local = F.col("step") * STEP - PST_SECONDS
+    time = F.timestamp_seconds(F.col("step") * STEP)
     return stored(
         spark, ("leveled", sf),
         lambda: frames.level(series(spark, sf), KEYS, LEVEL_STEPS)
-        .withColumn("day", F.floor(local / 86400))
-        .withColumn("slot", F.floor((local % 86400) / 900))
+        .withColumn("day", clock.local_day(time))
+        .withColumn("slot", clock.slot_of(time))
         .withColumn("above", F.col("value") - F.col("level")),
     )
 

@@ -8,7 +8,7 @@ from sensorloom.operators import charts, frames, grid, rain as gate
 from sensorloom.operators.scale import framed
 from sensorloom.plans import base
 from sensorloom.plans.base import (
-    CHARTS, EV, GRID, KEYS, PST_SECONDS, RAINM, RESID, SITEGRID, SPREAD, STEP, US, series,
+    CHARTS, EV, GRID, KEYS, RAINM, RESID, SITEGRID, SPREAD, STEP, US, local_sql, series,
 )
 from sensorloom.plans.registry import query, r6
 from sensorloom.session import level as stored
@@ -177,8 +177,8 @@ def e22(spark, sf):
 
 
 @query("e25_local_slot", f"""
-WITH {EV} SELECT seq, site, (us // {US} - {PST_SECONDS}) // 86400 AS local_day,
-  ((us // {US} - {PST_SECONDS}) % 86400) // 900 AS slot FROM ev""")
+WITH {EV} SELECT seq, site, {local_sql(f"us // {US}")} // 86400 AS local_day,
+  ({local_sql(f"us // {US}")} % 86400) // 900 AS slot FROM ev""")
 def e25(spark, sf):
     from sensorloom.functions.clock import local_day, slot_of
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Window, functions as F
 
 from sensorloom.functions import clock
@@ -203,7 +204,7 @@ def b3(spark, sf):
     return load(spark, sf, "customer").select("c_custkey", F.regexp_replace(F.lower("c_name"), "[^a-z0-9]", "").alias("code"))
 
 
-@query("b7_feature_selection")
+@query("b7_feature_selection", "SELECT l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem")
 def b7(spark, sf):
     """Numeric columns that are no identifier, found from the schema."""
     lines = load(spark, sf, "lineitem")
@@ -235,14 +236,14 @@ def b9(spark, sf):
 
 
 @query("b10_leave_out_mask", f"""
-WITH {EV}, {RAIN}, {SPANSQL} SELECT seq, EXISTS (SELECT 1 FROM sp WHERE us >= a AND us < b) AND site = 'view' OR coalesce(rain, 0) > 0 AS left_out
-FROM ev LEFT JOIN rain ON us // {STEP * US} = step""")
+WITH {EV}, {base.RAINM}, {SPANSQL} SELECT seq, EXISTS (SELECT 1 FROM sp WHERE us >= a AND us < b) AND site = 'view' OR coalesce(deployed_mode, 1) > 1 AS left_out
+FROM ev LEFT JOIN mult ON us // {STEP * US} = step""")
 def b10(spark, sf):
     rows = base.readings(spark, sf).select("seq", "site", "us", grid.step_of("us", STEP).alias("step"))
     inside = period_join(rows.where("site = 'view'"), spans(spark), [], "us", "lo", "hi", DAY_US, closed_end=False)
     hit = inside.select("seq").distinct().withColumn("_h", F.lit(True))
-    out = rows.join(hit, "seq", "left").join(base.rain(spark, sf), "step", "left")
-    return out.select("seq", (F.col("_h").isNotNull() | (F.coalesce("rain", F.lit(0.0)) > 0)).alias("left_out"))
+    out = rows.join(hit, "seq", "left").join(base.wet(spark, sf).select("step", "deployed_mode"), "step", "left")
+    return out.select("seq", (F.col("_h").isNotNull() | (F.coalesce("deployed_mode", F.lit(1.0)) > 1)).alias("left_out"))
 
 
 @query("b12_bounded_lookup", f"""
@@ -486,17 +487,26 @@ def p3(spark, sf):
     return placed.join(sizes, list(KEYS)).select(*KEYS, "step", (F.col("i") < F.col("cut")).alias("train"))
 
 
-@query("p7_batch_model_scoring")
+@query("p7_batch_model_scoring", f"""
+WITH {GRID}, w AS (SELECT site, variable, step, count(*) OVER p AS n, value AS target,
+  sum(step_weight * coalesce(value, 0)) OVER p AS weighted, max(i) OVER p AS last FROM (SELECT *, i::DOUBLE AS step_weight FROM (
+    SELECT *, row_number() OVER (PARTITION BY site, variable ORDER BY step) AS i FROM g))
+  WINDOW p AS (PARTITION BY site, variable ORDER BY step ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)),
+t AS (SELECT site, variable, step, sum(coalesce(value, 0)) OVER (PARTITION BY site, variable ORDER BY step ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS total FROM g)
+SELECT site, variable, step, r6(target) AS target, r6((weighted - (last - 24) * total) / 300.0) AS pred FROM w JOIN t USING (site, variable, step) WHERE n = 24""")
 def p7(spark, sf):
-    """A user's model applied to windows in Arrow batches (here: the window mean)."""
+    """A user's model applied to windows, one array per Arrow batch: a linear model, nearer steps weigh more."""
+    weights = np.arange(1, 25) / 300.0
     windows = forecast.supervised(series(spark, sf), KEYS, 24)
 
     def score(batches):
         for pdf in batches:
-            pred = pdf["inputs"].map(lambda cells: sum(c["value"] for c in cells) / len(cells))
-            yield pdf[["site", "variable", "step", "target"]].assign(pred=pred)
+            if len(pdf):
+                yield pdf[["site", "variable", "step", "target"]].assign(pred=np.stack(pdf["inputs"]) @ weights)
 
-    return windows.mapInPandas(score, "site string, variable string, step bigint, target double, pred double")
+    values = windows.select(*KEYS, "step", "target", F.transform("inputs", lambda c: c["value"]).alias("inputs"))
+    out = values.mapInPandas(score, "site string, variable string, step bigint, target double, pred double")
+    return out.select(*KEYS, "step", r6("target").alias("target"), r6("pred").alias("pred"))
 
 
 @query("p8_hold_nodes_offline", f"""

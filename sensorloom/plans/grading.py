@@ -96,7 +96,7 @@ def m5(spark, sf):
     return evaluate.false_alarms_per_week(rows, ["site"], "over_line", "clean", HOUR, 2).withColumn("per_week", r6("per_week"))
 
 
-@query("m6_range_scores", f"WITH {CARD} SELECT site, r6(rp) AS range_precision, r6(rr) AS range_recall FROM rp JOIN rr USING (site)")
+@query("m6_range_scores", f"WITH {CARD} SELECT site, r6(rp) AS range_precision, r6(rr) AS range_recall FROM rp FULL JOIN rr USING (site)")
 def m6(spark, sf):
     out = evaluate.range_scores(marked(spark, sf), ["site"], "labelled", "over_line")
     return out.withColumns({c: r6(c) for c in ("range_precision", "range_recall")})

@@ -102,8 +102,9 @@ def c1(spark, sf):
     seen = readings(spark, sf)
     whole = seen.agg(
         F.min(grid.step_of("us", STEP)).alias("lo"), F.max(grid.step_of("us", STEP)).alias("hi")
-    ).select(F.explode(F.sequence("lo", "hi")).alias("step"))
-    ticks = seen.select(*KEYS).distinct().crossJoin(whole)
+    )
+    # a row of the two ends beside each series, then its steps
+    ticks = seen.select(*KEYS).distinct().crossJoin(F.broadcast(whole)).select(*KEYS, F.explode(F.sequence("lo", "hi")).alias("step"))
     out = grid.asof_backward(ticks, seen, KEYS, STEP)
     return out.withColumns({"value": r6("value"), "staleness": r6("staleness")})
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sensorloom.operators import frames, grid, health
 from sensorloom.operators.scale import numbered, quantiles, runs
 from sensorloom.plans import base
-from sensorloom.plans.base import CHARTS, DAY_US, EV, GRID, HOUR, KEYS, PST_SECONDS, START_US, STEP, US
+from sensorloom.plans.base import CHARTS, DAY_US, EV, GRID, HOUR, KEYS, START_US, STEP, US, local_sql
 from sensorloom.plans.charts import SCORES, scores
 from sensorloom.plans.quality import CHUNK, END_US, SCREENED, SENSORS, screened, sensors
 from sensorloom.plans.registry import query, r6
@@ -181,7 +181,7 @@ def d22(spark, sf):
 
 
 @query("d23_typical_day", f"""
-WITH {EV}, q AS (SELECT site, ((us // {US} - {PST_SECONDS}) % 86400) // 3600 AS hour, value FROM ev)
+WITH {EV}, q AS (SELECT site, ({local_sql(f"us // {US}")} % 86400) // 3600 AS hour, value FROM ev)
 SELECT s.site, h.hour, r6(quantile_cont(value, 0.25)) AS low, r6(quantile_cont(value, 0.5)) AS middle, r6(quantile_cont(value, 0.75)) AS high
 FROM (SELECT DISTINCT site FROM ev) s CROSS JOIN (SELECT unnest(range(24)) AS hour) h LEFT JOIN q ON q.site = s.site AND q.hour = h.hour GROUP BY ALL""")
 def d23(spark, sf):

@@ -209,59 +209,58 @@ def q21(spark, sf):
     )
 
 
-# Streams: the same data written as a few files in time order, read back one file per batch.
+# Streams: the given rows arrive in parts, in the order of their time, each part as many files as it has partitions.
 
 
-def feed(spark, sf):
-    """Readings as a stream source folder, then one far-off heartbeat that lets the last windows close."""
-    def make(path):
-        rows = base.readings(spark, sf)
-        for i in range(3):
-            lo, hi = START_US + 10 * i * DAY_US, START_US + 10 * (i + 1) * DAY_US
-            rows.where((F.col("us") >= lo) & ((F.col("us") < hi) | F.lit(i == 2))).coalesce(1).write.mode("append").parquet(path)
-        beat = rows.limit(1).select(
-            F.lit("heartbeat").alias("site"), "variable", F.timestamp_micros(F.lit(END_US + 30 * DAY_US)).alias("time"),
-            F.lit(END_US + 30 * DAY_US).cast("bigint").alias("us"), F.lit(-1).cast("bigint").alias("seq"), F.lit(0.0).alias("value"),
-        )
-        beat.coalesce(1).write.mode("append").parquet(path)
-        return path
-
-    return make(scratch(spark))
+def in_parts(df, at, parts=3):
+    """A frame cut into ``parts`` by equal stretches of ``at``, whatever the data's extent."""
+    ends = df.agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+    placed = df.crossJoin(F.broadcast(ends)).withColumn(
+        "_part", F.least(F.floor((F.col(at) - F.col("_lo")) * parts / (F.col("_hi") - F.col("_lo") + 1)), F.lit(parts - 1))
+    ).drop("_lo", "_hi")
+    return [placed.where(F.col("_part") == i).drop("_part") for i in range(parts)]
 
 
-def live(spark, sf):
-    return jobs.stream(spark, feed(spark, sf), base.readings(spark, sf).schema)
+def feed(spark, sf):
+    """All readings in parts, then one heartbeat far behind the newest that lets the last windows close."""
+    rows = base.readings(spark, sf)
+    far = F.max("us") + 60 * DAY_US
+    beat = rows.agg(far.cast("bigint").alias("us")).where("us IS NOT NULL").select(
+        F.lit("heartbeat").alias("site"), F.lit("none").alias("variable"), F.timestamp_micros("us").alias("time"), "us",
+        F.lit(-1).cast("bigint").alias("seq"), F.lit(0.0).alias("value"),
+    )
+    return [*in_parts(rows, "us"), beat]
 
 
 @query("q4_stream_tumbling", f"""
 WITH {EV} SELECT site, us // {2 * HOUR * US} * 7200 AS second, count(*) AS readings, max(value) AS top FROM ev GROUP BY ALL""")
 def q4(spark, sf):
-    return jobs.run_now(jobs.tumbling(live(spark, sf), ["site"], "2 hours"), "append", scratch(spark)).where("site <> 'heartbeat'")
+    return jobs.replay(feed(spark, sf), lambda rows: jobs.tumbling(rows, ["site"], "2 hours")).where("site <> 'heartbeat'")
 
 
 @query("q5_stream_sliding", f"""
 WITH {EV} SELECT site, (us // {2 * HOUR * US} - k) * 7200 AS second, count(*) AS readings, max(value) AS top FROM ev, range(6) t(k) GROUP BY ALL""")
 def q5(spark, sf):
-    return jobs.run_now(jobs.sliding(live(spark, sf), ["site"], "12 hours", "2 hours"), "append", scratch(spark)).where("site <> 'heartbeat'")
+    return jobs.replay(feed(spark, sf), lambda rows: jobs.sliding(rows, ["site"], "12 hours", "2 hours")).where("site <> 'heartbeat'")
 
 
 @query("q6_stream_sessions", f"""
 WITH {EV}, h AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY site ORDER BY us, seq) <= {4 * HOUR * US} THEN 0 ELSE 1 END AS o FROM ev WHERE value > 120),
 k AS (SELECT *, sum(o) OVER (PARTITION BY site ORDER BY us, seq) AS k FROM h) SELECT site, min(us) // {US} AS second, count(*) AS steps, max(value) AS peak FROM k GROUP BY site, k""")
 def q6_stream(spark, sf):
-    hits = live(spark, sf).where("value > 120 OR site = 'heartbeat'")
-    return jobs.run_now(jobs.sessions(hits, ["site"], "4 hours"), "append", scratch(spark)).where("site <> 'heartbeat'")
+    hits = "value > 120 OR site = 'heartbeat'"
+    return jobs.replay(feed(spark, sf), lambda rows: jobs.sessions(rows.where(hits), ["site"], "4 hours")).where("site <> 'heartbeat'")
 
 
 @query("q1_stream_ingest", f"""
 WITH {EV} SELECT site, variable, count(*) + count_if(seq % 7 = 0) AS versions, r6(sum(CASE WHEN seq % 7 = 0 THEN value + 1 ELSE value END)) AS total FROM ev GROUP BY ALL""")
 def q1(spark, sf):
-    """Two fetches of everything in three batches: only new and changed readings are appended."""
-    path, table = scratch(spark), scratch(spark)
+    """Both fetches of everything, mixed over the batches: only new and changed readings are appended."""
+    path, table, mark = scratch(spark), scratch(spark), scratch(spark)
     rows = tables.versions(spark, sf).withColumn("day", F.floor(F.col("us") / DAY_US))
-    for lag in (60, 3660):
-        rows.where(F.col("fetched") - F.col("us") == lag * US).coalesce(1).write.mode("append").parquet(path)
-    jobs.ingest(jobs.stream(spark, path, rows.schema), table, [*KEYS, "us"])
+    for part in in_parts(rows, "fetched"):
+        part.write.mode("append").parquet(path)
+        jobs.ingest(jobs.stream(spark, path, rows.schema), table, [*KEYS, "us"], mark=mark)
     raw = spark.read.parquet(table)
     newest = sinks.current(raw, [*KEYS, "us"]).groupBy(*KEYS).agg(r6(F.sum("value")).alias("total"))
     return raw.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("versions")).join(newest, list(KEYS))
@@ -271,60 +270,61 @@ def q1(spark, sf):
 WITH {COARSE}, o AS (SELECT *, CASE WHEN abs(value - lag(value) OVER {W}) <= 0 THEN NULL ELSE n END AS opens FROM s), r AS (SELECT *, n - max(opens) OVER {W} AS run FROM o)
 SELECT seq, CASE WHEN run >= 5 THEN 4 WHEN run >= 3 THEN 3 ELSE 1 END AS flag FROM r""")
 def q3(spark, sf):
-    path, raw, flagged = scratch(spark), scratch(spark), scratch(spark)
+    path, raw, flagged, mark = scratch(spark), scratch(spark), scratch(spark), scratch(spark)
     rows = base.readings(spark, sf).select(
         *KEYS, "us", "seq", (F.floor(F.col("value") / 40) * 40.0).alias("value"), F.floor(F.col("us") / DAY_US).alias("day")
     )
-    for i in range(3):
-        rows.where(F.floor((F.col("us") - START_US) / (10 * DAY_US)) == i).coalesce(1).write.mode("append").parquet(path)
 
     def flag(frame):
         placed = numbered(frame, KEYS, "us", "n", CHUNK * US, ("seq",))
-        return quality.flat_line(placed, KEYS, F.lit(3), F.lit(5), name="flag").select("seq", "flag", "day")
-
-    jobs.screen_incrementally(jobs.stream(spark, path, rows.schema), raw, flagged, flag, context_days=6)
+        return quality.flat_line(placed, KEYS, F.lit(3), F.lit(5), name="flag").select(*KEYS, "seq", "flag", "day")
+
+    def reach(frame, batch):
+        """The days from a batch's first to its last row, on to the next five rows, and back by five rows."""
+        span = batch.groupBy(*KEYS).agg(F.min("us").alias("a"), F.max("us").alias("b"))
+        near = frame.join(span, list(KEYS))
+        back = near.where("us < a").groupBy(*KEYS).agg(F.sort_array(F.collect_set("day"), False).alias("days"))
+        # five rows lie within the five nearest days that have any
+        on = near.where("us > b").groupBy(*KEYS).agg(F.sort_array(F.collect_set("day")).alias("days"))
+        first, last = F.floor(F.col("a") / DAY_US), F.floor(F.col("b") / DAY_US)
+        return span.join(back.select(*KEYS, F.array_min(F.slice("days", 1, 6)).alias("back")), list(KEYS), "left").join(
+            on.select(*KEYS, F.array_max(F.slice("days", 1, 6)).alias("on")), list(KEYS), "left").select(
+            *KEYS, first.alias("flag_from"), F.greatest(last, F.coalesce("on", last)).alias("flag_to"), F.least(first, F.coalesce("back", first)).alias("read_from"))
+
+    for part in in_parts(rows, "us"):
+        part.write.mode("append").parquet(path)
+        jobs.screen_incrementally(jobs.stream(spark, path, rows.schema), raw, flagged, flag, reach, KEYS, mark)
     return spark.read.parquet(flagged).select("seq", "flag")
 
 
-def split_stream(spark, df, at, parts=3):
-    """A frame written as ``parts`` files in order of ``at``, as a stream."""
-    path = scratch(spark)
-    ends = df.agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"))
-    placed = df.crossJoin(F.broadcast(ends)).withColumn(
-        "_part", F.least(F.floor((F.col(at) - F.col("_lo")) * parts / (F.col("_hi") - F.col("_lo") + 1)), F.lit(parts - 1))
-    ).drop("_lo", "_hi")
-    for i in range(parts):
-        placed.where(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(path)
-    return jobs.stream(spark, path, df.schema)
-
-
 @query("q7_stream_cusum_and_ewma", f"""
 WITH {CHARTS} SELECT site, variable, step, r6(cusum) AS cusum, r6(ewma) AS ewma FROM charts WHERE cusum IS NOT NULL""")
 def q7(spark, sf):
     rows = base.standardised(spark, sf).where("z IS NOT NULL").select(*KEYS, "step", "z")
-    out = jobs.stateful(split_stream(spark, rows, "step"), KEYS, jobs.Charts(), "site string, variable string, step bigint, cusum double, ewma double")
-    return jobs.run_now(out, "append", scratch(spark)).withColumns({c: r6(c) for c in ("cusum", "ewma")})
+    schema = "site string, variable string, step bigint, cusum double, ewma double"
+    return jobs.replay(in_parts(rows, "step"), lambda part: jobs.stateful(part, KEYS, jobs.Charts(), schema)).withColumns({c: r6(c) for c in ("cusum", "ewma")})
 
 
 @query("q8_stream_classification", f"WITH RECURSIVE {CLASSIFIED} SELECT * FROM cls")
 def q8_stream(spark, sf):
     rows = items(spark, sf).select(*RULE, "checked_at", "first_over")
     schema = "site string, variable string, rule string, checked_at bigint, first_over bigint, outcome string"
-    return jobs.run_now(jobs.stateful(split_stream(spark, rows, "checked_at"), RULE, jobs.Alerts(), schema), "append", scratch(spark))
+    return jobs.replay(in_parts(rows, "checked_at"), lambda part: jobs.stateful(part, RULE, jobs.Alerts(), schema))
 
 
 @query("q12_stream_cooldown", f"""
 WITH RECURSIVE {HELD} SELECT o.site, o.variable, o.rule, o.pos AS at_step, CASE WHEN f.pos IS NOT NULL THEN 'sent' ELSE 'held' END AS outcome FROM ov o LEFT JOIN fold f ON o.site = f.site AND o.variable = f.variable AND o.rule = f.rule AND o.pos = f.pos""")
 def q12_stream(spark, sf):
-    out = jobs.stateful(split_stream(spark, over_line(spark, sf), "at"), RULE, jobs.Cooldown(), "site string, variable string, rule string, at bigint, outcome string")
-    return jobs.run_now(out, "append", scratch(spark)).withColumnRenamed("at", "at_step")
+    schema = "site string, variable string, rule string, at bigint, outcome string"
+    out = jobs.replay(in_parts(over_line(spark, sf), "at"), lambda part: jobs.stateful(part, RULE, jobs.Cooldown(), schema))
+    return out.withColumnRenamed("at", "at_step")
 
 
 @query("a10_replay_source", f"WITH {EV} SELECT site, variable, count(*) AS readings, max(value) AS top FROM ev GROUP BY ALL")
 def a10(spark, sf):
     """A stored feed read to its end as a one-shot streaming query."""
-    rows = live(spark, sf).where("site <> 'heartbeat'").select(*KEYS, "value")
-    return jobs.run_now(rows, "append", scratch(spark)).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("readings"), F.max("value").alias("top"))
+    rows = jobs.replay(in_parts(base.readings(spark, sf), "us"), lambda part: part.select(*KEYS, "value"))
+    return rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("readings"), F.max("value").alias("top"))
 
 
 @query("u1_support_modules", f"""

@@ -97,12 +97,15 @@ for _id, _name in (("j7", "excursion"), ("j8", "loo_channel"), ("j9", "reconstru
         return channels(spark, sf).select(*AT, r6(_name).alias(_name))
 
 
+CLEANSTEPS = f"""{RAINM}, sp(a, b) AS (VALUES (0, 24), (60, 96)), zero AS (SELECT min(step) AS z0 FROM g),
+cl AS (SELECT g.site, g.variable, g.step, NOT EXISTS (SELECT 1 FROM sp, zero WHERE g.step >= z0 + a AND g.step < z0 + b)
+  AND coalesce(decay_mode, 1.0) <= 1.0 + 1e-9 AS clean, (g.step * {STEP} // 86400) % 2 = 0 AS fit
+  FROM g LEFT JOIN mult ON g.step = mult.step)"""
 NULLS = (
-    CHANNELS
+    f"{CHANNELS}, {CLEANSTEPS}"
     + """, long AS (SELECT site, variable, step, channel, round(score, 9) AS score FROM ch
    UNPIVOT (score FOR channel IN (excursion, loo_channel, reconstruction, dispersion))),
-first AS (SELECT min(step) + 240 AS cut FROM g),
-samples AS (SELECT channel, score FROM long, first WHERE step < cut),
+samples AS (SELECT channel, score FROM long JOIN cl USING (site, variable, step) WHERE clean AND fit),
 us AS (SELECT channel, count(*) AS n, quantile_cont(score, 0.95) AS u FROM samples GROUP BY channel),
 tl AS (SELECT channel, n, u, avg(score - u) AS sigma, count(*) / n AS tail_p FROM samples JOIN us USING (channel)
        WHERE score > u GROUP BY channel, n, u),
@@ -124,12 +127,12 @@ def long_channels(spark, sf):
 
 
 def null_samples(spark, sf):
-    cut = series(spark, sf).agg((F.min("step") + 240).alias("cut"))
-    return long_channels(spark, sf).crossJoin(F.broadcast(cut)).where("step < cut").select("channel", "score")
+    """Scores of all clean steps on the fit side of the split."""
+    return long_channels(spark, sf).join(fit_steps(spark, sf), AT, "left_semi").select("channel", "score")
 
 
 def pvals(spark, sf):
-    """P-values against the first twenty days, with exponential tails above the 95th percentile."""
+    """P-values against all clean fit-side steps, with exponential tails above the 95th percentile."""
     def make():
         samples = null_samples(spark, sf)
         marks = quantiles(samples, ["channel"], "score", {"u": 0.95}, count="n")
@@ -183,6 +186,11 @@ def long_stats(spark, sf):
     ).where("stat IS NOT NULL")
 
 
+def fit_stats(spark, sf):
+    """The control statistics of all clean steps on the fit side of the split."""
+    return long_stats(spark, sf).join(fit_steps(spark, sf), AT, "left_semi")
+
+
 @query("k1_clusters", f"""
 WITH {STATLONG}, h AS (SELECT *, CASE WHEN step - lag(step) OVER (PARTITION BY site, variable, rule ORDER BY step) <= 8
    THEN 0 ELSE 1 END AS opens FROM stat WHERE stat > 2.5),
@@ -194,7 +202,8 @@ def k1(spark, sf):
     return tails.clusters(hits, [*KEYS, "rule"], "stat").withColumn("peak", r6("peak"))
 
 
-LADDER = f"""{STATLONG}, lev(i, p) AS (VALUES (0, 98.0), (1, 95.0), (2, 90.0), (3, 85.0), (4, 80.0)),
+LADDER = f"""{CHARTS}, {CLEANSTEPS}, stat AS (SELECT s.* FROM (SELECT site, variable, step, rule, stat FROM charts
+  UNPIVOT (stat FOR rule IN (hampel, cusum, ewma))) s JOIN cl USING (site, variable, step) WHERE clean AND fit), lev(i, p) AS (VALUES (0, 98.0), (1, 95.0), (2, 90.0), (3, 85.0), (4, 80.0)),
 ts AS (SELECT variable, rule, i, p, count(stat) AS n, any_value(CASE i WHEN 0 THEN q98 WHEN 1 THEN q95 WHEN 2 THEN q90 WHEN 3 THEN q85 ELSE q80 END) AS t
   FROM stat JOIN (SELECT variable, rule, quantile_cont(stat, 0.98) AS q98, quantile_cont(stat, 0.95) AS q95,
     quantile_cont(stat, 0.90) AS q90, quantile_cont(stat, 0.85) AS q85, quantile_cont(stat, 0.80) AS q80 FROM stat GROUP BY ALL)
@@ -210,7 +219,7 @@ tail AS (SELECT ct.* FROM ct JOIN best USING (variable, rule, i))"""
 
 def pooled_ladder(spark, sf):
     """Tails shared by the sensors of a kind: clusters stay inside a sensor, levels are the kind's."""
-    pooled = long_stats(spark, sf)
+    pooled = fit_stats(spark, sf)
     levels = quantiles(pooled, ["variable", "rule"], "stat",
                        {f"_p{i}": p / 100.0 for i, p in enumerate(tails.LADDER)}, count="n")
     rows = F.array(*[
@@ -264,12 +273,12 @@ def k4(spark, sf):
 
 @query("k5_peaks_over_threshold")
 def k5(spark, sf):
-    return tails.pot(long_stats(spark, sf), ["variable", "rule"], "stat", 1e-3)
+    return tails.pot(fit_stats(spark, sf), ["variable", "rule"], "stat", 1e-3)
 
 
 @query("k7_own_or_pooled_tail")
 def k7(spark, sf):
-    own, excess = tails.ladder(long_stats(spark, sf), [*KEYS, "rule"], "stat", need=10)
+    own, excess = tails.ladder(fit_stats(spark, sf), [*KEYS, "rule"], "stat")
     excess = stored(spark, ("own_excess", sf), lambda: excess)
     fit = tails.fit_gpd(excess, [*KEYS, "rule"], bounded=True).select(*KEYS, "rule", "sigma", "gamma")
     mine = own.join(fit, [*KEYS, "rule"]).withColumn("pooled", F.lit(False))
@@ -362,10 +371,12 @@ def clean(spark, sf):
     return stored(spark, ("clean", sf), make)
 
 
-CLEAN = f"""{CHARTS}, {RAINM}, sp(a, b) AS (VALUES (0, 24), (60, 96)), zero AS (SELECT min(step) AS z0 FROM g),
-cl AS (SELECT g.site, g.variable, g.step, NOT EXISTS (SELECT 1 FROM sp, zero WHERE g.step >= z0 + a AND g.step < z0 + b)
-  AND coalesce(decay_mode, 1.0) <= 1.0 + 1e-9 AS clean, (g.step * {STEP} // 86400) % 2 = 0 AS fit
-  FROM g LEFT JOIN mult ON g.step = mult.step)"""
+def fit_steps(spark, sf):
+    """Clean steps of every other day, the side that calibration is fitted on."""
+    return clean(spark, sf).where(F.col("clean") & (F.floor(F.col("step") * STEP / 86400) % 2 == 0)).select(*AT)
+
+
+CLEAN = f"{CHARTS}, {CLEANSTEPS}"
 
 
 @query("k9_sensor_preparation", f"""
@@ -415,12 +426,9 @@ def k11(spark, sf):
 
 @query("k12_refit_null_and_line")
 def k12(spark, sf):
-    """Nulls and the alert line refitted on evenly spread fault-free anchors."""
-    from sensorloom.operators.frames import evenly_spread
-
+    """Nulls and the alert line refitted on all fault-free anchors."""
     usable = grid.all_usable(clean(spark, sf).withColumn("usable", F.col("clean")), KEYS, 4).where("whole")
-    anchors = evenly_spread(usable.select(*AT), KEYS, "step", 60)
-    fisher = tails.fisher(pvals(spark, sf), AT).join(anchors, AT)
+    fisher = tails.fisher(pvals(spark, sf), AT).join(usable.select(*AT), AT, "left_semi")
     return tails.pot(fisher.withColumn("model", F.lit("channels")), ["model"], "fisher", 1e-3)
 
 
@@ -573,7 +581,7 @@ def j15(spark, sf):
 
 
 @query("j20_support_stack", f"""
-WITH {NULLS}, {RAINM}, p AS (SELECT site, variable, step, max(CASE WHEN channel = 'loo_channel' THEN p END) AS p1,
+WITH {NULLS}, p AS (SELECT site, variable, step, max(CASE WHEN channel = 'loo_channel' THEN p END) AS p1,
    max(CASE WHEN channel = 'dispersion' THEN p END) AS p2 FROM pv GROUP BY ALL),
 b AS (SELECT c.site, c.variable, c.step, c.excursion AS score, coalesce(m.step_mode, 1.0)::DOUBLE AS m1, coalesce(m.decay_mode, 1.0) AS m2,
    coalesce(p1 < 0.02, false) AS d1, coalesce(p2 < 0.02, false) AS d2 FROM ch c LEFT JOIN mult m ON m.step = c.step LEFT JOIN p ON p.site = c.site AND p.variable = c.variable AND p.step = c.step),

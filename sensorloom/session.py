@@ -29,10 +29,12 @@ def local_session(app: str = "sensorloom", cores: str = "8") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a session without one (a test) gets its own."""
+    """The cluster's checkpoint folder, from spark.checkpoint.dir; only a one-machine session may do without."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sensorloom-checkpoint-"))
     return context.getCheckpointDir()
 

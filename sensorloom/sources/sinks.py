@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 def current(versions: DataFrame, keys: Sequence[str], stamp: str = "fetched") -> DataFrame:
@@ -23,6 +23,21 @@ def new_versions(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], st
     return joined.where(changed).select(*incoming.columns)
 
 
+def changed_versions(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], stamp: str = "fetched") -> DataFrame:
+    """Incoming versions that differ from the version fetched before them, stored or incoming.
+
+    Versions fetched at the same moment with the same value are one. Stored rows are never returned, so
+    handing in the same batch twice adds nothing the second time.
+    """
+    cells = [*keys, "value", stamp]
+    both = stored.select(*cells, F.lit(0).alias("_new"), F.lit(None).cast(incoming.select(F.struct("*")).schema[0].dataType).alias("_row")).unionByName(
+        incoming.select(*cells, F.lit(1).alias("_new"), F.struct("*").alias("_row")))
+    w = Window.partitionBy(*keys).orderBy(stamp, "_new", "value")
+    before = F.lag(F.struct("value")).over(w)
+    fresh = (F.col("_new") == 1) & (F.col("_before").isNull() | ~F.col("value").eqNullSafe(F.col("_before.value")))
+    return both.withColumn("_before", before).where(fresh).select("_row.*")
+
+
 def replace_days(df: DataFrame, path: str, day: str = "day") -> None:
     """Overwrite only the day partitions present in ``df``."""
     (

@@ -5,81 +5,104 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from sensorloom.session import scratch
+from sensorloom.session import checkpoint, scratch
 from sensorloom.sources import sinks
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
-    """A parquet folder as a stream, a few files at a time."""
+def stream(spark: SparkSession, path: str, schema, files_per_batch: int = 64) -> DataFrame:
+    """A parquet folder as a stream, some files at a time."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def run_now(df: DataFrame, mode: str, path: str) -> DataFrame:
-    """Run a streaming query over all there is into a parquet table, and return the table."""
+def run_now(df: DataFrame, mode: str, path: str, mark: str | None = None) -> DataFrame:
+    """Run a streaming query over all there is into a parquet table, and return the table.
+
+    With the checkpoint folder ``mark`` of an earlier run it goes on from there.
+    """
     spark = df.sparkSession
     query = (
         df.writeStream.outputMode(mode).format("parquet").option("path", path)
-        .option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start()
+        .option("checkpointLocation", mark or scratch(spark)).trigger(availableNow=True).start()
     )
     query.awaitTermination()
     return spark.read.schema(df.schema).parquet(path)
 
 
-def run_batches(df: DataFrame, each: Callable[[DataFrame, int], None]) -> None:
+def replay(parts: Sequence[DataFrame], build: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    """Let ``parts`` arrive one after the other in a folder and run the same streaming query after each.
+
+    A part may be any number of files; state and watermark go on from run to run.
+    """
+    spark = parts[0].sparkSession
+    folder, out, mark = scratch(spark), scratch(spark), scratch(spark)
+    for part in parts:
+        part.write.mode("append").parquet(folder)
+        table = run_now(build(stream(spark, folder, part.schema)), mode, out, mark)
+    return table
+
+
+def run_batches(df: DataFrame, each: Callable[[DataFrame, int], None], mark: str | None = None) -> None:
     query = (
-        df.writeStream.foreachBatch(each).option("checkpointLocation", scratch(df.sparkSession))
+        df.writeStream.foreachBatch(each).option("checkpointLocation", mark or scratch(df.sparkSession))
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
 
 
-def ingest(df: DataFrame, table: str, keys: Sequence[str], late: str = "30 days") -> None:
+def _stored(spark: SparkSession, schema, table: str) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(table)
+    except Exception as missing:  # the first batch finds no table
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def ingest(df: DataFrame, table: str, keys: Sequence[str], late: str = "30 days", mark: str | None = None) -> None:
     """Append only new or changed readings to the raw table, late ones up to ``late`` old.
 
-    A batch meets only the stored days it touches.
+    A batch may hold several versions of a reading: each that differs from the one fetched before it is kept,
+    however the files fell into batches. A batch meets only the stored days it touches, and a batch that is
+    run again finds its own rows and adds none.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.withColumn("_rank", F.row_number().over(_newest(keys))).where("_rank = 1").drop("_rank")
-        try:
-            stored = spark.read.schema(batch.schema).parquet(table)
-        except Exception as missing:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            stored = spark.createDataFrame([], batch.schema)
         touched = batch.select("day").distinct()
-        kept = sinks.new_versions(stored.join(touched, "day", "left_semi"), batch, keys)
-        sinks.append_days(kept, table)
-
-    run_batches(df.withWatermark("time", late), each)
-
-
-def _newest(keys: Sequence[str]):
-    from pyspark.sql import Window
+        stored = _stored(batch.sparkSession, batch.schema, table).join(touched, "day", "left_semi")
+        sinks.append_days(sinks.changed_versions(stored, batch, keys), table)
 
-    return Window.partitionBy(*keys).orderBy(F.desc("fetched"))
+    run_batches(df.withWatermark("time", late), each, mark)
 
 
-def screen_incrementally(df: DataFrame, raw: str, flags: str, flag: Callable[[DataFrame], DataFrame], context_days: int) -> None:
-    """Per batch: append the readings, re-flag only the days touched, with earlier days as context.
+def screen_incrementally(df: DataFrame, raw: str, flags: str, flag: Callable[[DataFrame], DataFrame],
+                         reach: Callable[[DataFrame, DataFrame], DataFrame], keys: Sequence[str], mark: str | None = None) -> None:
+    """Per batch: append the readings, re-flag only the series days they can change.
 
-    A new reading can change the flags of the day after it too, so that day is re-flagged as well.
+    ``reach`` gets all stored rows and the batch, and returns for each series the days to flag again
+    (``keys``, flag_from, flag_to) and the first day whose rows those flags depend on (read_from). It follows the
+    series' own rows, so a slow sensor reaches as far as its flags do. A batch run again replaces its own rows.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        sinks.append_days(batch, raw)
-        touched = batch.select(F.explode(F.sequence(F.col("day"), F.col("day") + 1)).alias("day")).distinct()
-        around = touched.select(F.explode(F.sequence(F.col("day") - context_days, F.col("day"))).alias("day")).distinct()
-        rows = spark.read.schema(batch.schema).parquet(raw).join(around, "day", "left_semi")
-        sinks.replace_days(flag(rows).join(touched, "day", "left_semi"), flags)
+        known = _stored(spark, batch.schema, raw)
+        sinks.append_days(batch.join(known.select("seq").distinct(), "seq", "left_anti"), raw)
+        rows = spark.read.schema(batch.schema).parquet(raw)
+        around = checkpoint(reach(rows, batch))
+        near = rows.join(around, list(keys)).where("day >= read_from")
+        fresh = flag(near.select(*rows.columns)).join(around, list(keys)).where("day BETWEEN flag_from AND flag_to")
+        days = fresh.select("day").distinct()
+        # a day's partition also holds other series' flags and days of this series that stay as they were
+        fresh = checkpoint(fresh.drop("flag_from", "flag_to", "read_from"))
+        old = _stored(spark, fresh.schema, flags).join(days, "day", "left_semi").join(fresh.select("seq"), "seq", "left_anti")
+        sinks.replace_days(checkpoint(old.unionByName(fresh)), flags)
 
-    run_batches(df, each)
+    run_batches(df, each, mark)
 
 
 def tumbling(df: DataFrame, keys: Sequence[str], width: str, late: str = "1 day") -> DataFrame:
@@ -102,29 +125,40 @@ def sessions(df: DataFrame, keys: Sequence[str], gap: str, late: str = "1 day")
 
 
 class Charts(StatefulProcessor):
-    """CUSUM and EWMA per key carried across batches, restarted after a long gap of steps."""
+    """CUSUM and EWMA of each key over all batches, in closed form from the state the last batch left.
+
+    With S the running sum of a stretch, the upper sum is S + max(start, -min S); a long gap of steps begins a new
+    stretch from zero. Steps must arrive in order from batch to batch; inside a batch they are sorted.
+    """
 
     allowance, lam, reset = 0.5, 0.2, 8
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("charts", "high double, low double, average double, step bigint")
+        self.carried = handle.getValueState("carried", "up double, down double, mean double, at bigint")
+
+    def _one_sided(self, push: np.ndarray, start: float) -> np.ndarray:
+        total = np.cumsum(push - self.allowance)
+        return total + np.maximum(start, -np.minimum.accumulate(total))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        high, low, average, last = self.state.get() if self.state.exists() else (0.0, 0.0, 0.0, None)
-        spread = math.sqrt(self.lam / (2.0 - self.lam))
-        batch = pd.concat(list(rows)).dropna(subset=["z"]).sort_values("step")
-        cusum, ewma = [], []
-        for step, z in zip(batch["step"], batch["z"], strict=True):
-            if last is not None and step - last > self.reset + 1:
-                high = low = average = 0.0
-            last = int(step)
-            high, low = max(0.0, high + z - self.allowance), max(0.0, low - z - self.allowance)
-            average = self.lam * z + (1.0 - self.lam) * average
-            cusum.append(max(high, low))
-            ewma.append(abs(average) / spread)
-        if last is not None:
-            self.state.update((high, low, average, last))
-        yield pd.DataFrame({"site": key[0], "variable": key[1], "step": batch["step"], "cusum": cusum, "ewma": ewma})
+        frame = pd.concat([f.dropna(subset=["z"]) for f in rows]).sort_values("step", ignore_index=True)
+        if frame.empty:
+            return
+        up, down, mean, at = self.carried.get() if self.carried.exists() else (0.0, 0.0, 0.0, None)
+        step, z = frame["step"].to_numpy(), frame["z"].to_numpy()
+        opens = np.diff(step, prepend=step[0] if at is None else at) > self.reset + 1
+        cusum, ewma = np.empty(len(z)), np.empty(len(z))
+        for part in np.split(np.arange(len(z)), np.flatnonzero(opens)):
+            if not len(part):
+                continue
+            if opens[part[0]]:
+                up = down = mean = 0.0
+            highs, lows = self._one_sided(z[part], up), self._one_sided(-z[part], down)
+            means = pd.Series(np.append(mean, z[part])).ewm(alpha=self.lam, adjust=False).mean().to_numpy()[1:]
+            cusum[part], ewma[part] = np.maximum(highs, lows), np.abs(means) / math.sqrt(self.lam / (2.0 - self.lam))
+            up, down, mean = float(highs[-1]), float(lows[-1]), float(means[-1])
+        self.carried.update((up, down, mean, int(step[-1])))
+        yield pd.DataFrame({"site": key[0], "variable": key[1], "step": step, "cusum": cusum, "ewma": ewma})
 
     def close(self) -> None:
         pass
