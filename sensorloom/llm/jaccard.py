@@ -4,31 +4,38 @@ Jaccard distance is a metric. Two unrelated texts are at distance 1 from each ot
 pivots drawn from the corpus alone would put nearly all of it into one region. The first regions are
 therefore those of one-shingle pivots: a set that lies within the radius of another shares one of the first
 ``n - ceil(0.8 n) + 1`` of its shingles with it, in any order that all sets use, so a document is
-replicated to those pivots. The order takes very frequent shingles last, which only saves work.
+replicated to those pivots. The order takes very frequent shingles last, which only saves work. A region is then
+cut by the sets' sizes, which differ by a fifth at most within the radius.
 
 Inside a region, document pivots are compared with all members. Members go to the Voronoi cell of their
 nearest pivot and, by the triangle inequality, to every cell whose pivot is at most twice the radius
 farther: two documents within the radius of each other then meet in a cell. Cells are regions of the next
 round, with more pivots each, unless splitting would only replicate. Members that links have already
 joined need no more comparison, so a region ends once it holds one component; copies of one set are one
-member. Only pairs of a pivot and a member are ever made, never all pairs of a group, and every link is
-decided by exact counts.
+member. Only pairs of a pivot and a member are ever made, never all pairs of a group. Short vectors
+of shingle counts bound distances from below and spare most pairs the sets; every link is decided by exact
+counts.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sensorloom.llm.common import arrow_rows, encoded, slices, stored
+from sensorloom.llm.common import arrow_rows, encoded, release, slices, stored
 from sensorloom.llm.words import U, cut, mix, sequence_hash
 
 K, PERCENT = 5, 80
 #: How many very frequent shingles are ordered last at most, and from how many documents of a batch on.
-FREQUENT, FREQUENT_FROM, FREQUENT_PER_BATCH = 20_000, 8, 4096
+FREQUENT, FREQUENT_FROM, FREQUENT_PER_BATCH = 200_000, 3, 65_536
+#: Places of the count vectors: the sum of their differences is at most the number of shingles in one set only.
+PLACES = 128
+#: Regions of fewer members are not worth cells of their own: their pivots are soon all used.
+SPLIT_FROM = 64
 _SLICE = 4_000_000
 
 
@@ -87,11 +94,16 @@ def _sets(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFr
 
 
 def _full_sets(docs: DataFrame, k: int) -> DataFrame:
+    """node, its set, the set's size, and how many shingles fall on each of ``PLACES`` places (127 at most)."""
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [s.view(np.int64) for s in shingle_sets(encoded(batch.column("text")), k)]
-        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+        sets = list(shingle_sets(encoded(batch.column("text")), k))
+        counts = [np.minimum(np.bincount((s % U(PLACES)).astype(np.int64), minlength=PLACES), 127).astype(np.int8) for s in sets]
+        return pa.RecordBatch.from_arrays(
+            [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+             pa.array(counts, pa.list_(pa.int8()))], names=["node", "n", "set", "counts"])
 
-    return arrow_rows(docs, "node long, set array<long>", run)
+    return arrow_rows(docs, "node long, n long, set array<long>, counts array<tinyint>", run)
 
 
 def components(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -119,13 +131,27 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels
 
 
-def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Exact sizes of both sets and of their intersection, for pairs (a, b)."""
-    one = sets.select(F.col("node").alias("a"), F.col("set").alias("a_set"))
-    two = sets.select(F.col("node").alias("b"), F.col("set").alias("b_set"))
-    return pairs.join(one, "a").join(two, "b").select(
-        "a", "b", F.size(F.array_intersect("a_set", "b_set")).alias("both"),
-        (F.size("a_set") + F.size("b_set")).alias("sizes"))
+def _bounds(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Lower bounds of the distances of pairs (a, b), and whether they leave a link possible (``open``)."""
+    one = sets.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("counts").alias("a_counts"))
+    two = sets.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("counts").alias("b_counts"))
+    apart = F.aggregate(F.zip_with("a_counts", "b_counts", lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda t, x: t + x)
+    apart, total = F.greatest(apart.cast("long"), F.abs(F.col("a_n") - F.col("b_n"))), F.col("a_n") + F.col("b_n")
+    # rows that share an id are one node: its nearest row counts
+    return pairs.join(one, "a").join(two, "b").select("a", "b", apart.alias("apart"), total.alias("total")).groupBy("a", "b").agg(
+        F.min(2 * F.col("apart") / (F.col("total") + F.col("apart"))).alias("least"),
+        F.max(F.col("apart") * (100 + percent) <= F.col("total") * (100 - percent)).alias("open"))
+
+
+def _distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Exact distances of pairs (a, b), and whether they link, from their whole sets."""
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    held = sets.select("node", "set").join(wanted, "node", "left_semi")
+    one, two = (held.select(F.col("node").alias(x), F.col("set").alias(f"{x}_set")) for x in "ab")
+    both, total = F.size(F.array_intersect("a_set", "b_set")), F.size("a_set") + F.size("b_set")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", both.alias("both"), total.alias("total")).groupBy("a", "b").agg(
+        F.min(1 - F.col("both") / (F.col("total") - F.col("both"))).alias("exact"),
+        F.max(F.col("both") * 100 >= F.lit(percent) * (F.col("total") - F.col("both"))).alias("link"))
 
 
 def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -141,23 +167,29 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, text
     rows = stored(_sets(source, k, percent, frequent_shingles(source, k)))
     named = rows.where("n > 0 AND doc IS NOT NULL")
     nodes = named.groupBy("n", "one", "two").agg(F.min("doc").alias("node"), F.first("prefix").alias("prefix"))
-    shared = nodes.select("node", F.explode("prefix").alias("region"))
+    shared = nodes.select("node", "n", F.explode("prefix").alias("region"))
     regions = shared.groupBy("region").agg(F.min("node").alias("least"), F.max("node").alias("most"))
-    members = stored(shared.join(regions.where("least < most").select("region"), "region"))
+    # sets within the radius differ in size by one step of this scale at most; a cell holds two steps
+    step = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * math.log(100 / percent)))
+    cell = F.explode(F.array(step, step - 1)).alias("cell")
+    sized = shared.join(regions.where("least < most").select("region"), "region").select("region", "node", cell)
+    sized = release(stored(sized.select(F.xxhash64("region", "cell").alias("region"), "node").distinct()))
+    members = stored(_unsettled(sized.withColumn("label", F.col("node"))))
     ids = members.select("node").distinct()
     labels = stored(ids.withColumn("label", F.col("node")))
     involved = source.join(ids.withColumnRenamed("node", "doc"), "doc", "left_semi").select(F.col("doc").alias("node"), "text")
-    sets = stored(_full_sets(involved, k))
+    sets = release(stored(_full_sets(involved, k)))
     pivots = 1
     while not members.isEmpty():
         turn = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(pivots))
-        chosen = members.groupBy("region", turn.alias("turn")).agg(F.min_by("node", F.struct(F.xxhash64("node"), "node")).alias("pivot"))
-        faced = stored(members.join(chosen.select("region", "pivot"), "region"))
-        pairs = faced.where("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        known = stored(_distances(pairs, sets).groupBy("a", "b").agg(F.max_by("both", F.col("both") / F.col("sizes")).alias("both"), F.max_by("sizes", F.col("both") / F.col("sizes")).alias("sizes")))
-        new = known.where(F.col("both") * 100 >= F.lit(percent) * (F.col("sizes") - F.col("both"))).select("a", "b")
-        labels = components(labels, new)
-        members = _next_regions(members, faced, known, labels, percent, pivots)
+        chosen = members.groupBy("region", turn.alias("turn")).agg(F.min(F.struct(F.xxhash64("node"), "node", "label")).alias("p"))
+        chosen = chosen.select("region", F.col("p.node").alias("pivot"), F.col("p.label").alias("pivot_label"))
+        faced = stored(members.join(chosen, "region"))
+        pairs = faced.where("label != pivot_label").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        bounds = stored(_bounds(pairs, sets, percent))
+        exact = release(stored(_distances(bounds.where("open").select("a", "b"), sets, percent)))
+        labels = components(labels, exact.where("link").select("a", "b"))
+        members = release(_next_regions(members, faced, bounds.join(exact.drop("link"), ["a", "b"], "left"), labels, percent, pivots))
         pivots *= 4
     found = named.groupBy("n", "one", "two").agg(F.min("doc").alias("node")).join(labels, "node", "left").select("n", "one", "two", F.coalesce("label", "node").alias("label"))
     return (
@@ -167,21 +199,33 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, text
     )
 
 
+def _unsettled(members: DataFrame) -> DataFrame:
+    """Members (region, node, label) of the regions that hold more than one component."""
+    held = members.groupBy("region").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
+    return members.join(held.select("region"), "region")
+
+
 def _next_regions(members: DataFrame, faced: DataFrame, known: DataFrame, labels: DataFrame, percent: int, pivots: int) -> DataFrame:
-    """Regions that still hold more than one component, without the pivots all their members have met."""
-    own = faced.where("node = pivot").select("region", "node")
+    """Regions that still hold more than one component, without the pivots all their members have met.
+
+    Where a distance is only bounded, the cells are those that the bounds allow.
+    """
+    met = faced.where("node = pivot").select("region", "node")
+    left = members.select(F.col("region").alias("cell"), "region", "node")
     if pivots > 1:
         radius = 1 - percent / 100
-        far = F.when(F.col("node") == F.col("pivot"), F.lit(0.0)).otherwise(1 - F.col("both") / (F.col("sizes") - F.col("both")))
-        measured = faced.withColumns({"a": F.least("node", "pivot"), "b": F.greatest("node", "pivot")}).join(known, ["a", "b"], "left").select("region", "node", "pivot", far.alias("far"))
-        nearest = measured.groupBy("region", "node").agg(F.min("far").alias("near"))
-        cells = measured.join(nearest, ["region", "node"]).where(F.col("far") <= F.col("near") + 2 * radius + 1e-9)
+        own = F.col("node") == F.col("pivot")
+        low = F.when(own, 0.0).otherwise(F.coalesce("exact", "least", F.lit(0.0)))
+        high = F.when(own, 0.0).otherwise(F.coalesce("exact", F.lit(1.0)))
+        large = members.groupBy("region").agg(F.count("*").alias("size")).where(F.col("size") >= SPLIT_FROM).select("region")
+        measured = faced.join(large, "region").withColumns({"a": F.least("node", "pivot"), "b": F.greatest("node", "pivot")}).join(known, ["a", "b"], "left").select(
+            "region", "node", "pivot", low.alias("low"), high.alias("high"))
+        nearest = measured.groupBy("region", "node").agg(F.min("high").alias("near"))
+        cells = measured.join(nearest, ["region", "node"]).where(F.col("low") <= F.col("near") + 2 * radius + 1e-9)
         # splitting must not only replicate: a region stays whole where its cells hold over 1.5 times its rows
-        grown = cells.groupBy("region").agg((F.count("*") <= 1.5 * F.count_distinct("node")).alias("split"))
-        left = cells.join(grown.where("split"), "region").select(F.xxhash64("region", "pivot").alias("cell"), "region", "node").unionByName(
-            members.join(grown.where("NOT split").select("region"), "region").select(F.col("region").alias("cell"), "region", "node"))
-    else:
-        left = members.select(F.col("region").alias("cell"), "region", "node")
-    left = left.join(own, ["region", "node"], "left_anti").select(F.col("cell").alias("region"), "node").join(labels, "node")
-    open_ = left.groupBy("region").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
-    return stored(left.join(open_.select("region"), "region").select("node", "region"))
+        size = cells.groupBy("region").agg(F.count("*").alias("rows"), F.count_distinct("node").alias("nodes"))
+        split = stored(size.where("rows <= 1.5 * nodes").select("region"))
+        left = left.join(split, "region", "left_anti").unionByName(
+            cells.join(split, "region").select(F.xxhash64("region", "pivot").alias("cell"), "region", "node"))
+    left = left.join(met, ["region", "node"], "left_anti").select(F.col("cell").alias("region"), "node").join(labels, "node")
+    return stored(_unsettled(stored(left)).select("region", "node", "label"))
