@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sensorloom.llm.common import arrow_rows, encoded, release, slices, stored
 from sensorloom.llm.words import U, cut, mix, sequence_hash
@@ -34,6 +34,8 @@ K, PERCENT = 5, 80
 FREQUENT, FREQUENT_FROM, FREQUENT_PER_BATCH = 200_000, 3, 65_536
 #: Places of the count vectors: the sum of their differences is at most the number of shingles in one set only.
 PLACES = 128
+#: Bits of the filter that spares texts of no region their second reading; what it lets through in vain only costs.
+FILTER_BITS = 1 << 23
 #: Regions of fewer members are not worth cells of their own: their pivots are soon all used.
 SPLIT_FROM = 64
 _SLICE = 4_000_000
@@ -93,17 +95,37 @@ def _sets(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFr
     return arrow_rows(docs, "doc long, n long, one long, two long, prefix array<long>", run)
 
 
-def _full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """node, its set, the set's size, and how many shingles fall on each of ``PLACES`` places (127 at most)."""
+def _bit(node: str) -> Column:
+    return F.pmod(F.xxhash64(node), F.lit(FILTER_BITS))
+
+
+def _filter(ids: DataFrame) -> np.ndarray:
+    """One bit per hashed node. At most FILTER_BITS / 64 rows reach the driver, whatever the number of nodes."""
+    bit = _bit("node")
+    parts = ids.select((F.shiftright(bit, 6)).alias("place"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")).alias("bit"))
+    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    for row in parts.groupBy("place").agg(F.bit_or("bit").alias("bits")).collect():
+        out[row["place"]] = row["bits"]
+    return out.view(U)
+
+
+def _full_sets(docs: DataFrame, wanted: np.ndarray, k: int) -> DataFrame:
+    """node, its set, the set's size, and how many shingles fall on each of ``PLACES`` places (127 at most).
+
+    Of all documents whose bit is ``wanted``; the text is not shuffled.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bit = batch.column("bit").to_numpy().astype(U)
+        batch = batch.filter(pa.array((wanted[(bit >> U(6)).astype(np.int64)] >> (bit & U(63))) & U(1) == 1))
         sets = list(shingle_sets(encoded(batch.column("text")), k))
         counts = [np.minimum(np.bincount((s % U(PLACES)).astype(np.int64), minlength=PLACES), 127).astype(np.int8) for s in sets]
         return pa.RecordBatch.from_arrays(
             [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
              pa.array(counts, pa.list_(pa.int8()))], names=["node", "n", "set", "counts"])
 
-    return arrow_rows(docs, "node long, n long, set array<long>, counts array<tinyint>", run)
+    rows = docs.where("doc IS NOT NULL").select(F.col("doc").alias("node"), "text", _bit("doc").alias("bit"))
+    return arrow_rows(rows, "node long, n long, set array<long>, counts array<tinyint>", run)
 
 
 def components(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -177,8 +199,7 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, text
     members = stored(_unsettled(sized.withColumn("label", F.col("node"))))
     ids = members.select("node").distinct()
     labels = stored(ids.withColumn("label", F.col("node")))
-    involved = source.join(ids.withColumnRenamed("node", "doc"), "doc", "left_semi").select(F.col("doc").alias("node"), "text")
-    sets = release(stored(_full_sets(involved, k)))
+    sets = release(stored(_full_sets(source, _filter(ids), k)))
     pivots = 1
     while not members.isEmpty():
         turn = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(pivots))
