@@ -19,10 +19,14 @@ def persistence(grid: DataFrame, keys: Sequence[str], day_steps: int) -> DataFra
     return framed(out, keys, "step", {"diurnal": lambda w: F.lag("value", day_steps).over(w)}, before=day_steps)
 
 
-def autoregression(grid: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One-lag least squares per key as plain aggregates, and its prediction at every step."""
+def autoregression(grid: DataFrame, keys: Sequence[str], fit_on: Column | None = None) -> DataFrame:
+    """One-lag least squares per key as plain aggregates, and its prediction at every step.
+
+    With ``fit_on`` only those rows are fitted on.
+    """
     lagged = framed(grid, keys, "step", {"lag1": lambda w: F.lag("value").over(w)}, before=1)
-    fit = lagged.where("value IS NOT NULL AND lag1 IS NOT NULL").groupBy(*keys).agg(
+    known = lagged.where("value IS NOT NULL AND lag1 IS NOT NULL")
+    fit = (known if fit_on is None else known.where(fit_on)).groupBy(*keys).agg(
         F.regr_slope("value", "lag1").alias("slope"), F.regr_intercept("value", "lag1").alias("intercept")
     )
     return lagged.join(fit, list(keys)).withColumn("pred", F.col("slope") * F.col("lag1") + F.col("intercept"))

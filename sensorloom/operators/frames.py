@@ -15,7 +15,7 @@ def trailing_median(df: DataFrame, keys: Sequence[str], rows: int, value: str =
     """Median of the last ``rows`` values, this one included, over fewer at the start."""
     return framed(
         df, keys, "step",
-        {name: lambda w: F.percentile(value, 0.5).over(w.rowsBetween(1 - rows, 0))},
+        {name: lambda w: median_of(F.collect_list(value).over(w.rowsBetween(1 - rows, 0)))},
         before=rows,
     )
 
@@ -30,16 +30,15 @@ def level(df: DataFrame, keys: Sequence[str], width: int, min_real: float = 0.75
     out = framed(
         df, keys, "step",
         {
-            "_middle": lambda w: F.percentile(value, 0.5).over(w.rowsBetween(-width, -1)),
-            "_real": lambda w: F.count(value).over(w.rowsBetween(-width, -1)),
+            "_seen": lambda w: F.collect_list(value).over(w.rowsBetween(-width, -1)),
             # over ``width`` rows around any row exactly when the series is longer than that
             "_steps": lambda w: F.count(F.lit(1)).over(w.rowsBetween(-width, width)),
         },
         before=width, after=width,
     )
     return out.withColumn(
-        name, F.when((F.col("_steps") > width) & (F.col("_real") >= need), F.col("_middle"))
-    ).drop("_middle", "_real", "_steps")
+        name, F.when((F.col("_steps") > width) & (F.size("_seen") >= need), median_of(F.col("_seen")))
+    ).drop("_seen", "_steps")
 
 
 def _spread_frame(df: DataFrame, keys: Sequence[str], width: int, value: str) -> DataFrame:
@@ -85,14 +84,14 @@ def centred_outlier(df: DataFrame, keys: Sequence[str], order: str, k: float, wi
     out = framed(
         df, keys, order,
         [
-            {"_m": lambda w: F.percentile(value, 0.5).over(w.rowsBetween(low, high))},
-            {"_d": lambda w: F.percentile(F.abs(F.col(value) - F.col("_m")), 0.5).over(
-                w.rowsBetween(low, high))},
+            {"_near": lambda w: F.collect_list(value).over(w.rowsBetween(low, high))},
+            {"_m": lambda w: median_of(F.col("_near"))},
+            {"_apart": lambda w: F.collect_list(F.abs(F.col(value) - F.col("_m"))).over(w.rowsBetween(low, high))},
         ],
         before=width, after=width,
     )
-    far = F.abs(F.col(value) - F.col("_m")) > F.col("_d") * (k * MAD_SCALE)
-    return out.withColumn("outlier", far).drop("_m", "_d")
+    far = F.abs(F.col(value) - F.col("_m")) > median_of(F.col("_apart")) * (k * MAD_SCALE)
+    return out.withColumn("outlier", far).drop("_near", "_m", "_apart")
 
 
 def daily_profile(df: DataFrame, site_keys: Sequence[str], value: str, day: str, slot: str,

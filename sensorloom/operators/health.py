@@ -90,9 +90,11 @@ def muted(ranges: DataFrame, keys: Sequence[str], cut_day: Column, need: int, da
     )
 
 
-def wasserstein(current: DataFrame, reference: DataFrame, keys: Sequence[str], value: str, width: float) -> DataFrame:
+def wasserstein(current: DataFrame, reference: DataFrame, keys: Sequence[str], value: str, width: float, need: int = 1000) -> DataFrame:
     """1-D Wasserstein distance per key over the reference's deviation, exact.
 
+    No ratio with under ``need`` readings on either side, nor where the reference does not vary.
+
     The integral of the gap between the two empirical distributions: equal values are counted, running
     counts come from chunks of the value axis, and each gap is weighed by the step to the next value.
     """
@@ -107,7 +109,8 @@ def wasserstein(current: DataFrame, reference: DataFrame, keys: Sequence[str], v
     out = ran.join(sizes, list(keys)).groupBy(*keys).agg(
         F.sum(gap).alias("distance"), F.first("_na").alias("n_current"), F.first("_nb").alias("n_reference")
     )
-    return out.join(spread, list(keys)).withColumn("ratio", F.col("distance") / F.col("_sd")).drop("_sd")
+    judged = (F.least("n_current", "n_reference") >= need) & (F.col("_sd") > 0)
+    return out.join(spread, list(keys)).withColumn("ratio", F.when(judged, F.col("distance") / F.col("_sd"))).drop("_sd")
 
 
 def reference_sample(readings: DataFrame, keys: Sequence[str], size: int, splits: int = 64) -> DataFrame:

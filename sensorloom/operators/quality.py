@@ -152,17 +152,20 @@ def time_gap(df: DataFrame, keys: Sequence[str], max_gap_us: int, chunk_us: int,
 
 
 def duplicate_share(df: DataFrame, keys: Sequence[str], at: str, value: str, fraction: float) -> DataFrame:
-    """Every pair of members on equal stamps: coincident, matched, share. One equi join on the stamp.
+    """Pairs of members that ever read the same at the same moment: coincident, matched, share.
 
-    A stamp holds at most one row per site, so a join group is as wide as the network, not the data.
+    Members meet on (stamp, value), so only matching readings make a pair; coincidence is counted afterwards and
+    for those pairs alone.
     """
     (member,) = keys
-    left = df.select(F.col(member).alias("site_a"), at, F.col(value).alias("_a"))
-    right = df.select(F.col(member).alias("site_b"), at, F.col(value).alias("_b"))
-    pairs = left.join(right, at).where("site_a < site_b AND _a IS NOT NULL AND _b IS NOT NULL")
-    out = pairs.groupBy("site_a", "site_b").agg(
-        F.count(F.lit(1)).alias("n_coincident"), F.count_if(F.col("_a") == F.col("_b")).alias("n_matched")
-    )
+    seen = df.where(F.col(value).isNotNull()).select(member, at, F.col(value).alias("_v"))
+    left, right = seen.withColumnRenamed(member, "site_a"), seen.withColumnRenamed(member, "site_b")
+    matched = checkpoint(left.join(right, [at, "_v"]).where("site_a < site_b").groupBy("site_a", "site_b").agg(F.count(F.lit(1)).alias("n_matched")))
+    stamps = seen.select(member, at)
+    both = matched.select("site_a", "site_b").join(stamps.withColumnRenamed(member, "site_a"), "site_a").join(
+        stamps.withColumnRenamed(member, "site_b"), ["site_b", at])
+    coincident = both.groupBy("site_a", "site_b").agg(F.count(F.lit(1)).alias("n_coincident"))
+    out = matched.join(coincident, ["site_a", "site_b"])
     share = F.col("n_matched") / F.col("n_coincident")
     return out.withColumn("match_frac", share).withColumn("flagged", share > fraction)
 

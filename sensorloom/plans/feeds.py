@@ -357,12 +357,13 @@ def g4_newest(spark, sf):
 
 
 @query("g7_union_missing_columns", f"""
-WITH {GRID} SELECT site, step, r6(value) AS conductivity, NULL::DOUBLE AS depth FROM g WHERE variable = 'conductivity' UNION ALL SELECT site, step, NULL, r6(value) FROM g WHERE variable = 'depth'""")
+WITH {GRID} SELECT site, step, r6(value) AS conductivity, NULL::DOUBLE AS depth, NULL::DOUBLE AS temperature FROM g WHERE variable = 'conductivity'
+UNION ALL SELECT site, step, NULL, r6(value), NULL FROM g WHERE variable = 'depth' UNION ALL SELECT site, step, NULL, NULL, r6(value) FROM g WHERE variable = 'temperature'""")
 def g7(spark, sf):
     def one(v):
         return series(spark, sf).where(F.col("variable") == v).select("site", "step", r6("value").alias(v))
 
-    return one("conductivity").unionByName(one("depth"), allowMissingColumns=True)
+    return one("conductivity").unionByName(one("depth"), allowMissingColumns=True).unionByName(one("temperature"), allowMissingColumns=True)
 
 
 @query("g8_set_difference", f"""
@@ -419,11 +420,15 @@ def i4(spark, sf):
 
 
 @query("i5_parse_numbers", """
-SELECT doc_id, TRY_CAST(nullif(trim(split_part(text, ' ', 1)), '') AS DOUBLE) AS number FROM documents""")
+WITH c AS (SELECT doc_id, unnest(string_split(text, ' ')) AS cell FROM documents),
+n AS (SELECT doc_id, cell, CASE WHEN regexp_full_match(trim(cell), '[-+]?[0-9]+([.][0-9]*)?') THEN CAST(trim(cell) AS DOUBLE) END AS number FROM c)
+SELECT doc_id, count(*) AS cells, count_if(trim(cell) = '') AS blank, count(number) AS numbers, max(number) AS largest FROM n GROUP BY doc_id""")
 def i5(spark, sf):
-    first = F.trim(F.split_part("text", F.lit(" "), F.lit(1)))
-    return load(spark, sf, "documents").select("doc_id", F.expr("text")).select("doc_id", first.alias("w")).select(
-        "doc_id", F.expr("try_cast(nullif(w, '') AS DOUBLE)").alias("number")
+    """Every cell of every text as a number; blanks and what is no number are NULL."""
+    cells = load(spark, sf, "documents").select("doc_id", F.explode(F.split("text", " ", -1)).alias("cell")).withColumn("cell", F.trim("cell"))
+    number = F.when(F.col("cell").rlike(r"^[-+]?[0-9]+([.][0-9]*)?$"), F.col("cell").cast("double"))
+    return cells.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("cells"), F.count_if(F.col("cell") == "").alias("blank"), F.count(number).alias("numbers"), F.max(number).alias("largest")
     )
 
 

@@ -116,10 +116,10 @@ def m7(spark, sf):
 
 
 @query("m8_forecast_skill", f"""
-WITH {FC}, rg AS (SELECT site, variable, regr_slope(value, p1) AS a, regr_intercept(value, p1) AS b FROM (SELECT *, lag(value) OVER (PARTITION BY site, variable ORDER BY step) AS p1 FROM fc) GROUP BY ALL),
+WITH {FC}, rg AS (SELECT site, variable, regr_slope(value, p1) AS a, regr_intercept(value, p1) AS b FROM (SELECT *, lag(value) OVER (PARTITION BY site, variable ORDER BY step) AS p1 FROM fc) WHERE step * {STEP} // 86400 % 2 = 0 GROUP BY ALL),
 m AS (SELECT *, a * pred + b AS model FROM fc JOIN rg USING (site, variable)),
 k AS (SELECT site, variable, count(*) AS n, avg(abs(value - model)) AS mae, avg((value - model) * (value - model)) AS mm, avg((value - pred) * (value - pred)) AS mp, avg((value - diurnal) * (value - diurnal)) AS md
-  FROM m WHERE value IS NOT NULL AND model IS NOT NULL AND pred IS NOT NULL AND diurnal IS NOT NULL GROUP BY ALL)
+  FROM m WHERE step * {STEP} // 86400 % 2 = 1 AND value IS NOT NULL AND model IS NOT NULL AND pred IS NOT NULL AND diurnal IS NOT NULL GROUP BY ALL)
 SELECT site, variable, n, r6(mae) AS mae_model, r6(sqrt(mm)) AS rmse_model, r6(1 - mm / mp) AS skill_persistence, r6(1 - mm / md) AS skill_diurnal,
   CASE WHEN n < 200 THEN 'insufficient data' WHEN mm < mp AND mm < md THEN 'beats both baselines' WHEN mm < mp THEN 'beats only persistence'
   WHEN mm < md THEN 'beats only diurnal naive' ELSE 'beats neither baseline' END AS verdict FROM k""")
@@ -131,8 +131,9 @@ def m8(spark, sf):
 def skill(spark, sf):
     from sensorloom.operators.forecast import autoregression
 
-    fit = autoregression(series(spark, sf), KEYS).select(*KEYS, "slope", "intercept").distinct()
-    rows = forecasts(spark, sf).join(fit, list(KEYS)).select(
+    odd_day = F.floor(F.col("step") * STEP / 86400) % 2 == 1
+    fit = autoregression(series(spark, sf), KEYS, ~odd_day).select(*KEYS, "slope", "intercept").distinct()
+    rows = forecasts(spark, sf).where(odd_day).join(fit, list(KEYS)).select(
         *AT, "value", F.col("pred").alias("persistence"), "diurnal", (F.col("slope") * F.col("pred") + F.col("intercept")).alias("model")
     )
     return evaluate.forecast_skill(rows, KEYS, "model")
@@ -309,14 +310,25 @@ def m16(spark, sf):
     return rates.crossJoin(F.broadcast(best)).select("k", r6("rate").alias("per_week"), (F.col("k") == F.col("best")).alias("closest"))
 
 
+DOUBLED = (
+    base.RAINM.removeprefix(base.RAIN).replace("rm AS", "rm2 AS").replace("FROM rm)", "FROM rm2)").replace("mult AS", "mult2 AS")
+    .replace("coalesce(rain, 0.0)", "2 * coalesce(rain, 0.0)").replace("rain > 0.1", "2 * rain > 0.1")
+)
+
+
 @query("m17_rain_sensitivity", f"""
-WITH {RULED}, n AS (SELECT 'as measured' AS rain, count_if(s1 > t1) AS fired, count(*) AS judged FROM rs UNION ALL SELECT 'zeroed', count_if(s1 > 2.5), count(*) FROM rs)
+WITH {RULED}{DOUBLED}, n AS (SELECT 'as measured' AS rain, count_if(s1 > t1) AS fired, count(*) AS judged FROM rs UNION ALL SELECT 'zeroed', count_if(s1 > 2.5), count(*) FROM rs
+  UNION ALL SELECT 'doubled', count_if(s1 > 2.5 * coalesce(mult2.deployed_mode, 1.0)), count(*) FROM rs LEFT JOIN mult2 ON mult2.step = rs.step)
 SELECT rain, fired, judged FROM n""")
 def m17(spark, sf):
+    """The residual rule scored again without rain and with twice as much."""
+    wetter = gate.wetness(base.rain(spark, sf).withColumn("rain", F.col("rain") * 2), STEP)
+    doubled = wetter.select("step", gate.multiplier("deployed", F.col("total"), F.col("dry_hours")).alias("doubled"))
     variants = F.array(
-        F.struct(F.lit("as measured").alias("rain"), F.col("t1").alias("line")), F.struct(F.lit("zeroed").alias("rain"), F.lit(2.5).alias("line"))
+        F.struct(F.lit("as measured").alias("rain"), F.col("t1").alias("line")), F.struct(F.lit("zeroed").alias("rain"), F.lit(2.5).alias("line")),
+        F.struct(F.lit("doubled").alias("rain"), (2.5 * F.coalesce("doubled", F.lit(1.0))).alias("line")),
     )
-    return ruled(spark, sf).select("s1", F.inline(variants)).groupBy("rain").agg(
+    return ruled(spark, sf).join(doubled, "step", "left").select("s1", F.inline(variants)).groupBy("rain").agg(
         F.count_if(F.col("s1") > F.col("line")).alias("fired"), F.count(F.lit(1)).alias("judged")
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sensorloom.operators import grid
+from sensorloom.operators.scale import framed, runs
 from sensorloom.plans.base import (
     DAY_US, EV, GRID, HOUR, KEYS, RAIN, SITEGRID, STEP, US, rain, readings, series, site_series,
 )
@@ -63,28 +64,39 @@ def d5(spark, sf):
 
 
 @query("d9_corpus_summary", f"""
-WITH {EV}, m AS (
-  SELECT site, strftime(make_timestamp(us), '%Y-%m-%d') AS day, count(*) AS rows_seen,
-         count_if(value < 1 OR value > 300) AS invalid, sum(value) AS total
-  FROM ev GROUP BY ALL)
-SELECT site, sum(rows_seen)::BIGINT AS rows_seen, r6(100.0 * sum(invalid) / sum(rows_seen)) AS invalid_percent,
-       max_by(day, (rows_seen, day)) AS busiest_day, max(rows_seen) AS busiest_rows
-FROM m GROUP BY site""")
+WITH {GRID}, {RAIN}, a AS (SELECT step, coalesce(rain, 0) AS mm FROM rain),
+s AS (SELECT 'site' AS section, site AS item, count(value) AS rows_seen, r6(100.0 * count_if(value IS NULL OR value < 1 OR value > 300) / count(*)) AS amount, NULL::BIGINT AS first_step, NULL::BIGINT AS last_step FROM g GROUP BY site),
+m AS (SELECT 'month', strftime(make_timestamp(step * {STEP * US}), '%Y-%m'), count(*), NULL::DOUBLE, min(step), max(step) FROM g GROUP BY ALL),
+t AS (SELECT 'rain', 'total', count(*), r6(sum(mm)), min(step), max(step) FROM a),
+w AS (SELECT step, sum(mm) OVER (ORDER BY step RANGE BETWEEN 5 PRECEDING AND CURRENT ROW) AS mm FROM a),
+x AS (SELECT 'rain', 'largest 12 h', count(*), r6(max(mm)), arg_min(step, (-round(mm, 6), step)), arg_min(step, (-round(mm, 6), step)) FROM w),
+e AS (SELECT 'event', 'over 5', count(*), r6(sum(mm)), min(step), max(step) FROM (SELECT *, step - row_number() OVER (ORDER BY step) AS k FROM a WHERE mm > 0) GROUP BY k HAVING sum(mm) > 5)
+SELECT * FROM s UNION ALL SELECT * FROM m UNION ALL SELECT * FROM t UNION ALL SELECT * FROM x UNION ALL SELECT * FROM e""")
 def d9(spark, sf):
-    daily = (
-        readings(spark, sf)
-        .groupBy("site", F.date_format("time", "yyyy-MM-dd").alias("day"))
-        .agg(
-            F.count(F.lit(1)).alias("rows_seen"),
-            F.count_if((F.col("value") < 1) | (F.col("value") > 300)).alias("invalid"),
-        )
-    )
-    return daily.groupBy("site").agg(
-        F.sum("rows_seen").alias("rows_seen"),
-        r6(F.sum("invalid") * 100.0 / F.sum("rows_seen")).alias("invalid_percent"),
-        F.max_by("day", F.struct("rows_seen", "day")).alias("busiest_day"),
-        F.max("rows_seen").alias("busiest_rows"),
-    )
+    """Real rows and invalid share per site, rows per month, rain total, largest 12-hour sum, rain events over 5 mm."""
+    whole, value = series(spark, sf), F.col("value")
+    wet = rain(spark, sf).select("step", F.coalesce("rain", F.lit(0.0)).alias("mm"))
+    rolled = framed(wet, [], "step", {"sum12": lambda w: F.sum("mm").over(w.rangeBetween(-5, 0))}, before=5)
+    events = runs(wet.where("mm > 0"), [], "step", lambda was, now: now - was > 1, "run").groupBy("run")
+    first, last, none = F.min("step").alias("first_step"), F.max("step").alias("last_step"), F.lit(None)
+    n = F.count(F.lit(1)).alias("rows_seen")
+    top = F.min_by("step", F.struct(-F.round("sum12", 6), "step"))
+    parts = [
+        whole.groupBy(F.lit("site").alias("section"), F.col("site").alias("item")).agg(
+            F.count("value").alias("rows_seen"), r6(F.count_if(value.isNull() | (value < 1) | (value > 300)) * 100.0 / F.count(F.lit(1))).alias("amount"),
+            none.cast("bigint").alias("first_step"), none.cast("bigint").alias("last_step")),
+        whole.groupBy(F.lit("month").alias("section"), F.date_format(F.timestamp_seconds(F.col("step") * STEP), "yyyy-MM").alias("item")).agg(
+            n, none.cast("double").alias("amount"), first, last),
+        wet.groupBy(F.lit("rain").alias("section"), F.lit("total").alias("item")).agg(n, r6(F.sum("mm")).alias("amount"), first, last),
+        rolled.groupBy(F.lit("rain").alias("section"), F.lit("largest 12 h").alias("item")).agg(
+            n, r6(F.max("sum12")).alias("amount"), top.alias("first_step"), top.alias("last_step")),
+        events.agg(n, F.sum("mm").alias("mm"), first, last).where("mm > 5").select(
+            F.lit("event").alias("section"), F.lit("over 5").alias("item"), "rows_seen", r6("mm").alias("amount"), "first_step", "last_step"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 @query("c1_asof_backward", f"""

@@ -96,7 +96,8 @@ def n6(spark, sf):
 WITH {EV}, h AS (SELECT site, value, sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b FROM (SELECT site, value, (us >= {CUT})::INT AS a, (us < {CUT})::INT AS b FROM ev) GROUP BY ALL),
 c AS (SELECT *, sum(a) OVER w / sum(a) OVER p AS fa, sum(b) OVER w / sum(b) OVER p AS fb, lead(value) OVER w AS nxt FROM h WINDOW w AS (PARTITION BY site ORDER BY value), p AS (PARTITION BY site)),
 sd AS (SELECT site, stddev_pop(value) AS sd FROM ev WHERE us < {CUT} GROUP BY site)
-SELECT site, r6(sum(abs(fa - fb) * (nxt - value)) / any_value(sd)) AS ratio, sum(abs(fa - fb) * (nxt - value)) / any_value(sd) > 0.1 AS drifted FROM c JOIN sd USING (site) GROUP BY site""")
+SELECT site, r6(CASE WHEN least(sum(a), sum(b)) >= 1000 AND any_value(sd) > 0 THEN sum(abs(fa - fb) * (nxt - value)) / any_value(sd) END) AS ratio,
+  CASE WHEN least(sum(a), sum(b)) >= 1000 AND any_value(sd) > 0 THEN sum(abs(fa - fb) * (nxt - value)) / any_value(sd) > 0.1 END AS drifted FROM c JOIN sd USING (site) GROUP BY site""")
 def n7(spark, sf):
     rows = base.readings(spark, sf).where("value IS NOT NULL")
     out = health.wasserstein(rows.where(F.col("us") >= CUT), rows.where(F.col("us") < CUT), ["site"], "value", 4.0)
@@ -256,5 +257,5 @@ def e23(spark, sf):
     hourly = grid.resample(base.readings(spark, sf), ["site"], HOUR, {"value": F.floor(F.min_by("value", F.struct("us", "seq")) / 60)})
     a = hourly.select(F.col("site").alias("site_a"), F.col("step").alias("n"), F.col("value").alias("_a"))
     b = hourly.select(F.col("site").alias("site_b"), F.col("step").alias("n"), F.col("value").alias("_b"))
-    matched = a.join(b, "n").where("site_a < site_b AND _a = _b").select("site_a", "site_b", "n")
+    matched = a.withColumnRenamed("_a", "_v").join(b.withColumnRenamed("_b", "_v"), ["n", "_v"]).where("site_a < site_b").select("site_a", "site_b", "n")
     return contiguous_ranges(matched, ["site_a", "site_b"], "n").toDF("site_a", "site_b", "first_hour", "last_hour")

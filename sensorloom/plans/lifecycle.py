@@ -11,6 +11,7 @@ from sensorloom.plans import base
 from sensorloom.plans.base import CHARTS, DAY_US, EV, GRID, HOUR, KEYS, START_US, STEP, US, series
 from sensorloom.plans.charts import SCORES, scores
 from sensorloom.plans.feeds import ALERTS, VERS, alerts
+from sensorloom.plans.tails import CHANNELS, channels
 from sensorloom.plans.quality import CHUNK, COARSE, END_US, W
 from sensorloom.plans.registry import query, r6
 from sensorloom.session import level as stored, scratch
@@ -339,16 +340,36 @@ def u1(spark, sf):
     return modules.decide(rows, F.lit(2.0)).select(*KEYS, "step", "verdict")
 
 
-@query("u2_detector_contract", f"WITH {SCORES} SELECT rule, count(*) AS judged FROM scores GROUP BY rule")
+@query("u2_detector_contract", f"""
+WITH {CHARTS}, {base.RAINM} SELECT c.site, c.variable, 'jump' AS rule, c.step, r6(abs(z)) AS score, r6(4.0 * coalesce(decay_mode, 1.0)) AS threshold, 4.0::DOUBLE AS base
+FROM charts c LEFT JOIN mult m ON m.step = c.step WHERE z IS NOT NULL""")
 def u2(spark, sf):
+    """A user's detector over charts and weather, held to the score contract."""
+    def jumps(charted, weather):
+        rows = charted.where("z IS NOT NULL").join(weather.select("step", "decay_mode"), "step", "left")
+        line = F.lit(4.0)
+        return rows.select(*KEYS, F.lit("jump").alias("rule"), "step", F.abs("z").alias("score"),
+                           (line * F.coalesce("decay_mode", F.lit(1.0))).alias("threshold"), line.alias("base"))
+
     modules = plugins.Registry()
-    modules.detector("charts", lambda rows: rows)
-    return modules.scores("charts", scores(spark, sf)).groupBy("rule").agg(F.count(F.lit(1)).alias("judged"))
+    modules.detector("jumps", jumps)
+    out = modules.scores("jumps", base.charted(spark, sf), base.wet(spark, sf))
+    return out.withColumns({"score": r6("score"), "threshold": r6("threshold")})
+
+
+@query("u3_custom_null", f"""
+WITH {CHANNELS} SELECT site, variable, step, r6(CASE WHEN excursion > 3 THEN exp(-3 / 2.0) * pow(3 / excursion, 4) ELSE exp(-excursion / 2.0) END) AS p FROM ch""")
+def u3(spark, sf):
+    """A user's own null: an exponential body with a heavy tail."""
+    modules = plugins.Registry()
+    modules.null("excursion", lambda s: F.when(s > 3, F.exp(F.lit(-1.5)) * F.pow(3 / s, F.lit(4))).otherwise(F.exp(-s / 2)))
+    return modules.pvalues("excursion", channels(spark, sf), "excursion").select(*KEYS, "step", r6("p").alias("p"))
 
 
 @query("u4_custom_feed", f"WITH {EV} SELECT site, variable, us, value FROM ev")
 def u4(spark, sf):
     path = scratch(spark)
     base.readings(spark, sf).select("site", "variable", "us", "value").write.csv(path, header=True)
-    spark.dataSource.register(plugins.LoggerFeed)
-    return spark.read.format("logger_feed").option("path", f"{path.removeprefix('file:')}/*.csv").load()
+    modules = plugins.Registry()
+    modules.feed("loggers", plugins.logger_files)
+    return modules.readings("loggers", spark, path)

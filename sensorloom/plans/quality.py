@@ -183,7 +183,7 @@ def e16(spark, sf):
 WITH {EV}, h AS (SELECT site, us // {HOUR * US} AS n, floor(arg_min(value, (us, seq)) / 60) AS value FROM ev GROUP BY ALL)
 SELECT a.site AS site_a, b.site AS site_b, count(*) AS n_coincident, count_if(a.value = b.value) AS n_matched,
   r6(count_if(a.value = b.value) / count(*)) AS match_frac, count_if(a.value = b.value) / count(*) > 0.4 AS flagged
-FROM h a JOIN h b ON a.n = b.n AND a.site < b.site GROUP BY ALL""")
+FROM h a JOIN h b ON a.n = b.n AND a.site < b.site GROUP BY ALL HAVING count_if(a.value = b.value) > 0""")
 def c4(spark, sf):
     hourly = _feed(spark, sf).drop("other")
     out = quality.duplicate_share(hourly, ["site"], "n", "value", 0.4)
@@ -581,32 +581,46 @@ def f22(spark, sf):
 
 
 @query("d8_qc_report", f"""
-WITH {FAULTY}, r AS (SELECT *, coalesce(value IN (-9999, -999, -99) OR value < 0, false) AS bad FROM ev)
-SELECT coalesce(site, 'all') AS site, coalesce(variable, 'all') AS variable, count(*) AS readings,
-  count_if(bad) AS sentinels, count_if(value IS NULL) AS lost
-FROM r GROUP BY GROUPING SETS ((site, variable), (site), ())""")
+WITH {FAULTY}, sen AS (SELECT 'sentinels' AS section, site, variable AS item, count_if(coalesce(value IN (-9999, -999, -99) OR value < 0, false)) AS hits, count(*) AS of FROM ev GROUP BY ALL),
+h AS (SELECT site, us // {HOUR * US} AS n, floor(arg_min(value, (us, seq)) / 60) AS value FROM clean_ev GROUP BY ALL),
+dup AS (SELECT 'duplicates', a.site, b.site, count_if(a.value = b.value), count(*) FROM h a JOIN h b ON a.n = b.n AND a.site < b.site GROUP BY ALL HAVING count_if(a.value = b.value) > 0),
+o AS (SELECT site, variable, us, seq, CASE WHEN floor(value / 40) = lag(floor(value / 40)) OVER w THEN 0 ELSE 1 END AS opens FROM clean_ev WINDOW w AS (PARTITION BY site, variable ORDER BY us, seq)),
+r AS (SELECT *, sum(opens) OVER (PARTITION BY site, variable ORDER BY us, seq) AS run FROM o),
+held AS (SELECT site, variable, run, count(*) AS n FROM r GROUP BY ALL HAVING count(*) > 4),
+str AS (SELECT 'streaks', site, variable, sum(n)::BIGINT, count(*) FROM held GROUP BY site, variable)
+SELECT * FROM sen UNION ALL SELECT * FROM dup UNION ALL SELECT * FROM str""")
 def d8(spark, sf):
+    """One report: sentinel readings of all, matching readings of site pairs, rows and runs of long streaks."""
     v = F.col("value")
     bad = F.coalesce(v.isin(-9999.0, -999.0, -99.0) | (v < 0), F.lit(False))
-    out = faulty(spark, sf).groupingSets(
-        [["site", "variable"], ["site"], []], "site", "variable"
-    ).agg(F.count(F.lit(1)).alias("readings"), F.count_if(bad).alias("sentinels"), F.count_if(v.isNull()).alias("lost"))
-    return out.withColumns({c: F.coalesce(c, F.lit("all")) for c in KEYS})
+    sentinels = faulty(spark, sf).groupBy(*KEYS).agg(F.count_if(bad).alias("hits"), F.count(F.lit(1)).alias("of"))
+    pairs = quality.duplicate_share(_feed(spark, sf).drop("other"), ["site"], "n", "value", 0.4)
+    marked = runs(coarse(spark, sf), KEYS, "n", lambda was, now: was != now, also="value")
+    held = marked.groupBy(*KEYS, "run").agg(F.count(F.lit(1)).alias("held")).where("held > 4")
+    streaks = held.groupBy(*KEYS).agg(F.sum("held").alias("hits"), F.count(F.lit(1)).alias("of"))
+    sections = (
+        ("sentinels", sentinels, "site", "variable", "hits", "of"),
+        ("duplicates", pairs, "site_a", "site_b", "n_matched", "n_coincident"),
+        ("streaks", streaks, "site", "variable", "hits", "of"),
+    )
+    parts = [df.select(F.lit(name).alias("section"), F.col(a).alias("site"), F.col(b).alias("item"), F.col(n).alias("hits"), F.col(of).alias("of"))
+             for name, df, a, b, n, of in sections]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("b4_implausible_blanking", f"""
 WITH {FAULTY}, lim(variable, lo, hi) AS (VALUES ('conductivity', 1.0, 300.0), ('depth', -30.0, 350.0), ('temperature', 0.5, 250.0))
-SELECT site, variable, count(value) AS readings, count_if(value < lo OR value > hi) AS blanked
-FROM ev JOIN lim USING (variable) GROUP BY ALL""")
+SELECT seq, site, variable, CASE WHEN value BETWEEN lo AND hi THEN value END AS value,
+  count_if(value < lo OR value > hi) OVER (PARTITION BY site, variable) AS blanked FROM ev JOIN lim USING (variable)""")
 def b4(spark, sf):
     limits = spark.createDataFrame(
         [("conductivity", 1.0, 300.0), ("depth", -30.0, 350.0), ("temperature", 0.5, 250.0)],
         "variable string, lo double, hi double",
     )
-    return faulty(spark, sf).join(limits, "variable").groupBy(*KEYS).agg(
-        F.count("value").alias("readings"),
-        F.count_if((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi"))).alias("blanked"),
-    )
+    """Readings outside their kind's limits are blanked, with how many that were per site and column."""
+    rows = faulty(spark, sf).join(limits, "variable").withColumn("fits", F.col("value").between(F.col("lo"), F.col("hi")))
+    counts = rows.groupBy(*KEYS).agg(F.count_if(~F.col("fits")).alias("blanked"))
+    return rows.join(counts, list(KEYS)).select("seq", *KEYS, F.when(F.col("fits"), F.col("value")).alias("value"), "blanked")
 
 
 @query("c12_threshold_precedence", f"""

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sensorloom.operators.rules import support_stack
 
 KINDS = ("modulator", "detector", "screen", "explainer")
+FEED_COLUMNS = ("site", "variable", "us", "value")
 SCORE_COLUMNS = ("site", "variable", "rule", "step", "score", "threshold", "base")
 
 
@@ -19,6 +19,8 @@ class Registry:
     def __init__(self) -> None:
         self.modules: dict[str, tuple[str, Callable]] = {}
         self.detectors: dict[str, Callable[..., DataFrame]] = {}
+        self.nulls: dict[str, Callable[[Column], Column]] = {}
+        self.feeds: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
     def module(self, name: str, kind: str, make: Callable) -> None:
         """A modulator returns a multiplier column, a detector a boolean vote, a screen a boolean to
@@ -52,39 +54,32 @@ class Registry:
             rows, base, {n: m() for n, m in self.of("modulator").items()}, {n: d() for n, d in self.of("detector").items()}
         )
 
+    def null(self, name: str, to_pvalue: Callable[[Column], Column]) -> None:
+        """The null a detector's raw scores are judged against: from a score column to a p-value column."""
+        if name in self.nulls:
+            raise ValueError(f"a null named {name!r} is already registered")
+        self.nulls[name] = to_pvalue
+
+    def pvalues(self, name: str, rows: DataFrame, score: str) -> DataFrame:
+        """Add ``p``; a score that could not be computed has none."""
+        value = F.col(score)
+        return rows.withColumn("p", F.when(value.isNotNull() & ~F.isnan(value), self.nulls[name](value)))
+
+    def feed(self, name: str, read: Callable[[SparkSession, str], DataFrame]) -> None:
+        """A source of readings: from a session and a URI to a frame with site, variable, us, value."""
+        if name in self.feeds:
+            raise ValueError(f"a feed named {name!r} is already registered")
+        self.feeds[name] = read
+
+    def readings(self, name: str, spark: SparkSession, uri: str) -> DataFrame:
+        out = self.feeds[name](spark, uri)
+        absent = [c for c in FEED_COLUMNS if c not in out.columns]
+        if absent:
+            raise ValueError(f"{name} returned no column {', '.join(absent)}")
+        return out.select(*FEED_COLUMNS)
 
-class _File(InputPartition):
-    def __init__(self, path: str) -> None:
-        super().__init__(path)
-        self.path = path
-
-
-class _LoggerReader(DataSourceReader):
-    def __init__(self, options: dict[str, str]) -> None:
-        self.options = options
-
-    def partitions(self) -> list[_File]:
-        from glob import glob
-
-        return [_File(p) for p in sorted(glob(self.options["path"], recursive=True))]
-
-    def read(self, partition: _File):
-        import csv
-
-        with open(partition.path, newline="") as lines:
-            for row in csv.DictReader(lines):
-                yield row["site"], row["variable"], int(row["us"]), float(row["value"])
-
-
-class LoggerFeed(DataSource):
-    """A custom feed: one partition per logger file. Register with ``spark.dataSource.register``."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "logger_feed"
-
-    def schema(self) -> str:
-        return "site string, variable string, us bigint, value double"
 
-    def reader(self, schema) -> DataSourceReader:
-        return _LoggerReader(self.options)
+def logger_files(spark: SparkSession, uri: str) -> DataFrame:
+    """Logger files anywhere under a URI, in whatever store Spark reads."""
+    schema = "site string, variable string, us bigint, value double"
+    return spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).csv(uri)
