@@ -6,10 +6,13 @@ import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sensorloom.session import scratch
 
+#: Bytes of text that are cut into words at once.
+SLICE = 1_000_000
 #: ASCII letters, for lower-casing that every engine does alike.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -61,6 +64,13 @@ def slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
         yield begin, len(sizes)
 
 
+def text_slices(column: pa.Array, limit: int = SLICE) -> Iterator[list[bytes]]:
+    """UTF-8 bytes of a string column in runs of at most ``limit`` bytes, so that little is held at once."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for a, b in slices(sizes, limit):
+        yield encoded(column.slice(a, b - a))
+
+
 def encoded(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column, nulls as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

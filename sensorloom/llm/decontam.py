@@ -16,10 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sensorloom.llm.common import arrow_rows, encoded, slices
+from sensorloom.llm.common import arrow_rows, text_slices
 from sensorloom.llm.words import ALNUM, cut
 
-WINDOW, SAMPLE, SHARD_BYTES, BLOCK_WORDS = 10, 8, 8_000_000, 2_000_000
+WINDOW, SAMPLE, SHARD_BYTES, BLOCK_WORDS = 10, 8, 2_000_000, 2_000_000
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -237,8 +237,7 @@ def _searched(docs: DataFrame, windows: Windows, text: str) -> DataFrame:
     names = docs.columns
 
     def search(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = encoded(batch.column(text))
-        found = [x for a, b in slices([len(t) for t in texts], SHARD_BYTES) for x in windows.find(texts[a:b])]
+        found = [x for texts in text_slices(batch.column(text), SHARD_BYTES) for x in windows.find(texts)]
         old_spans, old_items = batch.column("hit_spans").to_pylist(), batch.column("hit_items").to_pylist()
         spans = [merged([*new, *((s["begin"], s["end"]) for s in old)]) for (_, new, _), old in zip(found, old_spans, strict=True)]
         items = [sorted({*new, *old}) for (_, _, new), old in zip(found, old_items, strict=True)]

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sensorloom.llm.common import arrow_rows, encoded, release, slices, stored
+from sensorloom.llm.common import arrow_rows, release, stored, text_slices
 from sensorloom.llm.words import U, cut, mix, sequence_hash
 
 K, PERCENT = 5, 80
@@ -38,16 +38,15 @@ PLACES = 128
 FILTER_BITS = 1 << 23
 #: Regions of fewer members are not worth cells of their own: their pivots are soon all used.
 SPLIT_FROM = 64
-_SLICE = 4_000_000
 
 
-def shingle_sets(texts: list[bytes], k: int = K) -> Iterator[np.ndarray]:
+def shingle_sets(column: pa.Array, k: int = K) -> Iterator[np.ndarray]:
     """For each text its distinct k-word shingles as rising hashes; a shorter text is one shingle."""
-    for a, b in slices([len(t) for t in texts], _SLICE):
-        words = cut(texts[a:b])
+    for texts in text_slices(column):
+        words = cut(texts)
         text, hashes = words.shingles(k)
-        first, bounds = words.first(), np.searchsorted(text, np.arange(b - a + 1))
-        for i in range(b - a):
+        first, bounds = words.first(), np.searchsorted(text, np.arange(len(texts) + 1))
+        for i in range(len(texts)):
             if first[i] == first[i + 1]:
                 yield np.zeros(0, dtype=U)
             elif bounds[i] == bounds[i + 1]:
@@ -60,7 +59,7 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
     """Hashes of shingles that many documents share: at most ``FREQUENT``, rising. They only order prefixes."""
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [s for s in shingle_sets(encoded(batch.column("text")), k) if len(s)]
+        sets = [s for s in shingle_sets(batch.column("text"), k) if len(s)]
         values, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64))
         often = np.flatnonzero(n >= FREQUENT_FROM)
         often = often[np.argsort(-n[often], kind="stable")][:FREQUENT_PER_BATCH]
@@ -75,7 +74,7 @@ def _sets(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFr
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for s in shingle_sets(encoded(batch.column("text")), k):
+        for s in shingle_sets(batch.column("text"), k):
             n = len(s)
             if not n:
                 rows.append((0, 0, 0, s.view(np.int64)))
@@ -118,7 +117,7 @@ def _full_sets(docs: DataFrame, wanted: np.ndarray, k: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bit = batch.column("bit").to_numpy().astype(U)
         batch = batch.filter(pa.array((wanted[(bit >> U(6)).astype(np.int64)] >> (bit & U(63))) & U(1) == 1))
-        sets = list(shingle_sets(encoded(batch.column("text")), k))
+        sets = list(shingle_sets(batch.column("text"), k))
         counts = [np.minimum(np.bincount((s % U(PLACES)).astype(np.int64), minlength=PLACES), 127).astype(np.int8) for s in sets]
         return pa.RecordBatch.from_arrays(
             [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),

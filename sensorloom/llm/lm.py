@@ -26,19 +26,18 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from sensorloom.llm.common import encoded, slices, stored
+from sensorloom.llm.common import SLICE, encoded, slices, stored
 from sensorloom.llm.words import U, cut, mix
 
-SHARD_BYTES, HEAD, MU = 16_000_000, 1024, (400.0, 100.0)
+SHARD_BYTES, HEAD, MU = 8_000_000, 1024, (400.0, 100.0)
 #: Hash of the end of a text, a token like any word.
 END = U(0x5EED0F7E5EED0F7E)
-_SLICE = 4_000_000
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, each text's end included, and the number of tokens of each text."""
     out, sizes = [], []
-    for a, b in slices([len(t) for t in texts], _SLICE):
+    for a, b in slices([len(t) for t in texts], SLICE):
         words = cut(texts[a:b])
         n = np.diff(words.first())
         stream = np.full(len(words.hashes) + b - a, END, dtype=U)

@@ -15,11 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sensorloom.llm.common import arrow_rows, encoded, slices
+from sensorloom.llm.common import arrow_rows, text_slices
 from sensorloom.llm.words import U, cut
 
 PASSAGE, SAMPLE, BAG, HASHED, HIDDEN, GATE = 64, 6000, 48, 32, 24, 12
-_SLICE = 4_000_000
 
 
 def _mask(chars: bytes) -> np.ndarray:
@@ -144,10 +143,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").select("key", "text", "y")
 
     def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, blobs = encoded(batch.column("text")), []
-        for a, b in slices([len(t) for t in texts], _SLICE):
-            x, owner = passages(texts[a:b])
-            for i in range(b - a):
+        blobs = []
+        for texts in text_slices(batch.column("text")):
+            x, owner = passages(texts)
+            for i in range(len(texts)):
                 mine = x[owner == i]
                 # evenly spread passages of long texts
                 blobs.append(mine[np.unique(np.linspace(0, len(mine) - 1, min(BAG, len(mine))).astype(int))].tobytes())
@@ -170,9 +169,7 @@ def predict(docs: DataFrame, model: GatedAttention | None, text: str = "text") -
     schema = docs.select(*keep).withColumn("score", F.lit(0.0)).schema
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, scores = encoded(batch.column(text)), []
-        for a, b in slices([len(t) for t in texts], _SLICE):
-            scores.append(np.full(b - a, 0.5) if model is None else model.forward(*passages(texts[a:b]))[0])
+        scores = [np.full(len(t), 0.5) if model is None else model.forward(*passages(t))[0] for t in text_slices(batch.column(text))]
         return pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(np.concatenate(scores))], names=[*keep, "score"])
 
     return arrow_rows(docs, schema, run)

@@ -34,19 +34,28 @@ def _inverse(odd: np.uint64) -> np.uint64:
     return U(pow(int(odd), -1, 1 << 64))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=U)
-    out[:1] = 1
-    return np.cumprod(out)
+    """The first n powers; those for usual sizes are kept."""
+    kept = _POWERS.get(int(base))
+    if kept is None or len(kept) < n:
+        out = np.full(max(n, 1 << 16), base, dtype=U)
+        out[0] = 1
+        kept = np.cumprod(out)
+        if len(kept) <= 1 << 21:
+            _POWERS[int(base)] = kept
+    return kept[:n]
 
 
 def _sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64) -> np.ndarray:
     """For each segment the sum of value * base^place, place counted from the segment's start."""
     n = len(values)
     total = np.zeros(n + 1, dtype=U)
-    np.cumsum(values * _powers(base, n), out=total[1:])
-    back = _powers(_inverse(base), n + 1)
-    return (total[ends] - total[starts]) * back[starts]
+    values *= _powers(base, n)
+    np.cumsum(values, out=total[1:])
+    return (total[ends] - total[starts]) * _powers(_inverse(base), n + 1)[starts]
 
 
 @dataclass
