@@ -16,13 +16,14 @@ from __future__ import annotations
 import bisect
 import os
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sensorloom.llm.common import arrow_rows, encoded, slices, stored
+from sensorloom.llm.common import arrow_rows, stored, text_slices
 from sensorloom.llm.words import U, mix
 
 CAPACITY, RUN = 4096, 256
@@ -38,7 +39,7 @@ class Encoder:
     one keeps its case.
     """
 
-    REMEMBERED, LONGEST = 400_000, 64
+    REMEMBERED, LONGEST = 300_000, 64
     _TAIL = b".,;:!?*#$%&"
 
     def __init__(self, path: str):
@@ -47,30 +48,49 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        out = []
-        for a, b in slices([len(t) for t in texts], 2_000_000):
-            words = [(t if b"<|" in t else t.lower()).split() for t in texts[a:b]]
-            if len(self.known) > self.REMEMBERED:
-                self.known = {}
-            known, new = self.known, set().union(*words)
-            new -= known.keys()
-            parts = {w: self._parts(w) for w in new}
-            missing = list({p for two in parts.values() for p in two} - known.keys())
-            found = self.tokenizer.encode_batch_fast([p.decode() for p in missing], add_special_tokens=False)
-            known.update((p, np.array(e.ids, dtype="<u4").tobytes()) for p, e in zip(missing, found, strict=True))
-            known.update((w, b"".join([known[p] for p in two])) for w, two in parts.items() if len(two) > 1)
-            out += [b"".join(map(known.__getitem__, w)) for w in words]
-            for w in [*new, *missing]:
-                if len(w) > self.LONGEST:
-                    known.pop(w, None)
+        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        new = set().union(*words)
+        if len(self.known) > self.REMEMBERED:  # what occurs right now is what occurs often
+            self.known = {w: self.known[w] for w in new & self.known.keys()}
+        known = self.known
+        new -= known.keys()
+        missing, halves = set(), []
+        for word, body in [(w, w.rstrip(self._TAIL)) for w in new]:
+            if len(body) == len(word) or not body[-1:].isalnum():
+                missing.add(word)
+            else:
+                halves.append((word, body, word[len(body):]))
+                missing.update((body, halves[-1][2]))
+        missing -= known.keys()
+        known.update(self._ids_of([p.decode() for p in missing], list(missing)))
+        known.update([(w, known[body] + known[tail]) for w, body, tail in halves])
+        out = [b"".join(map(known.__getitem__, w)) for w in words]
+        for w in [w for w in (*new, *missing) if len(w) > self.LONGEST]:
+            known.pop(w, None)
         return out
 
-    def _parts(self, word: bytes) -> tuple[bytes, ...]:
-        """A word, or what comes before its last punctuation and that punctuation."""
-        body = word.rstrip(self._TAIL)
-        return (body, word[len(body):]) if 0 < len(body) < len(word) and body[-1:].isalnum() else (word,)
+    def _ids_of(self, words: list[str], keys: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """Ids of each word. Words of letters alone are one unit each, so many go in one text and are told apart by
+        the tokens that end a unit."""
+        plain = [i for i, w in enumerate(words) if w.isalpha()]
+        rows = [" ".join([words[i] for i in plain[a:a + 256]]) for a in range(0, len(plain), 256)]
+        ids = np.array([i for e in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False) for i in e.ids], dtype="<u4")
+        stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        out = []
+        if len(stops) == len(plain):
+            raw = ids.tobytes()
+            out = [(keys[i], raw[4 * a:4 * b]) for i, a, b in zip(plain, [0, *stops], stops, strict=False)]
+            done = set(plain)
+        else:
+            done = set()
+        rest = [i for i in range(len(words)) if i not in done]
+        found = self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)
+        return out + [(keys[i], array("I", e.ids).tobytes()) for i, e in zip(rest, found, strict=True)]
 
 
 def encoder(path: str) -> Encoder:
@@ -206,7 +226,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         end = np.array([end_id], dtype="<u4").tobytes()
-        for doc, ids in zip(batch.column("key").to_pylist(), encoder(tokenizer).encode(encoded(batch.column("text"))), strict=True):
+        ids_of = (ids for texts in text_slices(batch.column("text")) for ids in encoder(tokenizer).encode(texts))
+        for doc, ids in zip(batch.column("key").to_pylist(), ids_of, strict=True):
             ids += end
             for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at:at + 4 * capacity]
