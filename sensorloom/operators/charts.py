@@ -33,12 +33,15 @@ def segments(df: DataFrame, keys: Sequence[str], value: str, reset: int) -> Data
 
 
 def cusum(df: DataFrame, keys: Sequence[str], z: str = "z", allowance: float = 0.5,
-          reset: int | None = 8) -> DataFrame:
+          reset: int | None = 8, stretches: DataFrame | None = None) -> DataFrame:
     """Two-sided CUSUM in closed form: a running sum less its lowest point so far in the segment.
 
-    With ``reset`` None the series is one segment and missing steps are simply absent.
+    With ``reset`` None the series is one segment and missing steps are simply absent. ``stretches`` takes the
+    place of ``df`` where its segments are known already.
     """
-    if reset is None:
+    if stretches is not None:
+        pass
+    elif reset is None:
         stretches = df.where(F.col(z).isNotNull()).withColumn("segment", F.lit(0).cast("bigint"))
     else:
         stretches = segments(df, keys, z, reset)
@@ -50,14 +53,18 @@ def cusum(df: DataFrame, keys: Sequence[str], z: str = "z", allowance: float = 0
 
 
 def ewma(df: DataFrame, keys: Sequence[str], z: str = "z", lam: float = 0.2, reset: int | None = 8,
-         reach: int = 256, block: int = 1024, exact_variance: bool = False) -> DataFrame:
+         reach: int = 256, block: int = 1024, exact_variance: bool = False,
+         stretches: DataFrame | None = None) -> DataFrame:
     """EWMA in standard deviations of itself.
 
     The average is a geometrically weighted running sum. Real steps are numbered inside their
     segment and cut into blocks with a halo of ``reach`` steps, beyond which a weight is under
-    0.8 ** 256, so the blocks are exact to rounding and the weights stay in range.
+    0.8 ** 256, so the blocks are exact to rounding and the weights stay in range. ``stretches`` is as for
+    :func:`cusum`.
     """
-    if reset is None:
+    if stretches is not None:
+        pass
+    elif reset is None:
         stretches = df.where(F.col(z).isNotNull()).withColumn("segment", F.lit(0).cast("bigint"))
     else:
         stretches = segments(df, keys, z, reset)

@@ -241,20 +241,18 @@ def standardised(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def charted(spark: SparkSession, sf: str) -> DataFrame:
-    """All three control statistics at every step."""
+    """All three control statistics at every step. Both sums run over the same stored stretches."""
     from sensorloom.operators import charts, frames
+    from sensorloom.session import checkpoint
 
     def make() -> DataFrame:
         z = standardised(spark, sf)
         spikes = frames.hampel(z, KEYS, F.col("floor"), HAMPEL_STEPS, value="resid")
-        sums = charts.cusum(z.select(*KEYS, "step", "z"), KEYS)
-        averages = charts.ewma(z.select(*KEYS, "step", "z"), KEYS)
+        stretches = checkpoint(charts.segments(z.select(*KEYS, "step", "z"), KEYS, "z", 8))
+        sums = charts.cusum(z, KEYS, stretches=stretches).drop("high", "low")
+        both = charts.ewma(z, KEYS, stretches=sums)
         at = [*KEYS, "step"]
-        return (
-            spikes.select(*at, "value", "resid", "z", "hampel")
-            .join(sums.select(*at, "cusum"), at, "left")
-            .join(averages.select(*at, "ewma"), at, "left")
-        )
+        return spikes.select(*at, "value", "resid", "z", "hampel").join(both.select(*at, "cusum", "ewma"), at, "left")
 
     return stored(spark, ("charted", sf), make)
 
