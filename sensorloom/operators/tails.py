@@ -65,12 +65,12 @@ def clusters_with(hits: DataFrame, keys: Sequence[str], stat: str, gap: int, car
     ).drop("_cluster")
 
 
-def fit_gpd(excess: DataFrame, keys: Sequence[str], y: str = "excess", rounds: int = 4,
-            points: int = 120, bounded: bool = False) -> DataFrame:
+def fit_gpd(excess: DataFrame, keys: Sequence[str], y: str = "excess", rounds: int = 5,
+            points: int = 48, bounded: bool = False) -> DataFrame:
     """(n, sigma, gamma) of a generalised Pareto per key by profile likelihood.
 
     With s = gamma / sigma the likelihood depends on s alone: gamma(s) = mean(log1p(s y)). Candidates
-    for s are spread over its range, each exceedance meets every candidate, and means are combined
+    for s are spread over its range, held as one array per key, and their means are taken in one aggregate
     map-side, so a key's exceedances never gather in one task. Each round narrows to the best
     candidate's neighbours. The exponential limit wins where no candidate beats it. ``bounded`` also
     tries negative shapes (down to -1), whose tails end.
@@ -82,35 +82,35 @@ def fit_gpd(excess: DataFrame, keys: Sequence[str], y: str = "excess", rounds: i
     limits = basics.withColumns({"_a": -(1 - 1e-6) / F.col("_top"), "_b": F.lit(0.0)})
     best = limits
     for i in range(rounds):
-        share = F.col("_i") / float(points)
-        if i:
-            at = F.col("_a") + (F.col("_b") - F.col("_a")) * share
-        else:
-            # first over nine decades of s in units of 1 / mean, on both sides of 0 if asked
-            split = 0.4 if bounded else 0.0
-            at = F.exp(math.log(1e-6) + (share - split) / (1 - split) * math.log(1e9)) / F.col("_mean")
-            if bounded:
-                at = F.when(share < split, F.col("_a") * F.pow(1 - share / split, 3.0)).otherwise(at)
-        grid = best.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(points)))).withColumn("_s", at)
-        grid = grid.where(F.col("_s") != 0)
-        scored = (
-            excess.select(*keys, y).join(grid.select(*keys, "_i", "_s"), list(keys))
-            .groupBy(*keys, "_i", "_s")
-            .agg(F.avg(F.log1p(F.col("_s") * F.col(y))).alias("_gamma"))
-            .withColumn("_ll", -F.log(F.col("_gamma") / F.col("_s")) - F.col("_gamma") - 1.0)
-            .where("_ll IS NOT NULL AND NOT isnan(_ll) AND _gamma > -1")
+        candidates = []
+        for k in range(points + 1):
+            share = k / float(points)
+            if i:
+                at = F.col("_a") + (F.col("_b") - F.col("_a")) * share
+            else:
+                # first over nine decades of s in units of 1 / mean, on both sides of 0 if asked
+                split = 0.4 if bounded else 0.0
+                if bounded and share < split:
+                    at = F.col("_a") * (1 - share / split) ** 3.0
+                else:
+                    at = math.exp(math.log(1e-6) + (share - split) / (1 - split) * math.log(1e9)) / F.col("_mean")
+            candidates.append(at)
+        tried = best.withColumn("_ss", F.array(*candidates))
+        # all candidates' means in one aggregate: an exceedance stays one row
+        means = excess.join(tried.select(*keys, "_ss"), list(keys)).groupBy(*keys).agg(
+            *[F.avg(F.log1p(F.get("_ss", F.lit(k)) * F.col(y))).alias(f"_g{k}") for k in range(points + 1)]
         )
-        top = scored.groupBy(*keys).agg(
-            F.max_by(F.struct("_i", "_s", "_gamma", "_ll"), "_ll").alias("_best")
+        means = means.select(*keys, F.array(*[f"_g{k}" for k in range(points + 1)]).alias("_gs"))
+        cells = F.transform(
+            F.arrays_zip("_ss", "_gs"),
+            lambda c, k: F.struct((-F.log(c["_gs"] / c["_ss"]) - c["_gs"] - 1.0).alias("_ll"), k.alias("_k"), c["_ss"].alias("_s"), c["_gs"].alias("_gamma")),
         )
-        around = grid.select(*keys, "_i", "_s").join(top, list(keys)).groupBy(*keys).agg(
-            F.first("_best").alias("_best"),
-            F.max(F.when(F.col("_i") < F.col("_best._i"), F.col("_s"))).alias("_na"),
-            F.min(F.when(F.col("_i") > F.col("_best._i"), F.col("_s"))).alias("_nb"),
-        )
-        best = checkpoint(basics.join(around, list(keys)).select(
+        usable = F.filter(cells, lambda c: c["_ll"].isNotNull() & ~F.isnan(c["_ll"]) & (c["_s"] != 0) & (c["_gamma"] > -1))
+        found = tried.join(means, list(keys)).withColumn("_best", F.array_max(usable)).where("_best IS NOT NULL")
+        beside = lambda step: F.when(F.get("_ss", F.col("_best._k") + step) != 0, F.get("_ss", F.col("_best._k") + step))
+        best = checkpoint(found.select(
             *keys, "n", "_mean", "_top", "_best",
-            F.coalesce("_na", "_best._s").alias("_a"), F.coalesce("_nb", "_best._s").alias("_b"),
+            F.coalesce(beside(-1), F.col("_best._s")).alias("_a"), F.coalesce(beside(1), F.col("_best._s")).alias("_b"),
         ))  # one row per key
     flat = -F.log("_mean") - 1.0
     exponential = flat >= F.col("_best._ll")

@@ -104,7 +104,8 @@ def n7(spark, sf):
     return out.select("site", r6("ratio").alias("ratio"), (F.col("ratio") > 0.1).alias("drifted"))
 
 
-@query("n8_reference_sample")
+@query("n8_reference_sample", f"""
+WITH {EV} SELECT site, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY md5(seq::VARCHAR)) AS r FROM ev) WHERE r <= 500""")
 def n8(spark, sf):
     return health.reference_sample(base.readings(spark, sf), ["site"], 500).select("site", "seq", "value")
 
