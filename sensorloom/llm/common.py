@@ -48,6 +48,7 @@ def arrow_rows(
         for batch in batches:
             if batch.num_rows:
                 yield make(batch)
+        pa.default_memory_pool().release_unused()  # workers live on
 
     return df.mapInArrow(run, schema)
 

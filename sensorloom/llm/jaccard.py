@@ -59,9 +59,13 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
     """Hashes of shingles that many documents share: at most ``FREQUENT``, rising. They only order prefixes."""
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [s for s in shingle_sets(batch.column("text"), k) if len(s)]
-        values, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64))
-        often = np.flatnonzero(n >= FREQUENT_FROM)
+        # of the sorted shingles only those that stand FREQUENT_FROM times in a row are looked at any more
+        every = np.concatenate([np.zeros(0, dtype=U), *shingle_sets(batch.column("text"), k)])
+        every.sort()
+        reach = FREQUENT_FROM - 1
+        values, n = np.unique(every[reach:][every[reach:] == every[:len(every) - reach]], return_counts=True)
+        n = n + reach
+        often = np.arange(len(n))
         often = often[np.argsort(-n[often], kind="stable")][:FREQUENT_PER_BATCH]
         return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(n[often])], names=["s", "n"])
 
