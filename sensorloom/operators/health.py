@@ -90,7 +90,7 @@ def muted(ranges: DataFrame, keys: Sequence[str], cut_day: Column, need: int, da
     )
 
 
-def wasserstein(current: DataFrame, reference: DataFrame, keys: Sequence[str], value: str, width: float, need: int = 1000) -> DataFrame:
+def wasserstein(current: DataFrame, reference: DataFrame, keys: Sequence[str], value: str, width: float, need: int = 1) -> DataFrame:
     """1-D Wasserstein distance per key over the reference's deviation, exact.
 
     No ratio with under ``need`` readings on either side, nor where the reference does not vary.

@@ -100,7 +100,7 @@ SELECT site, r6(CASE WHEN least(sum(a), sum(b)) >= 1000 AND any_value(sd) > 0 TH
   CASE WHEN least(sum(a), sum(b)) >= 1000 AND any_value(sd) > 0 THEN sum(abs(fa - fb) * (nxt - value)) / any_value(sd) > 0.1 END AS drifted FROM c JOIN sd USING (site) GROUP BY site""")
 def n7(spark, sf):
     rows = base.readings(spark, sf).where("value IS NOT NULL")
-    out = health.wasserstein(rows.where(F.col("us") >= CUT), rows.where(F.col("us") < CUT), ["site"], "value", 4.0)
+    out = health.wasserstein(rows.where(F.col("us") >= CUT), rows.where(F.col("us") < CUT), ["site"], "value", 4.0, need=1000)
     return out.select("site", r6("ratio").alias("ratio"), (F.col("ratio") > 0.1).alias("drifted"))
 
 

@@ -76,3 +76,15 @@ def test_keys_with_only_labels_or_detections_are_scored(spark):
     grid = spark.createDataFrame(rows, "site string, step bigint, labelled boolean, over boolean")
     got = {r["site"]: (r["range_precision"], r["range_recall"]) for r in evaluate.range_scores(grid, ["site"], "labelled", "over").collect()}
     assert got == {"only labels": (None, 0.0), "only detections": (0.0, None)}
+
+
+def test_drift_needs_readings_and_a_reference_that_varies(spark):
+    from sensorloom.operators import health
+
+    rows = [("few", float(i)) for i in range(3)] + [("many", float(i)) for i in range(50)]
+    now = spark.createDataFrame(rows, "site string, value double")
+    still = spark.createDataFrame([("many", 1.0)] * 50 + [("few", 1.0)] * 50, "site string, value double")
+    assert {r["site"]: r["ratio"] for r in health.wasserstein(now, still, ["site"], "value", 4.0, need=10).collect()} == {"few": None, "many": None}
+    then = now.withColumn("value", F.col("value") + 1)
+    got = {r["site"]: r["ratio"] for r in health.wasserstein(now, then, ["site"], "value", 4.0, need=10).collect()}
+    assert got["few"] is None and got["many"] > 0
