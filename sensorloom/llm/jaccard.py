@@ -224,9 +224,16 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, text
 
 
 def _unsettled(members: DataFrame) -> DataFrame:
-    """Members (region, node, label) of the regions that hold more than one component."""
-    held = members.groupBy("region").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
-    return members.join(held.select("region"), "region")
+    """Members (region, node, label) of the regions that hold more than one component, one region of each member set.
+
+    Near copies share many shingles and so meet in many regions with the very same members; one of them has
+    all of their pairs. Member sets are told apart by their size and two 64-bit hashes.
+    """
+    held = members.groupBy("region").agg(
+        F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("size"),
+        F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("two")).where("least < most")
+    kept = held.groupBy("size", "one", "two").agg(F.min("region").alias("region")).select("region")
+    return members.join(kept, "region")
 
 
 def _next_regions(members: DataFrame, faced: DataFrame, known: DataFrame, labels: DataFrame, percent: int, pivots: int) -> DataFrame:
