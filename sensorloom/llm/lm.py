@@ -1,8 +1,9 @@
 """Operator 10: log-probabilities of texts under a smoothed n-gram model, by a backoff automaton.
 
 The model's states are the contexts of up to two words; an arc reads a word, a failure arc takes the last word
-less of context at a weight. Contexts and the words of longer n-grams are the ``HEAD`` most frequent words; all
-other words are the open class, read by the unigram at the bottom. Counts are global and exact.
+less of context at a weight. Contexts and the words of longer n-grams are all words of the training texts; only words
+that these do not have are the open class, read by the unigram at the bottom. With ``head`` the words of longer n-grams
+are that many of the most frequent ones, all others are open. Counts are global and exact.
 
 No task holds the model. Documents lie in shards of some MB, written once as token streams. A shard sends
 its distinct keys with its counts to buckets of keys, a bucket adds them up over all shards, and each shard
@@ -14,7 +15,10 @@ Smoothing: with c(h) the count of context h, r(h) that of h before an open word,
 and the open mass of the shorter context,
     P(w|h) = (c(hw) + mu P'(w)) / (c(h) + mu)                for head words, and
     P(w|h) = (r(h) + mu Q') / (c(h) + mu) * P'(w) / Q'       for open words,
-which sum to one.
+which sum to one. Over the whole vocabulary r(h) is 0, c(h) of a word is its own count and c(h) of two words that of
+their 2-gram, so 2-grams and 3-grams are all that is counted besides words. An n-gram's key is a hash of its words; a quarter
+of all keys is counted after the other, so that shuffle files of one are on disk. A text gives its own states, so all
+of its tokens take their arcs and failure arcs at once (``read_all``).
 """
 
 from __future__ import annotations
@@ -26,10 +30,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from sensorloom.llm.common import SLICE, encoded, slices, stored
+from sensorloom.llm.common import SLICE, encoded, release, slices, stored
 from sensorloom.llm.words import U, cut, mix
 
-SHARD_BYTES, HEAD, MU = 8_000_000, 1024, (400.0, 100.0)
+SHARD_BYTES, MU = 8_000_000, (400.0, 100.0)
+#: Keys of n-grams are counted by their first two bits.
+PARTS = 4
 #: Hash of the end of a text, a token like any word.
 END = U(0x5EED0F7E5EED0F7E)
 
@@ -57,13 +63,34 @@ def _unsqueeze(blob: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Compressed 64-bit numbers, their bytes by place, after how many they are."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    raw = pa.decompress(blob[8:], 8 * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel().view(np.int64)
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys by their differences."""
+    return _packed(np.diff(keys.view(U), prepend=U(0)))
+
+
+def _unpacked_keys(blob: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(blob).view(U), dtype=U).view(np.int64)
+
+
 def _by_bucket(keys: np.ndarray, counts: np.ndarray, buckets: int) -> tuple[np.ndarray, list[dict]]:
     """Order of the keys by bucket, then value, and the rows to send."""
     bucket = (mix(keys.view(U) ^ U(0x1234567)) % U(buckets)).astype(np.int64)
     order = np.lexsort((keys, bucket))
     which, begins = np.unique(bucket[order], return_index=True)
     ends = [*begins[1:], len(keys)]
-    rows = [{"bucket": int(w), "keys": keys[order[a:b]].tobytes(), "counts": counts[order[a:b]].astype("<u4").tobytes()}
+    rows = [{"bucket": int(w), "keys": _packed_keys(keys[order[a:b]]), "counts": _packed(counts[order[a:b]])}
             for w, a, b in zip(which, begins, ends, strict=True)]
     return order, rows
 
@@ -104,7 +131,7 @@ def shards(docs: DataFrame, buckets: int, shard_bytes: int) -> DataFrame:
     return docs.mapInArrow(run, f"shard long, docs array<struct<doc:bigint,held:boolean,n:bigint>>, stream binary, words {_ROWS}")
 
 
-def totals(sent: DataFrame, top: int = 0) -> DataFrame:
+def totals(sent: DataFrame, top: int | None = None) -> DataFrame:
     """Counts summed over all shards, by bucket, and given back to each shard in the order of its keys.
 
     With ``top``, also a row without a shard per bucket: its sum, its number of keys with a count, and its
@@ -112,18 +139,18 @@ def totals(sent: DataFrame, top: int = 0) -> DataFrame:
     """
 
     def merge(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(b, np.int64) for b in table.column("keys").to_pylist()]
-        counts = np.concatenate([np.frombuffer(b, "<u4") for b in table.column("counts").to_pylist()])
+        keys = [_unpacked_keys(b) for b in table.column("keys").to_pylist()]
+        counts = np.concatenate([_unpacked(b) for b in table.column("counts").to_pylist()])
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(place, weights=counts).astype(np.int64)
         given = total[place]
         ends = np.cumsum([0, *map(len, keys)])
         shard = table.column("shard").to_pylist()
         bucket = table.column("bucket").to_pylist()
-        blobs = [given[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        blobs = [_packed(given[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
         n, seen, most, least = [None] * len(shard), [None] * len(shard), [None] * len(shard), [None] * len(shard)
-        if top:
-            order = np.lexsort((distinct, -total))[:top]
+        if top is not None:
+            order = np.lexsort((distinct, -total))[:top] if top else np.zeros(0, dtype=np.int64)
             order = order[total[order] > 0]
             shard, bucket, blobs = [*shard, None], [*bucket, bucket[0]], [*blobs, None]
             n, seen = [*n, int(total.sum())], [*seen, int((total > 0).sum())]
@@ -137,6 +164,52 @@ def totals(sent: DataFrame, top: int = 0) -> DataFrame:
         merge, "shard long, bucket int, totals binary, n long, seen long, top_keys array<long>, top_counts array<long>")
 
 
+def all_ngrams(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the 2-gram that ends at each token (the first one's begins with an end) and of the 3-grams after it.
+
+    3-grams are those of all tokens but the first of each text, in order.
+    """
+    first = np.cumsum(sizes) - sizes
+    with np.errstate(over="ignore"):
+        before = np.concatenate([words[:1], words[:-1]])
+        before[first] = END
+        two = mix(mix(before) * U(3) + words)
+        later = np.ones(len(words), dtype=bool)
+        later[first] = False
+        at = np.flatnonzero(later)
+        return two, mix(two[at - 1] * U(5) + words[at] + U(1))
+
+
+def part_keys(keys: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the keys of a part are, its distinct keys, rising, and the place of each among them."""
+    at = np.flatnonzero(keys >> U(62) == U(part))
+    return at, *np.unique(keys[at], return_inverse=True)
+
+
+def part_rows(keys: np.ndarray, counts: np.ndarray, buckets: int) -> list[dict]:
+    """Rows to send of a part's distinct keys: buckets are stretches of the keys, so order stays."""
+    bucket = (keys << U(2) >> U(32)) * U(buckets) >> U(32)
+    which, begins = np.unique(bucket, return_index=True)
+    return [{"bucket": int(w), "keys": _packed_keys(keys[a:b]), "counts": _packed(counts[a:b])}
+            for w, a, b in zip(which, begins, [*begins[1:], len(keys)][:len(begins)], strict=True)]
+
+
+def read_all(sizes: np.ndarray, c0: np.ndarray, end: int, c2: np.ndarray, c3: np.ndarray, whole: float, mu=MU) -> np.ndarray:
+    """Log10 probability of each text: counts of each token, of its 2-gram and, but for first tokens, its 3-gram.
+
+    An arc is taken where its n-gram has a count; without one, the same formula is the failure arc's weight.
+    """
+    first = np.cumsum(sizes) - sizes
+    context = np.concatenate([c0[:1], c0[:-1]])
+    context[first] = end
+    p = (c2 + mu[0] * (c0 + 0.5) / whole) / (context + mu[0])
+    later = np.ones(len(c0), dtype=bool)
+    later[first] = False
+    at = np.flatnonzero(later)
+    p[at] = (c3 + mu[1] * p[at]) / (c2[at - 1] + mu[1])
+    return np.add.reduceat(np.log10(p), first)
+
+
 class Head:
     """The frequent words: their hashes, rising, with the end of a text always among them."""
 
@@ -258,13 +331,14 @@ class Automaton:
         return total
 
 
-def score(docs: DataFrame, text: str = "text", key: str = "doc_id", fold: int = 1, folds: int = 5, head: int = HEAD, mu=MU, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def score(docs: DataFrame, text: str = "text", key: str = "doc_id", fold: int = 1, folds: int = 5, head: int | None = None, mu=MU, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Score every text with a model learned from the documents whose crc32(id) mod ``folds`` is not ``fold``.
 
     One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score (smoothed
     unigram), score (log10 probability under the automaton). Tokens are the lower-cased (A-Z) words that white
     space parts, and one end; null and empty texts are an end alone. Rows without an id are learned from.
-    Repeated rows count as often as they come. Without any text to learn from, every token has its
+    Repeated rows count as often as they come. n-grams are over the whole vocabulary, or over the ``head`` most frequent
+    words. Without any text to learn from, every token has its
     share of one unknown.
     """
     held = F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds == fold, F.lit(False))
@@ -272,10 +346,10 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", fold: int =
     size = source.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     buckets = max(1, -(-((size[0] or 0) + 64 * size[1]) // shard_bytes))
     made = stored(shards(source, buckets, shard_bytes))
-    words = stored(totals(made.select("shard", F.inline("words")), top=head))
+    words = stored(totals(made.select("shard", F.inline("words")), top=head or 0))
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("seen"), F.lit(0))).first()
-    # at most `head` rows
-    best = words.where("shard IS NULL").select(F.inline(F.arrays_zip("top_keys", "top_counts"))).orderBy(F.desc("top_counts"), "top_keys").limit(head).collect()
+    # at most `head` rows, none for the whole vocabulary
+    best = [] if head is None else words.where("shard IS NULL").select(F.inline(F.arrays_zip("top_keys", "top_counts"))).orderBy(F.desc("top_counts"), "top_keys").limit(head).collect()
     frequent = Head([r["top_keys"] for r in best])
     counted = {r["top_keys"]: r["top_counts"] for r in best}
     whole = n + 0.5 * (v + 1)
@@ -285,41 +359,67 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", fold: int =
     def streams(docs_of, blob, word_rows):
         held_out = np.array([d["held"] for d in docs_of])
         sizes = np.array([d["n"] for d in docs_of], dtype=np.int64)
-        vocabulary = np.concatenate([np.frombuffer(r["keys"], U) for r in word_rows])
-        ids = _unsqueeze(blob, int(sizes.sum()))
-        in_order = frequent.of(vocabulary)
-        keys, counts = ngrams(in_order[ids], sizes, np.repeat(~held_out, sizes), frequent)
-        return sizes, ids, in_order, keys, counts
+        vocabulary = np.concatenate([_unpacked_keys(r["keys"]).view(U) for r in word_rows])
+        return sizes, _unsqueeze(blob, int(sizes.sum())), vocabulary, np.repeat(~held_out, sizes)
 
-    def count(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard, docs_of, blob, word_rows in zip(*(batch.column(c).to_pylist() for c in ("shard", "docs", "stream", "words")), strict=True):
-                *_, keys, counts = streams(docs_of, blob, word_rows)
-                _, rows = _by_bucket(keys, counts, buckets)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard] * len(rows), pa.int64()), *(pa.array([r[c] for r in rows], t) for c, t in (("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())))],
-                    names=["shard", "bucket", "keys", "counts"])
-
-    grams = totals(made.mapInArrow(count, "shard long, bucket int, keys binary, counts binary"))
-    given = words.where("shard IS NOT NULL").select("shard", F.lit(0).alias("part"), "bucket", "totals").unionByName(
-        grams.select("shard", F.lit(1).alias("part"), "bucket", "totals"))
+    def of_head(sizes, ids, vocabulary, learn):
+        in_order = frequent.of(vocabulary)
+        return in_order, *ngrams(in_order[ids], sizes, learn, frequent)
+
+    def of_part(part, sizes, ids, vocabulary, learn):
+        at, keys, place = part_keys(np.concatenate(all_ngrams(vocabulary[ids], sizes)), part)
+        learn = np.concatenate([learn, np.delete(learn, np.cumsum(sizes) - sizes)])[at]
+        return part_rows(keys, np.bincount(place[learn], minlength=len(keys)), -(-buckets // PARTS))
+
+    def count(part: int | None):
+        def run(batches) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(batch.num_rows):
+                    shard, *row = (batch.column(c)[at].as_py() for c in ("shard", "docs", "stream", "words"))
+                    rows = _by_bucket(*of_head(*streams(*row))[1:], buckets)[1] if part is None else of_part(part, *streams(*row))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([shard] * len(rows), pa.int64()), *(pa.array([r[c] for r in rows], t) for c, t in (("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())))],
+                        names=["shard", "bucket", "keys", "counts"])
+
+        return totals(made.mapInArrow(run, "shard long, bucket int, keys binary, counts binary")).select("shard", "bucket", "totals")
+
+    given = words.where("shard IS NOT NULL").select("shard", F.lit(-1).alias("part"), "bucket", "totals")
+    if head is None:
+        for part in range(PARTS):
+            given = given.unionByName(release(stored(count(part).withColumn("part", F.lit(part)))))
+    else:
+        given = given.unionByName(count(None).withColumn("part", F.lit(0)))
 
     def read(mine: pa.Table, counts_of: pa.Table) -> pa.Table:
         out = []
-        rows = counts_of.to_pylist()
-        got = [np.concatenate([np.frombuffer(r["totals"], np.int64) for r in sorted((r for r in rows if r["part"] == part), key=lambda r: r["bucket"])]) for part in (0, 1)]
+        rows = sorted(counts_of.to_pylist(), key=lambda r: (r["part"], r["bucket"]))
+
+        def got(part):
+            return np.concatenate([np.zeros(0, np.int64), *(_unpacked(r["totals"]) for r in rows if r["part"] == part)])
+
         for row in mine.to_pylist():
-            sizes, ids, in_order, keys, _ = streams(row["docs"], row["stream"], row["words"])
-            order, _ = _by_bucket(keys, np.zeros(len(keys), dtype=np.int64), buckets)
-            unigram = (got[0] + 0.5) / whole
+            stream = sizes, ids, vocabulary, _ = streams(row["docs"], row["stream"], row["words"])
+            seen = got(-1)
+            unigram = (seen + 0.5) / whole
             logs = np.log10(unigram)
-            automaton = Automaton(keys[order], got[1], in_order, unigram, frequent, open_mass, mu)
+            if head is None:
+                grams = np.concatenate(all_ngrams(vocabulary[ids], sizes))
+                total = np.empty(len(grams), dtype=np.int64)
+                for part in range(PARTS):
+                    at, _, place = part_keys(grams, part)
+                    total[at] = got(part)[place]
+                end = int(seen[np.flatnonzero(vocabulary == END)[0]])
+                scores = read_all(sizes, seen[ids], end, total[:len(ids)], total[len(ids):], whole, mu).tolist()
+            else:
+                in_order, keys, counts = of_head(*stream)
+                order, _ = _by_bucket(keys, counts, buckets)
+                automaton = Automaton(keys[order], got(0), in_order, unigram, frequent, open_mass, mu)
             at = 0
-            for d, size in zip(row["docs"], sizes.tolist(), strict=True):
+            for i, (d, size) in enumerate(zip(row["docs"], sizes.tolist(), strict=True)):
                 part = ids[at:at + size]
                 bottom = logs[part]
-                out.append((d["doc"], d["held"], size, int((got[0][part] > 0).sum()), n, float(bottom.sum()),
-                            automaton.read(in_order[part].tolist(), bottom.tolist())))
+                out.append((d["doc"], d["held"], size, int((seen[part] > 0).sum()), n, float(bottom.sum()),
+                            scores[i] if head is None else automaton.read(in_order[part].tolist(), bottom.tolist())))
                 at += size
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         names = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

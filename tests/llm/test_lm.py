@@ -86,6 +86,21 @@ def test_against_the_formulas(documents, odd, head, shard_bytes):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9, abs=1e-9)
 
 
+def test_whole_vocabulary_against_the_formulas(documents, odd):
+    docs = documents.select("doc_id", "text").where("length(text) < 3000").unionByName(odd.select("doc_id", "text"))
+    rows = [(r["doc_id"], r["text"]) for r in rows_of(docs)]
+    got = rows_of(lm.score(docs, mu=(30.0, 5.0), shard_bytes=20_000))
+    plain = Plain(rows, {w for d, t in rows if not held(d) for w in tokens(t)} | {END}, (30.0, 5.0))
+    assert len(plain.head) > 1024
+    want = []
+    for d, t in rows:
+        padded = [".none", END, *tokens(t)]
+        want.append((repr(d), len(padded) - 2, sum(math.log10(plain.p(*padded[i:i + 3])) for i in range(len(padded) - 2))))
+    got = sorted((repr(r["doc_id"]), r["n_tokens"], r["score"]) for r in got)
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-9, abs=1e-9)
+
+
 def test_probabilities_sum_to_one():
     rows = [(i, t) for i, t in enumerate(["a b a b c", "a b d e", "b a b a", "x y z a b", "a b a c"])]
     plain = Plain(rows, {"a", "b", END}, (2.0, 1.0))
