@@ -43,6 +43,17 @@ _MOD97 = (
     "CASE WHEN c = '' THEN a WHEN c <= '9' THEN (a * 10 + int(c)) % 97 ELSE (a * 100 + ascii(c) - 55) % 97 END) = 1"
 )
 
+#: How long the IBANs of each country are.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_OF_COUNTRY = "(?:" + "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in _IBAN_LENGTHS.items()) + ")(?![A-Za-z0-9])"
+#: Of a known country by its length, so that capitals and digits after it are no part of it; else the whole run, up to such a one.
+_IBAN_PATTERN = rf"(?<![A-Za-z0-9])(?:{_OF_COUNTRY}|[A-Z]{{2}}[0-9]{{2}}(?:(?! {_OF_COUNTRY}) ?[A-Z0-9]){{11,30}}+(?![A-Za-z0-9]))"
+
 KINDS = (
     Kind("email", rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.9,
          "mail|contact|write", base=True),
@@ -52,7 +63,7 @@ KINDS = (
          f"length({_DIGITS}) BETWEEN 12 AND 19 AND {_LUHN}", base=True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.6, "phone|tel|call|mobile",
          f"length({_DIGITS}) BETWEEN 9 AND 15", base=True),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", 0.9, "iban|account|bank",
+    Kind("iban", _IBAN_PATTERN, "[A-Z]{2}[0-9]{2}", 0.9, "iban|account|bank",
          f"length({_IBAN}) BETWEEN 15 AND 34 AND {_MOD97}"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]-[0-9]", 0.4, "ssn|social|security",
          "m NOT rlike '^(?:000|666|9)|-00-|-0000$'"),

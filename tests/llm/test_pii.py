@@ -60,6 +60,21 @@ def test_added_kinds_are_checked(spark):
     assert text == "Pay to account [IBAN] today"
 
 
+def test_ibans_before_capitals_and_digits(spark):
+    texts = {
+        "GB82 WEST 1234 5698 7654 32 Please pay": ["GB82 WEST 1234 5698 7654 32"],
+        "IBAN GB82WEST12345698765432 2024": ["GB82WEST12345698765432"],
+        "DE89370400440532013000 BIC COBADEFF": ["DE89370400440532013000"],
+        "DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32 X": ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"],
+        "NO93 8601 1117 947 AND MT84MALT011000012345MTLCAST001S": ["NO93 8601 1117 947", "MT84MALT011000012345MTLCAST001S"],
+        "Order AB12 CDEF GHIJ KLMN DE89370400440532013000": ["DE89370400440532013000"],
+        "GB83 WEST 1234 5698 7654 32 Please pay": [], "DE89370400440532013000X": [], "DE8937040044053201300 BIC": [],
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["text"]: [r["text"][a:b] for k, a, b in spans(r, False) if k == "iban"] for r in rows_of(pii.find_pii(docs))}
+    assert got == texts
+
+
 def test_odd_rows(odd, empty):
     out = pii.find_pii(odd.withColumnRenamed("n_words", "pii"))
     assert out.count() == odd.count() and out.columns == ["doc_id", "text", "source", "pii"]
