@@ -2,9 +2,10 @@
 
 The standard library's parser streams events. Blocks of text are the lines of a page; each has the number
 of its characters and of the tags in and around it. The ratios are smoothed with a Gaussian, clustered
-around a threshold, and the lines above it select the content region: the innermost container that holds
-most of their text. All lines of that region are returned, short ones too; what sits in menus, headers,
-footers, side bars, notices, adverts, forms, scripts, styles or reader comments never counts.
+around a threshold, and the lines above it select the content region: an article or main element that holds
+most of their text, else the innermost container that holds all of it. All lines of that region are returned,
+short ones too; what sits in menus, headers, footers, side bars, notices, adverts, forms, scripts, styles or
+reader comments never counts. Where only a class or id name says so, the ratios may overrule it (``overruled``).
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ SKIPPED = frozenset(
 BLOCKS = frozenset(
     "address article blockquote body br caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 "
     "h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
 CONTAINERS = frozenset("article body center div html main section table td".split())
 #: Words of class and id names, and roles, of what is not the article.
 NAMES = frozenset(
@@ -43,12 +45,13 @@ _CLOSES = {"p": {"p"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr
 
 
 class Blocks(HTMLParser):
-    """Collects text blocks outside skipped elements: text, tags, and the path of containers."""
+    """Collects text blocks outside skipped elements: text, tags, the path of containers, the elements named away."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, tuple[int, ...]]] = []
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
+        self.stack: list[tuple[str, bool, tuple[int, ...], tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...], tuple[int, ...]]] = []
+        self.plain: dict[int, bool] = {}
         self.parts: list[str] = []
         self.tags = 0
         self.next = 0
@@ -60,15 +63,26 @@ class Blocks(HTMLParser):
     def path(self) -> tuple[int, ...]:
         return self.stack[-1][2] if self.stack else ()
 
+    def named(self) -> tuple[int, ...]:
+        return self.stack[-1][3] if self.stack else ()
+
+    def end_head(self, tag: str) -> None:
+        """The end tag of a head may be left out: the body or anything else that is not of a head ends it."""
+        if self.stack and (self.stack[-1][0] == "head" and tag not in IN_HEAD or tag == "body"):
+            at = next((i for i, x in enumerate(self.stack) if x[0] == "head"), None)
+            if at is not None:
+                del self.stack[at:]
+
     def end_block(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.path()))
+            self.lines.append((text, self.tags, self.path(), self.named()))
             self.tags = 0
         self.parts = []
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
+        self.end_head(tag)
         if tag in BLOCKS and not self.skipping():
             self.end_block()
         if tag in VOID:
@@ -81,15 +95,20 @@ class Blocks(HTMLParser):
                     break
                 if name in CONTAINERS or name in SKIPPED or name in ("ul", "ol", "dl"):
                     break
-        skip = self.skipping() or tag in SKIPPED or self._named_away(tag, attrs)
-        if skip and not self.skipping():
+        plain = self._named(tag, attrs)
+        skip = self.skipping() or tag in SKIPPED or self._put_away(tag, attrs)
+        if (skip or plain is not None) and not self.skipping():
             self.end_block()
-        path = self.path()
+        path, named = self.path(), self.named()
+        if plain is not None and not skip:
+            self.next += 1
+            self.plain[self.next] = plain
+            named = (*named, self.next)
         if tag in CONTAINERS and not skip:
             self.next += 1
             self.kinds[self.next] = tag
             path = (*path, self.next)
-        self.stack.append((tag, skip, path))
+        self.stack.append((tag, skip, path, named))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -97,12 +116,19 @@ class Blocks(HTMLParser):
             self.handle_endtag(tag)
 
     @staticmethod
-    def _named_away(tag, attrs) -> bool:
+    def _named(tag, attrs) -> bool | None:
+        """Whether a class or id is of ``NAMES`` words only; None if it has none of them."""
+        if tag in ("html", "body", "article", "main"):
+            return None
+        words = [_NAME.findall(v) for key, value in attrs if value and key in ("class", "id") for v in value.lower().split()]
+        words = [x for x in words if any(w in NAMES for w in x)]
+        return any(all(w in NAMES for w in x) for x in words) if words else None
+
+    @staticmethod
+    def _put_away(tag, attrs) -> bool:
         if tag in ("html", "body", "article", "main"):
             return False
         for key, value in attrs:
-            if value and key in ("class", "id") and any(w in NAMES for w in _NAME.findall(value.lower())):
-                return True
             if value and key == "role" and value.lower().strip() in ROLES:
                 return True
             if key == "hidden" or key == "aria-hidden" and value == "true":
@@ -117,13 +143,17 @@ class Blocks(HTMLParser):
         if at is None:
             return
         # a stray end tag inside a container or a skipped part does not close what is around it
-        if tag not in CONTAINERS and tag not in SKIPPED and any(n in CONTAINERS or n in SKIPPED for n, _, _ in self.stack[at + 1:]):
+        if tag not in CONTAINERS and tag not in SKIPPED and any(x[0] in CONTAINERS or x[0] in SKIPPED for x in self.stack[at + 1:]):
             return
-        if tag in CONTAINERS and not self.skipping():
+        if not self.skipping() and (tag in CONTAINERS or self.named() != (self.stack[at - 1][3] if at else ())):
             self.end_block()
+        if self.stack[at][1] and not (at and self.stack[at - 1][1]):
+            self.tags = 0  # those of a skipped part are not around the next line
         del self.stack[at:]
 
     def handle_data(self, data):
+        if data.strip():
+            self.end_head("")
         if not self.skipping():
             self.parts.append(data)
 
@@ -148,27 +178,56 @@ def clustered(values: np.ndarray) -> np.ndarray:
     return values >= line
 
 
+def selected(lines: list[tuple], sigma: float) -> np.ndarray:
+    """The size of each line of content, 0 for the others.
+
+    That is the upper cluster of the smoothed ratios and all with half of its mean, as two clusters part like lines too.
+    """
+    sizes = np.array([len(x[0]) for x in lines], dtype=float)
+    ratios = sizes / np.array([max(1, x[1]) for x in lines])
+    values = smoothed(ratios, sigma)
+    return np.where(values >= values[clustered(values)].mean() / 2, sizes, 0.0)
+
+
+def overruled(parser: Blocks, sigma: float, cover: float) -> set[int]:
+    """Elements named away that hold the page's main text after all.
+
+    They hold most of the selected text, and article or main elements outside have under a twentieth of it. If the name
+    says nothing else ("comments", not "has-comments"), all that is in no such element must be under that, too.
+    """
+    weight = selected(parser.lines, sigma)
+    marks = np.array([any(parser.kinds[n] in ("article", "main") for n in x[2]) for x in parser.lines])
+    sizes = np.array([len(x[0]) for x in parser.lines])
+    bare = sum(len(x[0]) for x in parser.lines if not x[3])
+    out = set()
+    for node in {n for x in parser.lines for n in x[3]}:
+        inside = np.array([node in x[3] for x in parser.lines])
+        own = weight[inside].sum()
+        if own > cover * weight.sum() and not (parser.plain[node] and 20 * bare >= own) and 20 * sizes[~inside & marks].sum() < own:
+            out.add(node)
+    return out
+
+
 def main_text(html: str | None, sigma: float = 1.0, cover: float = 0.5) -> str:
     parser = Blocks()
     parser.feed(html or "")
     parser.close()
     parser.end_block()
     lines = parser.lines
+    stay = overruled(parser, sigma, cover) if any(x[3] for x in lines) else set()
+    lines = [x for x in lines if stay.issuperset(x[3])]
     if not lines:
         return ""
-    sizes = np.array([len(t) for t, _, _ in lines], dtype=float)
-    ratios = sizes / np.array([max(1, n) for _, n, _ in lines])
-    content = clustered(smoothed(ratios, sigma))
-    weight = np.where(content, sizes, 0.0)
+    weight = selected(lines, sigma)
     held: dict[int, float] = {}
-    for (_, _, path), w in zip(lines, weight, strict=True):
+    for (_, _, path, _), w in zip(lines, weight, strict=True):
         for node in path:
             held[node] = held.get(node, 0.0) + w
-    need = cover * weight.sum()
-    # articles hold the main text where a page has them, else the innermost container of most content
-    marked = [n for n, kind in parser.kinds.items() if kind in ("article", "main") and held.get(n, 0) > need]
-    region = max(marked) if marked else max((n for n, w in held.items() if w > need), default=None)
-    return " ".join(t for t, _, path in lines if region is None or region in path)
+    # articles hold the main text where a page has them, else the innermost container of all content; where a name
+    # was overruled, nothing else is left out
+    marked = [n for n, kind in parser.kinds.items() if kind in ("article", "main") and held.get(n, 0) > cover * weight.sum()]
+    region = max(marked) if marked else None if stay else max((n for n, w in held.items() if w >= weight.sum()), default=None)
+    return " ".join(x[0] for x in lines if region is None or region in x[2])
 
 
 def extract(pages: DataFrame, html: str = "html", sigma: float = 1.0) -> DataFrame:

@@ -20,6 +20,31 @@ def test_article_and_unmarked_containers():
         assert html.main_text(PAGE.format(body=wrap.format(BODY))) == WANT, wrap
 
 
+def test_article_in_sibling_parts():
+    first, second = "A long paragraph of the article with many words. " * 6, "The other part of it, of as many words or so. " * 4
+    for tag in ("div", "section"):
+        body = f"<{tag}><p>{first}</p></{tag}><{tag}><p>{second}</p></{tag}>"
+        assert html.main_text(PAGE.format(body=body)) == f"{first}{second}".strip(), tag
+
+
+def test_head_without_an_end():
+    for rest in ("<body><p>The text.</p></body>", "<p>The text.</p>", "<div class='x'><p>The text.</p></div>", "The text."):
+        assert html.main_text(f"<html><head><meta charset=utf-8><title>T</title><style>p{{}}</style>{rest}</html>") == "The text.", rest
+
+
+def test_names_of_wrappers():
+    for name in ("class='has-sidebar'", "id='page-with-nav'", "class='post comment-open'", "class='widget'"):
+        for inner in ("<div>{}</div>", "<p>{}</p>", "<article><p>{}</p></article>"):
+            page = PAGE.format(body=f"<div {name}>{inner.format('The article has many words and goes on. ' * 20)}</div>")
+            assert html.main_text(page) == ("The article has many words and goes on. " * 20).strip(), (name, inner)
+
+
+def test_long_comments_stay_out():
+    comments = "<div id='comments'><p>" + "A reader wrote this, at more length than the article has. " * 30 + "</p></div>"
+    for body in (f"<div><p>{WANT}</p></div>{comments}", f"<article><p>{WANT}</p></article>{comments.replace('comments', 'all-comments')}"):
+        assert html.main_text(PAGE.format(body=body)) == WANT
+
+
 def test_broken_and_plain_pages():
     assert html.main_text(None) == html.main_text("") == html.main_text("<p></p><!-- x -->") == ""
     assert html.main_text("just   text &lt;b&gt;") == "just text <b>"
