@@ -68,13 +68,16 @@ SELECT doc_id, source, CASE WHEN lines IS NULL OR text IS NULL THEN 0 ELSE len(r
 FROM cut
 """
 
-OP4 = rf"""
+
+def links_sql(k: int, columns: str = "") -> str:
+    """Classes of documents whose sets of k-word shingles are similar."""
+    return rf"""
 WITH RECURSIVE w AS (
     SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_FOLDED}, '{_WORDS}') AS words FROM documents
 ),
 s AS (
-    SELECT DISTINCT rid, doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
-        ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle FROM w
+    SELECT DISTINCT rid, doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < {k} THEN [array_to_string(words, ' ')]
+        ELSE list_transform(range(1, len(words) - {k - 2}), lambda i: array_to_string(words[i:i + {k - 1}], ' ')) END) AS shingle FROM w
 ),
 n AS (SELECT rid, doc_id, count(*) AS n FROM s GROUP BY rid, doc_id),
 together AS (SELECT a.rid AS ra, b.rid AS rb, count(*) AS both_n FROM s a JOIN s b ON a.shingle = b.shingle AND a.rid <> b.rid GROUP BY a.rid, b.rid),
@@ -84,10 +87,14 @@ links AS (
 ),
 reach AS (SELECT DISTINCT doc_id AS a, doc_id AS b FROM w WHERE doc_id IS NOT NULL UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
 label AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
-SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, label.component_id
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, label.component_id{columns}
 FROM w LEFT JOIN n ON n.rid = w.rid LEFT JOIN label ON label.a = w.doc_id
 """
 
+
+OP4 = links_sql(5)
+OP12 = links_sql(2, ", coalesce(w.doc_id = label.component_id, true) AS kept")
+
 OP7 = rf"""
 WITH {_LINES}
 common AS (
@@ -138,5 +145,5 @@ FROM doc LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 
 ORACLES = {
     "op1_chat_formatting": OP1, "op2_site_line_dedup": OP2, "op4_ngram_jaccard_join": OP4, "op7_quality_rules": OP7,
-    "op8_benchmark_decontamination": OP8,
+    "op8_benchmark_decontamination": OP8, "op12_minhash_near_dedup": OP12,
 }
