@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sensorloom.llm import chat, decontam, forest, html, jaccard, lines, lm, mil, packing, pii
+from sensorloom.llm import align, chat, decontam, forest, html, jaccard, lines, lm, mil, packing, pii
 from sensorloom.llm.common import table
 from sensorloom.llm.sql import ORACLES  # noqa: F401
 
@@ -69,7 +69,11 @@ def op12_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return forest.lsh_components(table(spark, folder, "documents"))
 
 
+def op13_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return align.align(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_formatting, op2_site_line_dedup, op3_best_fit_packing, op4_ngram_jaccard_join, op5_html_extraction, op6_quality_classifier, op7_quality_rules, op8_benchmark_decontamination, op9_pii, op10_lm_scoring,
-    op12_minhash_near_dedup,
+    op12_minhash_near_dedup, op13_tokenizer_alignment,
 )} | {"pipeline": corpus_pipeline.run}
