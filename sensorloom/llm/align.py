@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +32,19 @@ SHARD_BYTES = 8_000_000
 STRETCH = 256
 #: Links of one group that are written out; larger groups are counted by their distinct ids.
 WRITTEN_OUT = 65_536
+#: Units of text whose ids are remembered, and the longest of them.
+REMEMBERED, LONGEST = 150_000, 64
 _TOKENIZERS: dict = {}
 #: How a byte-level vocabulary writes bytes: printable ones as themselves, the others from 256 on (fixed values).
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
 
 class Pair:
-    """The two tokenizers, the bytes of their tokens, and texts of their ids."""
+    """The two tokenizers, the bytes of their tokens, and texts of their ids.
+
+    No token of either goes over a space that follows something else. B encodes units between such places, and remembers a
+    bounded number of those in the last texts.
+    """
 
     def __init__(self, byte_level: str, pieces: str):
         import public_tokenizers
@@ -61,26 +68,58 @@ class Pair:
         # ids as text, each once as one of several in its group and once as the group's last of its side
         self.written = [f"{i}{s}".encode() for n, ends in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;")) for i in range(n) for s in ends]
 
-    def ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of a space and the text by both, or None where the tokens' bytes are not the text's."""
-        a, b = [], []
-        for part in parts(" " + text):
-            one, two = self.a.encode_ordinary(part), self.b.encode(part[1:])
-            raw = part.encode()
-            if b"".join(map(self.a_bytes.__getitem__, one)) != raw or b"".join(map(self.b_bytes.__getitem__, two)) != raw:
-                return None
-            a.append(np.array(one, dtype=np.int64))
-            b.append(np.array(two, dtype=np.int64))
-        return np.concatenate(a), np.concatenate(b)
+        self.known: dict[str, bytes] = {"": array("I", [self.b.piece_to_id("▁")]).tobytes()}
+        self.wrong: set[str] = set()
+
+    def piece_ids(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """Ids of a space and each text by B; None for empty texts and where the pieces' bytes are not the text's."""
+        cut = [units(t) if t else [] for t in texts]
+        new = set().union(*cut)
+        if len(self.known) > REMEMBERED:  # what occurs right now is what occurs often
+            self.known = {w: self.known[w] for w in (new & self.known.keys()) | {""}}
+        self.wrong &= new
+        fresh = list(new - self.known.keys() - self.wrong)
+        table = self.b_bytes.__getitem__
+        for unit, ids in zip(fresh, self.b.encode(fresh, num_threads=1), strict=True):
+            if b"".join(map(table, ids)) == b" " + unit.encode():
+                self.known[unit] = array("I", ids).tobytes()
+            else:
+                self.wrong.add(unit)
+        known, wrong = self.known.__getitem__, self.wrong
+        out = [np.frombuffer(b"".join(map(known, w)), dtype="<u4").astype(np.int64) if w and wrong.isdisjoint(w) else None for w in cut]
+        for w in [w for w in fresh if len(w) > LONGEST]:
+            self.known.pop(w, None)
+        return out
+
+    def ids(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Ids of a space and each text by both, or None. A byte-level vocabulary spells all texts; lengths are compared."""
+        out = []
+        for text, b in zip(texts, self.piece_ids(texts), strict=True):
+            if b is None:
+                out.append(None)
+                continue
+            a = np.concatenate([np.array(self.a.encode_ordinary(part), dtype=np.int64) for part in parts(" " + text)])
+            out.append((a, b) if self.a_sizes[a].sum() == self.b_sizes[b].sum() else None)
+        return out
+
+
+#: A space after white space: texts without one are cut at all spaces.
+_AFTER_SPACE = re.compile(r"\s ")
+#: Where a space follows something else: no token of either tokenizer goes over such a place.
+_CUT = re.compile(r"(?<=\S)(?= )")
+
+
+def units(text: str) -> list[str]:
+    """Cut a space and a text into stretches that begin with a space; they come without it."""
+    if _AFTER_SPACE.search(" " + text) is None:
+        return text.split(" ")
+    return [u[1:] for u in _CUT.split(" " + text)]
 
 
 def parts(text: str, limit: int = SLICE) -> Iterator[str]:
-    """Cut a long text before spaces that follow something else: no token of either tokenizer goes over such a place."""
+    """Cut a long text at such places, so that little is held as Python numbers at once."""
     begin = 0
-    while len(text) - begin > limit:
-        cut = re.compile(r"(?<=\S) ").search(text, begin + limit)
-        if cut is None:
-            break
+    while len(text) - begin > limit and (cut := _CUT.search(text, begin + limit)):
         yield text[begin:cut.start()]
         begin = cut.start()
     yield text[begin:]
@@ -205,7 +244,7 @@ _ARROW_DOCS = pa.list_(pa.struct([("doc", pa.int64()), *((c, pa.int64()) for c i
 
 def aligned(both: Pair, docs: list, texts: list[str | None]) -> tuple[list[dict], list[np.ndarray], list[np.ndarray]]:
     """Figures of some texts, their distinct pairs, and how often each is linked."""
-    ids = [both.ids(t) if t else None for t in texts]
+    ids = both.ids(texts)
     there = [x for x in ids if x is not None]
     at = iter(common_ends([np.cumsum(both.a_sizes[a]) for a, _ in there], [np.cumsum(both.b_sizes[b]) for _, b in there]))
     rows, pairs, counts = [], [], []
@@ -256,8 +295,7 @@ def align(docs: DataFrame, byte_level: str, pieces: str, text: str = "text", key
     tokens whose byte ranges share a group), n_best (links whose pair of ids is held by as many documents as any of
     its A id), count_sum (documents that hold the pair, over all links), groups_sha256. A row counts as a document, so
     repeated rows count as often as they come, and a null id is as good as any. Null and empty texts, and those that
-    the tokens do not spell byte by byte, have zeros and an empty digest. Long texts are cut where no token can
-    be, other columns are not looked at, no rows give no rows.
+    the tokens do not spell byte by byte, have zeros and an empty digest. Other columns are not looked at, no rows give no rows.
     """
     source = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     made = stored(shards(source, byte_level, pieces, shard_bytes))
