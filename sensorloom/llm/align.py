@@ -17,7 +17,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,19 +31,13 @@ SHARD_BYTES = 8_000_000
 STRETCH = 256
 #: Links of one group that are written out; larger groups are counted by their distinct ids.
 WRITTEN_OUT = 65_536
-#: Units of text whose ids are remembered, and the longest of them.
-REMEMBERED, LONGEST = 150_000, 64
 _TOKENIZERS: dict = {}
 #: How a byte-level vocabulary writes bytes: printable ones as themselves, the others from 256 on (fixed values).
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
 
 class Pair:
-    """The two tokenizers, the bytes of their tokens, and texts of their ids.
-
-    No token of either goes over a space that follows something else. B encodes units between such places, and remembers a
-    bounded number of those in the last texts.
-    """
+    """The two tokenizers, the bytes of their tokens, and texts of their ids."""
 
     def __init__(self, byte_level: str, pieces: str):
         import public_tokenizers
@@ -65,55 +58,31 @@ class Pair:
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
             for i, p in enumerate(map(self.b.id_to_piece, range(self.b.get_piece_size())))]
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in x], dtype=np.int64) for x in (self.a_bytes, self.b_bytes))
-        # ids as text, each once as one of several in its group and once as the group's last of its side
-        self.written = [f"{i}{s}".encode() for n, ends in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;")) for i in range(n) for s in ends]
-
-        self.known: dict[str, bytes] = {"": array("I", [self.b.piece_to_id("▁")]).tobytes()}
-        self.wrong: set[str] = set()
-
-    def piece_ids(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        """Ids of a space and each text by B; None for empty texts and where the pieces' bytes are not the text's."""
-        cut = [units(t) if t else [] for t in texts]
-        new = set().union(*cut)
-        if len(self.known) > REMEMBERED:  # what occurs right now is what occurs often
-            self.known = {w: self.known[w] for w in (new & self.known.keys()) | {""}}
-        self.wrong &= new
-        fresh = list(new - self.known.keys() - self.wrong)
-        table = self.b_bytes.__getitem__
-        for unit, ids in zip(fresh, self.b.encode(fresh, num_threads=1), strict=True):
-            if b"".join(map(table, ids)) == b" " + unit.encode():
-                self.known[unit] = array("I", ids).tobytes()
-            else:
-                self.wrong.add(unit)
-        known, wrong = self.known.__getitem__, self.wrong
-        out = [np.frombuffer(b"".join(map(known, w)), dtype="<u4").astype(np.int64) if w and wrong.isdisjoint(w) else None for w in cut]
-        for w in [w for w in fresh if len(w) > LONGEST]:
-            self.known.pop(w, None)
-        return out
-
-    def ids(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray] | None]:
-        """Ids of a space and each text by both, or None. A byte-level vocabulary spells all texts; lengths are compared."""
-        out = []
-        for text, b in zip(texts, self.piece_ids(texts), strict=True):
-            if b is None:
-                out.append(None)
-                continue
-            a = np.concatenate([np.array(self.a.encode_ordinary(part), dtype=np.int64) for part in parts(" " + text)])
-            out.append((a, b) if self.a_sizes[a].sum() == self.b_sizes[b].sum() else None)
-        return out
+        # ids as text of 8 bytes, each once as one of several in its group and once as the group's last of its side
+        written = [f"{i}{s}".encode() for n, ends in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;")) for i in range(n) for s in ends]
+        self.written = np.frombuffer(b"".join(w.ljust(8, b"\0") for w in written), dtype=np.uint64)
 
 
-#: A space after white space: texts without one are cut at all spaces.
-_AFTER_SPACE = re.compile(r"\s ")
-#: Where a space follows something else: no token of either tokenizer goes over such a place.
-_CUT = re.compile(r"(?<=\S)(?= )")
+    def ids(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of a space and the text by both; None for an empty text and where the tokens' bytes are not the text's.
+
+        A byte-level vocabulary spells all texts. Pieces spell what the model's rules leave as it is, their own mark of a
+        space in a text apart.
+        """
+        if not text or "▁" in text:
+            return None
+        a, b = [], []
+        for part in parts(" " + text):
+            if self.b.normalize(part[1:]) != part.replace(" ", "▁"):
+                return None
+            a.append(np.array(self.a.encode_ordinary(part), dtype=np.int64))
+            b.append(np.array(self.b.encode(part[1:]), dtype=np.int64))
+        a, b = np.concatenate(a), np.concatenate(b)
+        return (a, b) if self.a_sizes[a].sum() == self.b_sizes[b].sum() else None
 
 
-def units(text: str) -> list[str]:
-    """Cut a space and a text into stretches that begin with a space; they come without it."""
-    if _AFTER_SPACE.search(" " + text) is None:
-        return text.split(" ")
-    return [u[1:] for u in _CUT.split(" " + text)]
+#: Where a space follows something else: no token of either tokenizer goes over such a place.
+_CUT = re.compile(r"(?<=\S)(?= )")
 
 
 def parts(text: str, limit: int = SLICE) -> Iterator[str]:
@@ -222,7 +191,8 @@ def written(both: Pair, a: np.ndarray, b: np.ndarray, a_at: np.ndarray, b_at: np
     tail = np.zeros(len(b), dtype=np.int64)
     tail[b_at] = 1
     code[np.arange(len(b)) + (a_at + 1)[two]] = 2 * (len(both.a_bytes) + b) + tail
-    return hashlib.sha256(b"".join(map(both.written.__getitem__, code.tolist()))[:-1]).hexdigest()
+    text = both.written[code].view(np.uint8)
+    return hashlib.sha256(text[text != 0][:-1].tobytes()).hexdigest()
 
 
 def _squeeze(values: np.ndarray) -> bytes:
@@ -244,7 +214,7 @@ _ARROW_DOCS = pa.list_(pa.struct([("doc", pa.int64()), *((c, pa.int64()) for c i
 
 def aligned(both: Pair, docs: list, texts: list[str | None]) -> tuple[list[dict], list[np.ndarray], list[np.ndarray]]:
     """Figures of some texts, their distinct pairs, and how often each is linked."""
-    ids = both.ids(texts)
+    ids = [both.ids(t) for t in texts]
     there = [x for x in ids if x is not None]
     at = iter(common_ends([np.cumsum(both.a_sizes[a]) for a, _ in there], [np.cumsum(both.b_sizes[b]) for _, b in there]))
     rows, pairs, counts = [], [], []
