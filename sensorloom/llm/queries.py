@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sensorloom.llm import align, chat, decontam, forest, html, jaccard, lines, lm, mil, packing, pii
+from sensorloom.llm import align, chat, decontam, forest, html, jaccard, lines, lm, mil, packing, pii, ranked
 from sensorloom.llm.common import table
 from sensorloom.llm.sql import ORACLES  # noqa: F401
 
@@ -65,6 +65,10 @@ def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return lm.score(table(spark, folder, "documents"))
 
 
+def op11_ranked_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked.rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op12_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return forest.lsh_components(table(spark, folder, "documents"))
 
@@ -75,5 +79,5 @@ def op13_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_chat_formatting, op2_site_line_dedup, op3_best_fit_packing, op4_ngram_jaccard_join, op5_html_extraction, op6_quality_classifier, op7_quality_rules, op8_benchmark_decontamination, op9_pii, op10_lm_scoring,
-    op12_minhash_near_dedup, op13_tokenizer_alignment,
+    op11_ranked_lexical_search, op12_minhash_near_dedup, op13_tokenizer_alignment,
 )} | {"pipeline": corpus_pipeline.run}

@@ -143,7 +143,26 @@ SELECT doc_id, len(doc.words)::BIGINT AS n_words, coalesce(words.n, 0) AS n_hit,
 FROM doc LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 """
 
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+OP11 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_FOLDED}, '{_TERMS}') AS terms FROM documents),
+whole AS (SELECT count(*) AS n, sum(len(terms))::BIGINT AS l FROM d WHERE len(terms) > 0),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_FOLDED}, '{_TERMS}')) AS term FROM benchmark),
+held AS (
+    SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(terms) AS term FROM d)
+    WHERE term IN (SELECT term FROM asked) GROUP BY rid, term
+),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(n) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM held, whole GROUP BY term),
+sizes AS (SELECT rid, doc_id, 50 + (50 * len(terms) * n) // l AS m FROM d, whole WHERE len(terms) > 0),
+scored AS (
+    SELECT item_id, rid, any_value(doc_id) AS doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+    FROM asked JOIN held USING (term) JOIN weights USING (term) JOIN sizes USING (rid) GROUP BY item_id, rid
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 50
+"""
+
 ORACLES = {
     "op1_chat_formatting": OP1, "op2_site_line_dedup": OP2, "op4_ngram_jaccard_join": OP4, "op7_quality_rules": OP7,
-    "op8_benchmark_decontamination": OP8, "op12_minhash_near_dedup": OP12,
+    "op8_benchmark_decontamination": OP8, "op11_ranked_lexical_search": OP11, "op12_minhash_near_dedup": OP12,
 }
