@@ -1,8 +1,8 @@
 """Operators 2 and 7: how common a line is within its host.
 
-A line is normalised (A-Z lower-cased, white space collapsed). Documents that are copies of each other
-would make all of their lines look like boilerplate, so a document counts by its smallest normalised
-line: copies, and near copies that keep that line, count once.
+A line is normalised (A-Z lower-cased, white space collapsed). A page is a document by its whole normalised text, in
+what counts a line and in what counts the host: exact copies of a document are one page, all others are pages of
+their own. The ratio decides at every size of host; the only floor is the few pages that a share needs to mean anything.
 
 A host may hold a third of all rows. Pages are counted per (host, line) with map-side sums, and what goes
 back to the pages is one short list per host: a host can have at most (lines per page) / ratio lines above
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from sensorloom.llm.common import arrow_rows, stored, text_slices
 
@@ -29,11 +29,10 @@ def line_hash(line: bytes) -> int:
     return xxhash.xxh3_64_intdigest(line) - (1 << 63)
 
 
-def common_lines(seen: DataFrame, limit: Column) -> DataFrame:
-    """Lines above ``limit`` pages: one row per host with ``common``, an array of line hashes.
+def common_lines(seen: DataFrame, ratio: float, least: int) -> DataFrame:
+    """Lines on more than ``ratio`` of a host's pages, ``least`` at least: one row per host with ``common``, an array of hashes.
 
-    ``seen``: host, page (what counts as one page), lines (array of hashes). ``limit`` may use
-    ``host_pages``, the host's number of pages.
+    ``seen``: host, page (hash of a whole normalised text), lines (array of hashes).
     """
     pages = seen.groupBy("host").agg(F.count_distinct("page").alias("host_pages"))
     per_line = (
@@ -42,8 +41,8 @@ def common_lines(seen: DataFrame, limit: Column) -> DataFrame:
         .groupBy("host", "line").agg(F.count("*").alias("line_pages"))
     )
     return (
-        per_line.where("line_pages > 1").join(pages, "host")
-        .where(F.col("line_pages") > limit)
+        per_line.where(F.col("line_pages") >= least).join(pages, "host")
+        .where(F.col("line_pages") > F.col("host_pages") * F.lit(ratio))
         .groupBy("host").agg(F.collect_list("line").alias("common"))
     )
 
@@ -59,13 +58,13 @@ def with_common(df: DataFrame, common: DataFrame, row: str, salts: int = 16) ->
 
 
 def drop_boilerplate(
-    docs: DataFrame, ratio: float = 0.02, min_pages: int = 10, text: str = "text", host: str = "source",
+    docs: DataFrame, ratio: float = 0.02, min_pages: int = 3, text: str = "text", host: str = "source",
 ) -> DataFrame:
-    """Drop the lines that more than ``ratio`` of a host's pages contain (and more than ``min_pages``).
+    """Drop the lines that more than ``ratio`` of a host's pages contain (``min_pages`` pages at least).
 
     Returns all rows and columns of ``docs`` with the cleaned text, and ``n_lines_dropped`` (replaced if
     there is such a column). A null text stays null, an empty one empty, rows with a null host count as
-    one host. Repeated rows are one page. Lines without words are kept. The order of lines is kept.
+    one host. Repeated rows and exact copies are one page. Lines without words are kept. The order of lines is kept.
     """
     keep = [c for c in docs.columns if c != "n_lines_dropped"]
     body = docs.select(
@@ -75,13 +74,13 @@ def drop_boilerplate(
     def see(batch: pa.RecordBatch) -> pa.RecordBatch:
         pages, lines = [], []
         for t in (t for texts in text_slices(batch.column("body")) for t in texts):
-            found = {x for x in map(normal, t.split(b"\n")) if x}
-            pages.append(line_hash(min(found)) if found else None)
-            lines.append([line_hash(x) for x in found])
+            found = [x for x in map(normal, t.split(b"\n")) if x]
+            pages.append(line_hash(b"\n".join(found)) if found else None)
+            lines.append([line_hash(x) for x in set(found)])
         return pa.RecordBatch.from_arrays([batch.column("host"), pa.array(pages, pa.int64()), pa.array(lines, pa.list_(pa.int64()))], names=["host", "page", "lines"])
 
     seen = stored(arrow_rows(body.select("host", "body"), "host string, page bigint, lines array<bigint>", see))
-    common = common_lines(seen.where("page IS NOT NULL"), F.greatest(F.lit(float(min_pages)), F.col("host_pages") * ratio))
+    common = common_lines(seen.where("page IS NOT NULL"), ratio, min_pages)
 
     def drop(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, dropped = batch.column("body").to_pylist(), []
@@ -123,7 +122,7 @@ def _measure(text: bytes) -> tuple:
     seen: set[bytes] = set()
     dup, lines, sizes = 0, [], []
     low = text.lower().split(b"\n")
-    smallest = None
+    page = xxhash.xxh3_64()
     for line, folded in zip(raw, low, strict=True):
         parts = folded.split()
         if not parts:
@@ -131,14 +130,14 @@ def _measure(text: bytes) -> tuple:
         dup += line in seen
         seen.add(line)
         joint = b" ".join(parts)
-        smallest = joint if smallest is None or joint < smallest else smallest
+        page.update(joint + b"\n")
         lines.append(line_hash(joint))
         sizes.append(len(parts))
     joined = b"".join(words)
     points = len(joined) if joined.isascii() else len(joined.decode())
     return (
         len(words), points, sum(text.count(s.encode()) for s in _SYMBOLS), dup, _repeat_words(words),
-        lines, sizes, None if smallest is None else line_hash(smallest),
+        lines, sizes, page.intdigest() - (1 << 63) if lines else None,
     )
 
 
@@ -146,19 +145,18 @@ _MEASURED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_word
 
 
 def line_quality(
-    docs: DataFrame, share: float = 0.01, min_docs: int = 20, min_words: int = 20, min_left: float = 0.3,
+    docs: DataFrame, share: float = 0.02, min_docs: int = 3, min_words: int = 20, min_left: float = 0.3,
     text: str = "text", host: str = "source",
 ) -> DataFrame:
     """Quality rules from cross-document line frequency.
 
-    Lines in more than ``share`` of a host's documents (and in more than ``min_docs``) are taken out. A
-    document fails the base rules (under 50 words, or over half of its words in repeated 3-word windows),
+    Lines in more than ``share`` of a host's distinct documents (``min_docs`` at least) are taken out. A document fails the base rules (under 50 words, or over half of its words in repeated 3-word windows),
     or is depleted: under ``min_words`` words or under ``min_left`` of its words are left.
 
     Returns all rows and columns of ``docs`` but ``text``, with n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, n_words_left (long), base_failed, depleted, kept (boolean); columns of
     these names are replaced. A null text has no words, so it fails; rows with a null host count as one
-    host; repeated rows are judged alike and count as one document.
+    host; repeated rows and exact copies are judged alike and count as one document.
     """
     own = {*_MEASURED, "host", "common", "n_words_left", "base_failed", "depleted", "kept"}
     keep = [c for c in docs.columns if c != text and c not in own]
@@ -179,8 +177,7 @@ def line_quality(
     longs = ", ".join(f"{c} bigint" for c in _MEASURED[:5])
     shape = f"row {kind['row'].dataType.simpleString()}, host string, {longs}, lines array<bigint>, line_words array<bigint>, page bigint"
     measured = stored(arrow_rows(body, shape, measure))
-    limit = F.greatest(F.lit(float(min_docs)), F.col("host_pages") * share)
-    common = common_lines(measured.where("page IS NOT NULL").select("host", "page", "lines"), limit)
+    common = common_lines(measured.where("page IS NOT NULL").select("host", "page", "lines"), share, min_docs)
     lost = F.aggregate(
         F.arrays_zip("lines", "line_words"), F.lit(0).cast("long"),
         lambda a, x: a + F.when(F.array_contains("common", x["lines"]), x["line_words"]).otherwise(F.lit(0)),

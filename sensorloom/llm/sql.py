@@ -14,7 +14,7 @@ d AS (
     FROM documents
 ),
 pages AS (
-    SELECT rid, host, list_min(list_filter(normal, lambda l: l <> '')) AS page, unnest(list_distinct(list_filter(normal, lambda l: l <> ''))) AS line FROM d
+    SELECT rid, host, array_to_string(list_filter(normal, lambda l: l <> ''), chr(10)) AS page, unnest(list_distinct(list_filter(normal, lambda l: l <> ''))) AS line FROM d
 ),
 hosts AS (SELECT host, count(DISTINCT page) AS host_pages FROM pages GROUP BY host),
 """
@@ -56,7 +56,7 @@ WITH {_LINES}
 common AS (
     SELECT host, list(line) AS lines FROM (
         SELECT p.host, line FROM pages p JOIN hosts h ON p.host = h.host
-        GROUP BY p.host, line HAVING count(DISTINCT page) > greatest(10.0, any_value(host_pages) * 0.02) AND count(DISTINCT page) > 1)
+        GROUP BY p.host, line HAVING count(DISTINCT page) >= 3 AND count(DISTINCT page) > any_value(host_pages) * 0.02::DOUBLE)
     GROUP BY host
 ),
 cut AS (
@@ -99,7 +99,7 @@ OP7 = rf"""
 WITH {_LINES}
 common AS (
     SELECT p.host, line FROM pages p JOIN hosts h ON p.host = h.host
-    GROUP BY p.host, line HAVING count(DISTINCT page) > greatest(20.0, any_value(host_pages) * 0.01) AND count(DISTINCT page) > 1
+    GROUP BY p.host, line HAVING count(DISTINCT page) >= 3 AND count(DISTINCT page) > any_value(host_pages) * 0.02::DOUBLE
 ),
 w AS (SELECT rid, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS words FROM d),
 win AS (SELECT rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS win FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM w)),

@@ -1,5 +1,6 @@
 """Line frequency within hosts: quality rules and line dedup, against plain Python."""
 
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -14,17 +15,16 @@ def normal(line):
     return " ".join(WORD.findall(line.translate(FOLD)))
 
 
-def common(rows, limit):
+def common(rows, ratio, least):
     pages, held = defaultdict(set), defaultdict(set)
     for r in rows:
-        got = {normal(x) for x in (r["text"] or "").split("\n")} - {""}
-        if got:
+        page = "\n".join(x for x in map(normal, (r["text"] or "").split("\n")) if x)
+        if page:
             host = r["source"] or ""
-            page = min(got, key=lambda x: x.encode())
             pages[host].add(page)
-            for x in got:
+            for x in page.split("\n"):
                 held[host, x].add(page)
-    return {(h, x) for (h, x), p in held.items() if len(p) > max(1, limit(len(pages[h])))}
+    return {(h, x) for (h, x), p in held.items() if len(p) >= least and len(p) > ratio * len(pages[h])}
 
 
 def measured(text):
@@ -42,7 +42,7 @@ def measured(text):
 def test_quality_against_plain_python(spark, documents, odd):
     docs = documents.select("doc_id", "text", "source").unionByName(odd.select("doc_id", "text", "source"))
     rows = rows_of(docs)
-    often = common(rows, lambda n: max(2, n * 0.1))
+    often = common(rows, 0.1, 2)
     want = []
     for r in rows:
         text = r["text"] or ""
@@ -64,7 +64,7 @@ def test_quality_keeps_extra_columns_and_takes_no_rows(odd, empty):
 def test_line_dedup_against_plain_python(documents, odd):
     docs = documents.select("doc_id", "text", "source").unionByName(odd.select("doc_id", "text", "source"))
     rows = rows_of(docs)
-    often = common(rows, lambda n: max(2, n * 0.1))
+    often = common(rows, 0.1, 2)
     assert often
     want = []
     for r in rows:
@@ -86,5 +86,20 @@ def test_line_dedup_counts_copies_once(spark):
     assert all("menu" not in r["text"] and r["n_lines_dropped"] == 1 for r in got)
 
 
+def test_a_line_that_sorts_first_goes(spark):
+    deal = random.Random(4)
+    rows = [(i, "\n".join(" ".join(f"w{deal.randrange(5000)}" for _ in range(9)) for _ in range(6)), "h") for i in range(400)]
+    rows = [(i, ("a a line that sorts first\n" if i < 20 else "") + t, h) for i, t, h in rows]
+    rows += [(1000 + i, f"page {i} says this and that\nfooter of a small host", "small") for i in range(10)]
+    rows += [(2000 + i, f"page {i} of the next host\nonce or twice {i // 2}", "next") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in rows_of(lines.drop_boilerplate(docs))}
+    assert all(got[i]["text"] == rows[i][1].removeprefix("a a line that sorts first\n") for i in range(400))
+    assert sum(r["n_lines_dropped"] for r in got.values()) == 30
+    assert all(got[1000 + i]["text"] == f"page {i} says this and that" for i in range(10))
+    left = {r["doc_id"]: r["n_words"] - r["n_words_left"] for r in rows_of(lines.line_quality(docs))}
+    assert all(n == (6 if i < 20 else 5 if 1000 <= i < 1010 else 0) for i, n in left.items())
+
+
 def test_line_dedup_of_nothing(empty):
     assert lines.drop_boilerplate(empty).count() == 0
