@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -39,6 +40,15 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def give_back() -> None:
+    """Let the system have the memory that a task of a Python worker no longer uses."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def arrow_rows(
     df: DataFrame, schema: str, make: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch]
 ) -> DataFrame:
@@ -48,7 +58,7 @@ def arrow_rows(
         for batch in batches:
             if batch.num_rows:
                 yield make(batch)
-        pa.default_memory_pool().release_unused()  # workers live on
+        give_back()  # workers live on
 
     return df.mapInArrow(run, schema)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sensorloom.llm.common import arrow_rows, stored, text_slices
-from sensorloom.llm.words import U, mix
+from sensorloom.llm.words import U, cut, mix
 
 CAPACITY, RUN = 4096, 256
 _ENCODERS: dict = {}
@@ -34,12 +34,13 @@ class Encoder:
     """Token ids of texts, as little-endian 32-bit bytes.
 
     No token of this tokenizer spans white space, nor a letter or digit and the punctuation after it, and it
-    lower-cases. So texts are encoded word by word, and words (without the punctuation at their end) are
-    remembered, a bounded number of them. Special tokens are found before lower-casing: a text that may hold
-    one keeps its case.
+    lower-cases. So texts are cut into words at once, and distinct words (without the punctuation at their end) are
+    encoded once and remembered by their hash, in flat arrays of bounded size. Special tokens are found before
+    lower-casing: words of a text that may hold one keep their case and are not remembered.
     """
 
-    REMEMBERED, LONGEST = 300_000, 64
+    #: Words, and ids of all of them together.
+    REMEMBERED, IDS = 1_000_000, 4_000_000
     _TAIL = b".,;:!?*#$%&"
 
     def __init__(self, path: str):
@@ -47,37 +48,75 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        # rising hashes, where each word's ids begin, how many they are, and all ids
+        self.keys, self.begin, self.size, self.ids = np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype="<u4")
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        new = set().union(*words)
-        if len(self.known) > self.REMEMBERED:  # what occurs right now is what occurs often
-            self.known = {w: self.known[w] for w in new & self.known.keys()}
-        known = self.known
-        new -= known.keys()
-        missing, halves = set(), []
-        for word, body in [(w, w.rstrip(self._TAIL)) for w in new]:
-            if len(body) == len(word) or not body[-1:].isalnum():
-                missing.add(word)
-            else:
-                halves.append((word, body, word[len(body):]))
-                missing.update((body, halves[-1][2]))
-        missing -= known.keys()
-        known.update(self._ids_of([p.decode() for p in missing], list(missing)))
-        known.update([(w, known[body] + known[tail]) for w, body, tail in halves])
-        out = [b"".join(map(known.__getitem__, w)) for w in words]
-        for w in [w for w in (*new, *missing) if len(w) > self.LONGEST]:
-            known.pop(w, None)
+        cased = {i for i, t in enumerate(texts) if b"<|" in t}
+        words = cut([b"" if i in cased else t for i, t in enumerate(texts)])
+        distinct, first, place = np.unique(words.hashes, return_index=True, return_inverse=True)
+        if len(self.keys) > self.REMEMBERED or len(self.ids) > self.IDS:  # what occurs right now is what occurs often
+            self._keep(np.unique(self._at(distinct)[1]))
+        new = first[~self._at(distinct)[0]].tolist()
+        self._learn([words.buf[a:b].tobytes() for a, b in zip(words.starts[new].tolist(), words.ends[new].tolist(), strict=True)], words.hashes[new])
+        at = self._at(distinct)[1][place]
+        size = self.size[at]
+        ids = self._gather(self.begin[at], size)
+        ends = np.concatenate([[0], np.cumsum(size)])[words.first()].tolist()
+        out = [ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        for i in cased:
+            out[i] = b"".join(x for _, x in self._ids_of([w.decode() for w in texts[i].split()], [b""] * len(texts[i].split()), ordered=True))
         return out
 
-    def _ids_of(self, words: list[str], keys: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """Ids of each word. Words of letters alone are one unit each, so many go in one text and are told apart by
+    def _at(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are remembered, and their places."""
+        if not len(self.keys):
+            return np.zeros(len(hashes), dtype=bool), np.zeros(0, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        there = self.keys[at] == hashes
+        return there, at if there.all() else at[there]
+
+    def _gather(self, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return self.ids[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+    def _keep(self, at: np.ndarray) -> None:
+        size = self.size[at]
+        self.ids = self._gather(self.begin[at], size)
+        self.keys, self.begin, self.size = self.keys[at], np.cumsum(size) - size, size
+
+    def _learn(self, words: list[bytes], hashes: np.ndarray) -> None:
+        """Remember words that are not: those with punctuation at their end by what they are made of."""
+        if not words:
+            return
+        halves, parts = {}, set()
+        for word in words:
+            body = word.rstrip(self._TAIL)
+            if len(body) == len(word) or not body[-1:].isalnum():
+                parts.add(word)
+            else:
+                halves[word] = body, word[len(body):]
+                parts.update(halves[word])
+        parts = list(parts)
+        named = cut([b"\n".join(parts)]).hashes
+        there, at = self._at(named)
+        known = {parts[i]: self.ids[a:a + n].tobytes() for i, a, n in zip(np.flatnonzero(there).tolist(), self.begin[at].tolist(), self.size[at].tolist(), strict=False)}
+        missing = [p for p, x in zip(parts, there.tolist(), strict=True) if not x]
+        known.update(self._ids_of([p.decode() for p in missing], missing))
+        found = [known[halves[w][0]] + known[halves[w][1]] if w in halves else known[w] for w in words] + [known[p] for p in missing]
+        keys, first = np.unique(np.concatenate([hashes, named[~there]]), return_index=True)
+        size = np.array([len(x) // 4 for x in found], dtype=np.int64)
+        begin = len(self.ids) + np.cumsum(size) - size
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.begin, self.size = (np.insert(old, at, more) for old, more in ((self.keys, keys), (self.begin, begin[first]), (self.size, size[first])))
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), dtype="<u4")])
+
+    def _ids_of(self, words: list[str], keys: list[bytes], ordered: bool = False) -> list[tuple[bytes, bytes]]:
+        """Key and ids of each word, in their order if asked. Words of letters alone are one unit each, so many go in one text and are told apart by
         the tokens that end a unit."""
-        plain = [i for i, w in enumerate(words) if w.isalpha()]
+        plain = [] if ordered else [i for i, w in enumerate(words) if w.isalpha()]
         rows = [" ".join([words[i] for i in plain[a:a + 256]]) for a in range(0, len(plain), 256)]
         ids = np.array([i for e in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False) for i in e.ids], dtype="<u4")
         stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
