@@ -7,6 +7,11 @@ therefore those of one-shingle pivots: a set that lies within the radius of anot
 replicated to those pivots. The order takes very frequent shingles last, which only saves work. A region is then
 cut by the sets' sizes, which differ by a fifth at most within the radius.
 
+A pair belongs to the region of its first common shingle. There the places p of that shingle in both sets bound what they
+can share to min(n - p), so the smaller set of a link has it among its first ninth: only such members are pivots,
+pairs whose places leave too little are not compared, and a region without such a member is none. Texts that share a
+long passage but are not similar meet behind their own rare shingles, and so are never compared.
+
 Inside a region, document pivots are compared with all members. Members go to the Voronoi cell of their
 nearest pivot and, by the triangle inequality, to every cell whose pivot is at most twice the radius
 farther: two documents within the radius of each other then meet in a cell. Cells are regions of the next
@@ -38,6 +43,8 @@ PLACES = 128
 FILTER_BITS = 1 << 23
 #: Regions of fewer members are not worth cells of their own: their pivots are soon all used.
 SPLIT_FROM = 64
+#: Pivots of a region that span cells; regions with more of them are not split any further.
+CELL_PIVOTS = 16
 
 
 def shingle_sets(column: pa.Array, k: int = K) -> Iterator[np.ndarray]:
@@ -74,7 +81,7 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """doc, n, two hashes of the whole set, and its prefix."""
+    """doc, n, two hashes of the whole set, and its prefix in the common order."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -192,13 +199,16 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, text
     rows = stored(_sets(source, k, percent, frequent_shingles(source, k)))
     named = rows.where("n > 0 AND doc IS NOT NULL")
     nodes = named.groupBy("n", "one", "two").agg(F.min("doc").alias("node"), F.first("prefix").alias("prefix"))
-    shared = nodes.select("node", "n", F.explode("prefix").alias("region"))
-    regions = shared.groupBy("region").agg(F.min("node").alias("least"), F.max("node").alias("most"))
+    shared = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "region"))
+    # a link's smaller set has the first common shingle among its first ninth (at 80 percent)
+    leads = F.col("pos") * (100 + percent) <= F.col("n") * (100 - percent)
+    regions = shared.groupBy("region").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.max(leads).alias("led"))
     # sets within the radius differ in size by one step of this scale at most; a cell holds two steps
     step = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * math.log(100 / percent)))
     cell = F.explode(F.array(step, step - 1)).alias("cell")
-    sized = shared.join(regions.where("least < most").select("region"), "region").select("region", "node", cell)
-    sized = release(stored(sized.select(F.xxhash64("region", "cell").alias("region"), "node").distinct()))
+    sized = shared.join(regions.where("least < most AND led").select("region"), "region").select("region", "node", "n", "pos", leads.alias("leads"), cell)
+    sized = sized.select(F.xxhash64("region", "cell").alias("region"), "node", "n", "pos", "leads")
+    sized = release(stored(sized.groupBy("region", "node").agg(F.min(F.struct("pos", "n", "leads")).alias("m")).select("region", "node", "m.n", "m.pos", "m.leads")))
     members = stored(_unsettled(sized.withColumn("label", F.col("node"))))
     ids = members.select("node").distinct()
     labels = stored(ids.withColumn("label", F.col("node")))
@@ -206,15 +216,24 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, text
     pivots = 1
     while not members.isEmpty():
         turn = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(pivots))
-        chosen = members.groupBy("region", turn.alias("turn")).agg(F.min(F.struct(F.xxhash64("node"), "node", "label")).alias("p"))
-        chosen = chosen.select("region", F.col("p.node").alias("pivot"), F.col("p.label").alias("pivot_label"))
-        faced = stored(members.join(chosen, "region"))
-        pairs = faced.where("label != pivot_label").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        chosen = members.where("leads").groupBy("region", turn.alias("turn")).agg(F.min(F.struct(F.xxhash64("node"), "node", "label", "n", "pos")).alias("p"))
+        chosen = chosen.select("region", F.col("p.node").alias("pivot"), F.col("p.label").alias("pivot_label"), F.col("p.n").alias("pivot_n"), F.col("p.pos").alias("pivot_pos"))
+        chosen = stored(chosen)
+        # what two sets share is at most what both have from the region's shingle on
+        both = F.least(F.col("n") - F.col("pos"), F.col("pivot_n") - F.col("pivot_pos"))
+        near = members.join(chosen, "region").where((F.col("label") != F.col("pivot_label")) & (both * (100 + percent) >= percent * (F.col("n") + F.col("pivot_n"))))
+        near = stored(near.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
+        faced, pairs = None, near
+        if 1 < pivots <= CELL_PIVOTS:
+            large = members.groupBy("region").agg(F.count("*").alias("size")).where(F.col("size") >= SPLIT_FROM).select("region")
+            faced = stored(members.join(large, "region").join(chosen, "region").withColumns({"a": F.least("node", "pivot"), "b": F.greatest("node", "pivot")}))
+            pairs = near.unionByName(faced.where("label != pivot_label").select("a", "b")).distinct()
         bounds = stored(_bounds(pairs, sets, percent))
-        exact = release(stored(_distances(bounds.where("open").select("a", "b"), sets, percent)))
+        exact = release(stored(_distances(bounds.where("open").join(near, ["a", "b"], "left_semi").select("a", "b"), sets, percent)))
         labels = components(labels, exact.where("link").select("a", "b"))
-        members = release(_next_regions(members, faced, bounds.join(exact.drop("link"), ["a", "b"], "left"), labels, percent, pivots))
-        pivots *= 4
+        known = bounds.join(exact.drop("link"), ["a", "b"], "left")
+        members = release(_next_regions(members, chosen, faced, known, labels, percent))
+        pivots *= 4 if pivots < CELL_PIVOTS else 8
     found = named.groupBy("n", "one", "two").agg(F.min("doc").alias("node")).join(labels, "node", "left").select("n", "one", "two", F.coalesce("label", "node").alias("label"))
     return (
         rows.select("doc", "n", "one", "two").join(found, ["n", "one", "two"], "left")
@@ -224,33 +243,32 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, text
 
 
 def _unsettled(members: DataFrame) -> DataFrame:
-    """Members (region, node, label) of the regions that hold more than one component, one region of each member set.
+    """Members of the regions that hold a pivot to come and more than one component, one region of each member set.
 
-    Near copies share many shingles and so meet in many regions with the very same members; one of them has
-    all of their pairs. Member sets are told apart by their size and two 64-bit hashes.
+    Near copies share many shingles and so meet in many regions with the very same members. The first of them in the order
+    of shingles has all of their pairs. Member sets are told apart by their size and two 64-bit hashes.
     """
     held = members.groupBy("region").agg(
-        F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("size"),
-        F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("two")).where("least < most")
-    kept = held.groupBy("size", "one", "two").agg(F.min("region").alias("region")).select("region")
+        F.min("label").alias("least"), F.max("label").alias("most"), F.max("leads").alias("led"), F.count("*").alias("size"), F.sum("pos").alias("place"),
+        F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("two")).where("least < most AND led")
+    kept = held.groupBy("size", "one", "two").agg(F.min(F.struct("place", "region")).alias("first")).select("first.region")
     return members.join(kept, "region")
 
 
-def _next_regions(members: DataFrame, faced: DataFrame, known: DataFrame, labels: DataFrame, percent: int, pivots: int) -> DataFrame:
+def _next_regions(members: DataFrame, chosen: DataFrame, faced: DataFrame | None, known: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Regions that still hold more than one component, without the pivots all their members have met.
 
-    Where a distance is only bounded, the cells are those that the bounds allow.
+    ``faced``: members of large regions with all of their pivots, for cells. Where a distance is only bounded, the cells
+    are those that the bounds allow.
     """
-    met = faced.where("node = pivot").select("region", "node")
+    places = members.select("region", "node", "n", "pos", "leads")
     left = members.select(F.col("region").alias("cell"), "region", "node")
-    if pivots > 1:
+    if faced is not None:
         radius = 1 - percent / 100
         own = F.col("node") == F.col("pivot")
         low = F.when(own, 0.0).otherwise(F.coalesce("exact", "least", F.lit(0.0)))
         high = F.when(own, 0.0).otherwise(F.coalesce("exact", F.lit(1.0)))
-        large = members.groupBy("region").agg(F.count("*").alias("size")).where(F.col("size") >= SPLIT_FROM).select("region")
-        measured = faced.join(large, "region").withColumns({"a": F.least("node", "pivot"), "b": F.greatest("node", "pivot")}).join(known, ["a", "b"], "left").select(
-            "region", "node", "pivot", low.alias("low"), high.alias("high"))
+        measured = stored(faced.join(known, ["a", "b"], "left").select("region", "node", "pivot", low.alias("low"), high.alias("high")))
         nearest = measured.groupBy("region", "node").agg(F.min("high").alias("near"))
         cells = measured.join(nearest, ["region", "node"]).where(F.col("low") <= F.col("near") + 2 * radius + 1e-9)
         # splitting must not only replicate: a region stays whole where its cells hold over 1.5 times its rows
@@ -258,5 +276,7 @@ def _next_regions(members: DataFrame, faced: DataFrame, known: DataFrame, labels
         split = stored(size.where("rows <= 1.5 * nodes").select("region"))
         left = left.join(split, "region", "left_anti").unionByName(
             cells.join(split, "region").select(F.xxhash64("region", "pivot").alias("cell"), "region", "node"))
-    left = left.join(met, ["region", "node"], "left_anti").select(F.col("cell").alias("region"), "node").join(labels, "node")
-    return stored(_unsettled(stored(left)).select("region", "node", "label"))
+    met = chosen.select("region", F.col("pivot").alias("node")).distinct()
+    left = left.join(met, ["region", "node"], "left_anti").join(places, ["region", "node"])
+    left = left.select(F.col("cell").alias("region"), "node", "n", "pos", "leads").join(labels, "node")
+    return stored(_unsettled(stored(left)).select("region", "node", "label", "n", "pos", "leads"))

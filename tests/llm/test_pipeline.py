@@ -23,7 +23,7 @@ def test_stages(spark, documents, odd):
             assert docs.columns == list(corpus_pipeline.COLUMNS)
 
     before, after = seen["quality rules"]
-    often = common(before, lambda n: max(20, n * 0.01))
+    often = common(before, 0.02, 3)
     keep = []
     for r in before:
         m = measured(r["text"] or "")
@@ -38,6 +38,11 @@ def test_stages(spark, documents, odd):
     before, after = seen["n-gram Jaccard join"]
     want = [g.strip("()").split(", ") for g in groups([(r["doc_id"], r["text"]) for r in before])]
     assert sorted(r["doc_id"] for r in after if r["doc_id"] is not None) == sorted({int(g[2]) for g in want if g[2] != "None"})
+    rows = [(1, "one text of the id that two rows share", "en", "h", 1), (1, "and quite another text of it here", "en", "h", 1)]
+    rows += [(None, "a text without any id but two copies", "en", "h", 1)] * 2 + [(2, "One text of the id that two rows share", "en", "h", 1), (None, None, None, None, None)]
+    odd = spark.createDataFrame(rows, documents.select(*corpus_pipeline.COLUMNS).schema)
+    stay = [(r["doc_id"], r["text"]) for r in rows_of(corpus_pipeline.near_duplicates(spark, odd, SF))]
+    assert sorted(stay, key=repr) == sorted({(r[0], r[1]) for r in rows} - {(2, rows[4][1])}, key=repr)
 
     before, after = seen["benchmark decontamination"]
     mostly = {r["doc_id"] for r in before for n, hit, _ in [hits(r["text"], bench)] if hit > 0.5 * n}
@@ -51,4 +56,4 @@ def test_stages(spark, documents, odd):
 def test_run_is_registered(spark):
     from sensorloom.llm.queries import QUERIES
 
-    assert QUERIES["pipeline"] is corpus_pipeline.run and len(QUERIES) == 11
+    assert QUERIES["pipeline"] is corpus_pipeline.run and len(QUERIES) == 14
