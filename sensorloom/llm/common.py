@@ -14,6 +14,9 @@ from sensorloom.session import scratch
 
 #: Bytes of text that are cut into words at once.
 SLICE = 1_000_000
+#: Texts of an Arrow batch at most: by default a batch has 10,000, which are hundreds of MB outside the heap where texts are long.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: ASCII letters, for lower-casing that every engine does alike.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -52,7 +55,10 @@ def give_back() -> None:
 def arrow_rows(
     df: DataFrame, schema: str, make: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch]
 ) -> DataFrame:
-    """``make`` over Arrow batches; it returns one batch for each."""
+    """``make`` over Arrow batches; it returns one batch for each. Lowers the session's rows per Arrow batch to ``BATCH_ROWS``."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
 
     def run(batches):
         for batch in batches:

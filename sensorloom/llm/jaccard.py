@@ -31,12 +31,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sensorloom.llm.common import arrow_rows, release, stored, text_slices
+from sensorloom.llm.common import arrow_rows, give_back, release, stored, text_slices
 from sensorloom.llm.words import U, cut, mix, sequence_hash
 
 K, PERCENT = 5, 80
-#: How many very frequent shingles are ordered last at most, and from how many documents of a batch on.
+#: How many very frequent shingles are ordered last at most, from how many of those counted together on, and how many of these.
 FREQUENT, FREQUENT_FROM, FREQUENT_PER_BATCH = 200_000, 3, 65_536
+#: Shingles that are counted together.
+FREQUENT_OF = 3_000_000
 #: Places of the count vectors: the sum of their differences is at most the number of shingles in one set only.
 PLACES = 128
 #: Bits of the filter that spares texts of no region their second reading; what it lets through in vain only costs.
@@ -65,18 +67,29 @@ def shingle_sets(column: pa.Array, k: int = K) -> Iterator[np.ndarray]:
 def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
     """Hashes of shingles that many documents share: at most ``FREQUENT``, rising. They only order prefixes."""
 
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def count(every: list[np.ndarray]) -> pa.RecordBatch:
         # of the sorted shingles only those that stand FREQUENT_FROM times in a row are looked at any more
-        every = np.concatenate([np.zeros(0, dtype=U), *shingle_sets(batch.column("text"), k)])
+        every = np.concatenate([np.zeros(0, dtype=U), *every])
         every.sort()
         reach = FREQUENT_FROM - 1
         values, n = np.unique(every[reach:][every[reach:] == every[:len(every) - reach]], return_counts=True)
         n = n + reach
-        often = np.arange(len(n))
-        often = often[np.argsort(-n[often], kind="stable")][:FREQUENT_PER_BATCH]
+        often = np.argsort(-n, kind="stable")[:FREQUENT_PER_BATCH]
         return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(n[often])], names=["s", "n"])
 
-    top = arrow_rows(docs, "s long, n long", count).groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(FREQUENT)
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for s in shingle_sets(batch.column("text"), k):
+                held.append(s)
+                size += len(s)
+                if size >= FREQUENT_OF:
+                    yield count(held)
+                    held, size = [], 0
+        yield count(held)
+        give_back()
+
+    top = docs.mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(FREQUENT)
     return np.sort(np.array([r["s"] for r in top.collect()], dtype=np.int64).view(U))
 
 
