@@ -222,6 +222,17 @@ def in_parts(df, at, parts=3):
     return [placed.where(F.col("_part") == i).drop("_part") for i in range(parts)]
 
 
+def timed(rows, at):
+    """Rows with the event time of their step."""
+    return rows.withColumn("time", F.timestamp_seconds(F.col(at) * STEP))
+
+
+def last_beat(rows):
+    """One row far behind the newest, which lets all timers go off."""
+    far = rows.agg((F.max("at") + 100_000).alias("at"), (F.max("time") + F.expr("INTERVAL 400 DAYS")).alias("time")).where("at IS NOT NULL")
+    return far.select(*[F.lit("heartbeat").alias(c) if c in RULE else F.col(c) for c in rows.columns])
+
+
 def feed(spark, sf):
     """All readings in parts, then one heartbeat far behind the newest that lets the last windows close."""
     rows = base.readings(spark, sf)
@@ -301,9 +312,12 @@ def q3(spark, sf):
 @query("q7_stream_cusum_and_ewma", f"""
 WITH {CHARTS} SELECT site, variable, step, r6(cusum) AS cusum, r6(ewma) AS ewma FROM charts WHERE cusum IS NOT NULL""")
 def q7(spark, sf):
-    rows = base.standardised(spark, sf).where("z IS NOT NULL").select(*KEYS, "step", "z")
+    """A timer takes the state of a series that has been silent for longer than a stretch may pause."""
+    rows = timed(base.standardised(spark, sf).where("z IS NOT NULL").select(*KEYS, "step", "z"), "step")
     schema = "site string, variable string, step bigint, cusum double, ewma double"
-    return jobs.replay(in_parts(rows, "step"), lambda part: jobs.stateful(part, KEYS, jobs.Charts(), schema)).withColumns({c: r6(c) for c in ("cusum", "ewma")})
+    made = jobs.Charts()
+    made.step_ms = STEP * 1000
+    return jobs.replay(in_parts(rows, "step"), lambda part: jobs.stateful(part, KEYS, made, schema, "1 day")).withColumns({c: r6(c) for c in ("cusum", "ewma")})
 
 
 @query("q8_stream_classification", f"WITH RECURSIVE {CLASSIFIED} SELECT * FROM cls")
@@ -313,14 +327,63 @@ def q8_stream(spark, sf):
     return jobs.replay(in_parts(rows, "checked_at"), lambda part: jobs.stateful(part, RULE, jobs.Alerts(), schema))
 
 
-@query("q12_stream_cooldown", f"""
-WITH RECURSIVE {HELD} SELECT o.site, o.variable, o.rule, o.pos AS at_step, CASE WHEN f.pos IS NOT NULL THEN 'sent' ELSE 'held' END AS outcome FROM ov o LEFT JOIN fold f ON o.site = f.site AND o.variable = f.variable AND o.rule = f.rule AND o.pos = f.pos""")
+STREAMED_COOLDOWN = f"""
+WITH RECURSIVE {HELD} SELECT o.site, o.variable, o.rule, o.pos AS at_step, CASE WHEN f.pos IS NOT NULL THEN 'sent' ELSE 'held' END AS outcome FROM ov o LEFT JOIN fold f ON o.site = f.site AND o.variable = f.variable AND o.rule = f.rule AND o.pos = f.pos"""
+COOLED = "site string, variable string, rule string, at bigint, outcome string"
+
+
+def cooled(part, stored=None):
+    made = jobs.Cooldown()
+    made.step_ms = STEP * 1000
+    return jobs.stateful(part, RULE, made, COOLED, "1 day", stored)
+
+
+@query("q12_stream_cooldown", STREAMED_COOLDOWN)
 def q12_stream(spark, sf):
-    schema = "site string, variable string, rule string, at bigint, outcome string"
-    out = jobs.replay(in_parts(over_line(spark, sf), "at"), lambda part: jobs.stateful(part, RULE, jobs.Cooldown(), schema))
+    out = jobs.replay(in_parts(timed(over_line(spark, sf), "at"), "at"), cooled)
     return out.withColumnRenamed("at", "at_step")
 
 
+@query("q12_stream_restart", STREAMED_COOLDOWN)
+def q12_restart(spark, sf):
+    """The stream is lost after its first parts; a new one, with a fresh checkpoint folder, starts from the stored sends."""
+    *parts, last = in_parts(timed(over_line(spark, sf), "at"), "at")
+    before = jobs.replay(parts, cooled)
+    stored = before.where("outcome = 'sent'").groupBy(*RULE).agg(F.max("at").alias("at"))
+    after = jobs.replay([last], lambda part: cooled(part, stored))
+    return before.unionByName(after).withColumnRenamed("at", "at_step")
+
+
+@query("q19_stream_quiet_time", f"""
+WITH RECURSIVE {SCORES}, ov AS (SELECT site, variable, rule, step AS pos FROM scores WHERE score > threshold),
+told AS (SELECT rule, min(pos) AS at FROM ov GROUP BY rule
+  UNION ALL SELECT t.rule, CASE WHEN n.pos < t.at + 4 THEN t.at + 4 ELSE n.pos END AS at FROM told t, LATERAL (SELECT min(pos) AS pos FROM ov o WHERE o.rule = t.rule AND o.pos > t.at) n WHERE n.pos IS NOT NULL)
+SELECT o.site, o.variable, o.rule, o.pos AS at_step, min(t.at) AS sent_step FROM ov o JOIN told t ON t.rule = o.rule AND t.at >= o.pos GROUP BY o.site, o.variable, o.rule, o.pos""")
+def q19_stream(spark, sf):
+    """Held alerts wait in a queue that a timer opens when the model's quiet time ends; none is dropped."""
+    rows = timed(over_line(spark, sf), "at")
+    made = jobs.QuietTime()
+    made.step_ms = STEP * 1000
+    schema = "site string, variable string, rule string, at bigint, sent_at bigint"
+    out = jobs.replay([*in_parts(rows, "at"), last_beat(rows)], lambda part: jobs.stateful(part, ["rule"], made, schema, "1 day"))
+    return out.where("rule <> 'heartbeat'").select(*RULE, F.col("at").alias("at_step"), F.col("sent_at").alias("sent_step"))
+
+
+@query("q14_stream_clear", f"""
+WITH {EV}, h AS (SELECT site, variable, us // {HOUR * US} AS hr FROM ev WHERE value > 120),
+o AS (SELECT *, CASE WHEN hr - lag(hr) OVER (PARTITION BY site, variable ORDER BY hr) <= 24 THEN 0 ELSE 1 END AS o FROM h),
+k AS (SELECT *, sum(o) OVER (PARTITION BY site, variable ORDER BY hr ROWS UNBOUNDED PRECEDING) AS k FROM o)
+SELECT site, variable, min(hr) AS first_at, max(hr) AS last_at, count(*) AS sightings, max(hr) + 24 AS cleared_at FROM k GROUP BY site, variable, k""")
+def q14_stream(spark, sf):
+    """A problem not seen for a day is cleared by a timer, without any further row of it."""
+    hour = F.floor(F.col("us") / (HOUR * US))
+    rows = base.readings(spark, sf).where("value > 120").select(*KEYS, F.lit("high").alias("rule"), hour.alias("at"))
+    rows = rows.withColumn("time", F.timestamp_seconds(F.col("at") * HOUR))
+    schema = "site string, variable string, first_at bigint, last_at bigint, sightings bigint, cleared_at bigint"
+    out = jobs.replay([*in_parts(rows, "at"), last_beat(rows)], lambda part: jobs.stateful(part, KEYS, jobs.Problems(), schema, "1 hour"))
+    return out.where("site <> 'heartbeat'")
+
+
 @query("a10_replay_source", f"WITH {EV} SELECT site, variable, count(*) AS readings, max(value) AS top FROM ev GROUP BY ALL")
 def a10(spark, sf):
     """A stored feed read to its end as a one-shot streaming query."""

@@ -128,12 +128,14 @@ class Charts(StatefulProcessor):
     """CUSUM and EWMA of each key over all batches, in closed form from the state the last batch left.
 
     With S the running sum of a stretch, the upper sum is S + max(start, -min S); a long gap of steps begins a new
-    stretch from zero. Steps must arrive in order from batch to batch; inside a batch they are sorted.
+    stretch from zero. Steps must arrive in order from batch to batch; inside a batch they are sorted. A key that
+    has been silent for so long starts from zero anyway: a timer at ``step_ms`` a step then removes its state.
     """
 
-    allowance, lam, reset = 0.5, 0.2, 8
+    allowance, lam, reset, step_ms = 0.5, 0.2, 8, 0
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.carried = handle.getValueState("carried", "up double, down double, mean double, at bigint")
 
     def _one_sided(self, push: np.ndarray, start: float) -> np.ndarray:
@@ -158,8 +160,14 @@ class Charts(StatefulProcessor):
             cusum[part], ewma[part] = np.maximum(highs, lows), np.abs(means) / math.sqrt(self.lam / (2.0 - self.lam))
             up, down, mean = float(highs[-1]), float(lows[-1]), float(means[-1])
         self.carried.update((up, down, mean, int(step[-1])))
+        if self.step_ms:
+            wake(self.handle, (int(step[-1]) + self.reset + 2) * self.step_ms)
         yield pd.DataFrame({"site": key[0], "variable": key[1], "step": step, "cusum": cusum, "ewma": ewma})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.carried.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
@@ -194,33 +202,174 @@ class Alerts(StatefulProcessor):
 
 
 class Cooldown(StatefulProcessor):
-    """sent or held per item, a sent item starting its key's hold."""
+    """sent or held per item, a sent item starting its key's hold.
+
+    Initial state (``at`` of stored sends) lets a new stream go on where an old one was lost. With ``step_ms`` a timer
+    removes the state of a key once its hold is over.
+    """
 
-    hold = 6
+    hold, step_ms = 6, 0
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("sent", "at bigint")
 
+    def _remember(self, at: int) -> None:
+        self.state.update((at,))
+        if self.step_ms:
+            wake(self.handle, (at + self.hold) * self.step_ms)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self._remember(int(initialState["at"].max()))
+
     def handleInputRows(self, key, rows, timerValues):
         last = self.state.get()[0] if self.state.exists() else None
         batch = pd.concat(list(rows)).sort_values("at")
-        said = []
-        for at in batch["at"]:
-            if last is not None and at - last < self.hold:
-                said.append("held")
-            else:
-                last = int(at)
-                said.append("sent")
-        if last is not None:
-            self.state.update((last,))
-        yield pd.DataFrame({"site": key[0], "variable": key[1], "rule": key[2], "at": batch["at"], "outcome": said})
+        moments = batch["at"].to_numpy()
+        sent = np.zeros(len(moments), dtype=bool)
+        place = 0 if last is None else int(np.searchsorted(moments, last + self.hold))
+        while place < len(moments):  # from send to send
+            sent[place] = True
+            last = int(moments[place])
+            place = int(np.searchsorted(moments, last + self.hold)) if self.hold else place + 1
+        if sent.any():
+            self._remember(last)
+        yield pd.DataFrame({"site": key[0], "variable": key[1], "rule": key[2], "at": batch["at"], "outcome": np.where(sent, "sent", "held")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def stateful(df: DataFrame, keys: Sequence[str], processor: StatefulProcessor, schema: str) -> DataFrame:
+class QuietTime(StatefulProcessor):
+    """When each item of a model is sent: at once, or held in a queue until the quiet time after the last send ends.
+
+    What the queue lets out is a send of its own and starts the next quiet time. Nothing is dropped. A timer opens the
+    queue; with nothing in it, the model is forgotten.
+    """
+
+    gap, step_ms = 4, 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at bigint")
+        self.queue = handle.getListState("queue", "site string, variable string, at bigint")
+
+    def _told(self, key, held: list, at: int) -> pd.DataFrame:
+        return pd.DataFrame([(site, variable, key[0], step, at) for site, variable, step in held], columns=["site", "variable", "rule", "at", "sent_at"])
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        last = int(initialState["at"].max())
+        self.last.update((last,))
+        wake(self.handle, (last + self.gap) * self.step_ms)
+
+    def handleInputRows(self, key, rows, timerValues):
+        last = self.last.get()[0] if self.last.exists() else None
+        held = [tuple(x) for x in self.queue.get()]
+        batch = pd.concat(list(rows)).sort_values(["at", "site", "variable"])
+        moments, place = batch["at"].to_numpy(), 0
+        items = list(zip(batch["site"], batch["variable"], batch["at"].astype(int), strict=True))
+        while place < len(moments):  # from send to send
+            if last is not None:
+                upto = int(np.searchsorted(moments, last + self.gap, side="right" if held or moments[place] < last + self.gap else "left"))
+                held += items[place:upto]
+                place = upto
+                if place == len(moments):
+                    break
+            if held:  # time has gone past the end of the quiet time
+                last += self.gap
+                yield self._told(key, held, last)
+                held = []
+                continue
+            upto = int(np.searchsorted(moments, moments[place], side="right"))
+            last = int(moments[place])
+            yield self._told(key, items[place:upto], last)
+            place = upto
+        self.last.update((last,))
+        if held:
+            self.queue.put(held)
+        else:
+            self.queue.clear()
+        wake(self.handle, (last + self.gap) * self.step_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = [tuple(x) for x in self.queue.get()]
+        if not held:
+            self.last.clear()
+            return
+        last = self.last.get()[0] + self.gap
+        self.queue.clear()
+        self.last.update((last,))
+        wake(self.handle, (last + self.gap) * self.step_ms)
+        yield self._told(key, held, last)
+
+    def close(self) -> None:
+        pass
+
+
+class Problems(StatefulProcessor):
+    """Life cycle of a problem from its sightings: opened at the first, cleared once it was not seen for ``unseen``.
+
+    A timer says so without any further row, and takes the state away. Rows: ``at`` in units of ``step_ms``.
+    """
+
+    unseen, step_ms = 24, 3_600_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("open", "first_at bigint, last_at bigint, sightings bigint")
+
+    def _cleared(self, key, state) -> dict:
+        return {"site": key[0], "variable": key[1], "first_at": state[0], "last_at": state[1], "sightings": state[2], "cleared_at": state[1] + self.unseen}
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        newest = initialState.sort_values("last_at").iloc[-1]
+        self.state.update((int(newest["first_at"]), int(newest["last_at"]), int(newest["sightings"])))
+        wake(self.handle, (int(newest["last_at"]) + self.unseen) * self.step_ms + 1)
+
+    def handleInputRows(self, key, rows, timerValues):
+        state = self.state.get() if self.state.exists() else None
+        at = np.sort(pd.concat(list(rows))["at"].to_numpy())
+        parts = np.split(at, np.flatnonzero(np.diff(at) > self.unseen) + 1)
+        out = []
+        for part in parts:
+            if state is not None and part[0] - state[1] > self.unseen:
+                out.append(self._cleared(key, state))
+                state = None
+            first, seen = (int(part[0]), 0) if state is None else (state[0], state[2])
+            state = (first, int(part[-1]), seen + len(part))
+        self.state.update(state)
+        wake(self.handle, (state[1] + self.unseen) * self.step_ms + 1)
+        if out:
+            yield pd.DataFrame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state = self.state.get()
+        self.state.clear()
+        yield pd.DataFrame([self._cleared(key, state)])
+
+    def close(self) -> None:
+        pass
+
+
+def wake(handle: StatefulProcessorHandle, at_ms: int) -> None:
+    """One timer a key, at this moment."""
+    for old in list(handle.listTimers()):
+        handle.deleteTimer(old)
+    handle.registerTimer(at_ms)
+
+
+def stateful(df: DataFrame, keys: Sequence[str], processor: StatefulProcessor, schema: str, late: str | None = None, initial: DataFrame | None = None) -> DataFrame:
+    """Run a processor per key. With ``late``, the watermark's delay on ``time``, its timers run on event time.
+
+    ``initial``: rows from which a new stream takes its first state (``keys`` and the processor's columns).
+    """
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    if late is not None:
+        df = df.withWatermark("time", late)
     return df.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None"
-    )
+        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None" if late is None else "EventTime",
+        initialState=None if initial is None else initial.groupBy(*keys))
