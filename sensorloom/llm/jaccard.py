@@ -35,6 +35,8 @@ from sensorloom.llm.common import arrow_rows, give_back, release, stored, text_s
 from sensorloom.llm.words import U, cut, mix, sequence_hash
 
 K, PERCENT = 5, 80
+#: A number above all places of a set, to hold two in one long.
+_PLACE = 1 << 31
 #: How many very frequent shingles are ordered last at most, from how many of those counted together on, and how many of these.
 FREQUENT, FREQUENT_FROM, FREQUENT_PER_BATCH = 200_000, 3, 65_536
 #: Shingles that are counted together.
@@ -212,14 +214,17 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, text
     rows = stored(_sets(source, k, percent, frequent_shingles(source, k)))
     named = rows.where("n > 0 AND doc IS NOT NULL")
     nodes = named.groupBy("n", "one", "two").agg(F.min("doc").alias("node"), F.first("prefix").alias("prefix"))
-    shared = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "region"))
+    shared = nodes.select("node", F.posexplode("prefix").alias("pos", "region"), "n").select("region", "node", (F.col("n") * _PLACE + F.col("pos")).alias("at"))
     # a link's smaller set has the first common shingle among its first ninth (at 80 percent)
     leads = F.col("pos") * (100 + percent) <= F.col("n") * (100 - percent)
-    regions = shared.groupBy("region").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.max(leads).alias("led"))
+    n, pos = F.shiftright("at", 31).alias("n"), F.col("at").bitwiseAND(_PLACE - 1).alias("pos")
+    # nodes and, above them, leading nodes of a region, in one number
+    regions = shared.select("region", n, pos).select("region", F.when(leads, F.lit(_PLACE + 1)).otherwise(F.lit(1)).alias("one")).groupBy("region").agg(F.sum("one").alias("sum"))
+    regions = release(stored(regions.where(f"sum > {_PLACE} AND sum % {_PLACE} > 1").select("region")))
     # sets within the radius differ in size by one step of this scale at most; a cell holds two steps
     step = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * math.log(100 / percent)))
     cell = F.explode(F.array(step, step - 1)).alias("cell")
-    sized = shared.join(regions.where("least < most AND led").select("region"), "region").select("region", "node", "n", "pos", leads.alias("leads"), cell)
+    sized = shared.join(regions, "region").select("region", "node", n, pos).select("region", "node", "n", "pos", leads.alias("leads"), cell)
     sized = sized.select(F.xxhash64("region", "cell").alias("region"), "node", "n", "pos", "leads")
     sized = release(stored(sized.groupBy("region", "node").agg(F.min(F.struct("pos", "n", "leads")).alias("m")).select("region", "node", "m.n", "m.pos", "m.leads")))
     members = stored(_unsettled(sized.withColumn("label", F.col("node"))))
