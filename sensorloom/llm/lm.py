@@ -1,24 +1,21 @@
 """Operator 10: log-probabilities of texts under a smoothed n-gram model, by a backoff automaton.
 
-The model's states are the contexts of up to two words; an arc reads a word, a failure arc takes the last word
-less of context at a weight. Contexts and the words of longer n-grams are all words of the training texts; only words
-that these do not have are the open class, read by the unigram at the bottom. With ``head`` the words of longer n-grams
-are that many of the most frequent ones, all others are open. Counts are global and exact.
+The automaton's states are the contexts of up to two words that the training texts have; an arc reads a word, a failure
+arc takes the first word of the context away at a weight. Every text is read once from left to right: the state is carried,
+failure arcs are followed until an arc for the word exists, and the logarithms add up. Many texts are read in step with each
+other. Words that the training texts do not have are read at the bottom state. Counts are global and exact.
 
 No task holds the model. Documents lie in shards of some MB, written once as token streams. A shard sends
 its distinct keys with its counts to buckets of keys, a bucket adds them up over all shards, and each shard
 gets the global counts of its own keys back. From these it builds the part of the automaton that its
-documents can reach, and reads each document once from left to right. What is gathered grows with the
-vocabulary and the n-grams of the corpus; a key that every shard has costs one number per shard.
-
-Smoothing: with c(h) the count of context h, r(h) that of h before an open word, P' and Q' the probabilities
-and the open mass of the shorter context,
-    P(w|h) = (c(hw) + mu P'(w)) / (c(h) + mu)                for head words, and
-    P(w|h) = (r(h) + mu Q') / (c(h) + mu) * P'(w) / Q'       for open words,
-which sum to one. Over the whole vocabulary r(h) is 0, c(h) of a word is its own count and c(h) of two words that of
-their 2-gram, so 2-grams and 3-grams are all that is counted besides words. An n-gram's key is a hash of its words; a quarter
-of all keys is counted after the other, so that shuffle files of one are on disk. A text gives its own states, so all
-of its tokens take their arcs and failure arcs at once (``read_all``).
+documents can reach. What is gathered grows with the vocabulary and the n-grams of the corpus; a key that every shard has
+costs one number per shard.
+
+Smoothing: with c(h) the count of context h and P' the probability in the shorter context,
+    P(w|h) = (c(hw) + mu P'(w)) / (c(h) + mu),
+which sums to one: an arc where c(hw) > 0, else the failure arc's weight mu / (c(h) + mu) times P'(w). c(h) of a word is its
+own count and c(h) of two words that of their 2-gram, so 2-grams and 3-grams are all that is counted besides words. An
+n-gram's key is a hash of its words; a quarter of all keys is counted after the other, so that shuffle files of one are on disk.
 """
 
 from __future__ import annotations
@@ -36,6 +33,8 @@ from sensorloom.llm.words import U, cut, mix
 SHARD_BYTES, MU = 8_000_000, (400.0, 100.0)
 #: Keys of n-grams are counted by their first two bits.
 PARTS = 4
+#: Long texts are read in stretches of so many tokens.
+STRETCH = 1024
 #: Hash of the end of a text, a token like any word.
 END = U(0x5EED0F7E5EED0F7E)
 
@@ -131,37 +130,30 @@ def shards(docs: DataFrame, buckets: int, shard_bytes: int) -> DataFrame:
     return docs.mapInArrow(run, f"shard long, docs array<struct<doc:bigint,held:boolean,n:bigint>>, stream binary, words {_ROWS}")
 
 
-def totals(sent: DataFrame, top: int | None = None) -> DataFrame:
+def totals(sent: DataFrame) -> DataFrame:
     """Counts summed over all shards, by bucket, and given back to each shard in the order of its keys.
 
-    With ``top``, also a row without a shard per bucket: its sum, its number of keys with a count, and its
-    largest counts with their keys.
+    A bucket's first row also has the bucket's sum and its number of keys with a count.
     """
 
     def merge(table: pa.Table) -> pa.Table:
         keys = [_unpacked_keys(b) for b in table.column("keys").to_pylist()]
         counts = np.concatenate([_unpacked(b) for b in table.column("counts").to_pylist()])
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(place, weights=counts).astype(np.int64)
+        total = np.bincount(place, weights=counts, minlength=len(distinct)).astype(np.int64)
         given = total[place]
         ends = np.cumsum([0, *map(len, keys)])
-        shard = table.column("shard").to_pylist()
-        bucket = table.column("bucket").to_pylist()
-        blobs = [_packed(given[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        n, seen, most, least = [None] * len(shard), [None] * len(shard), [None] * len(shard), [None] * len(shard)
-        if top is not None:
-            order = np.lexsort((distinct, -total))[:top] if top else np.zeros(0, dtype=np.int64)
-            order = order[total[order] > 0]
-            shard, bucket, blobs = [*shard, None], [*bucket, bucket[0]], [*blobs, None]
-            n, seen = [*n, int(total.sum())], [*seen, int((total > 0).sum())]
-            most, least = [*most, distinct[order].tolist()], [*least, total[order].tolist()]
+        others = [None] * (len(keys) - 1)
         return pa.table({
-            "shard": pa.array(shard, pa.int64()), "bucket": pa.array(bucket, pa.int32()), "totals": pa.array(blobs, pa.binary()),
-            "n": pa.array(n, pa.int64()), "seen": pa.array(seen, pa.int64()),
-            "top_keys": pa.array(most, pa.list_(pa.int64())), "top_counts": pa.array(least, pa.list_(pa.int64()))})
+            "shard": table.column("shard"), "bucket": table.column("bucket"),
+            "totals": pa.array([_packed(given[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
+            "n": pa.array([int(total.sum()), *others], pa.int64()), "seen": pa.array([int((total > 0).sum()), *others], pa.int64())})
 
-    return sent.groupBy("bucket").applyInArrow(
-        merge, "shard long, bucket int, totals binary, n long, seen long, top_keys array<long>, top_counts array<long>")
+    return sent.groupBy("bucket").applyInArrow(merge, "shard long, bucket int, totals binary, n long, seen long")
+
+
+_SCORES = (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+           ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))
 
 
 def all_ngrams(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,167 +186,112 @@ def part_rows(keys: np.ndarray, counts: np.ndarray, buckets: int) -> list[dict]:
             for w, a, b in zip(which, begins, [*begins[1:], len(keys)][:len(begins)], strict=True)]
 
 
-def read_all(sizes: np.ndarray, c0: np.ndarray, end: int, c2: np.ndarray, c3: np.ndarray, whole: float, mu=MU) -> np.ndarray:
-    """Log10 probability of each text: counts of each token, of its 2-gram and, but for first tokens, its 3-gram.
+class Automaton:
+    """The part of the backoff automaton that some texts can reach.
 
-    An arc is taken where its n-gram has a count; without one, the same formula is the failure arc's weight.
+    State 0 has no context, 1 to ``words`` are single words, further ones the 2-grams in ``two``. What has no count is no
+    state. Given are the counts of the words (``seen``), the number of the end of a text, the texts' tokens, and the counts
+    of the 2-gram that ends at each token and, but for first tokens, of the 3-gram.
     """
-    first = np.cumsum(sizes) - sizes
-    context = np.concatenate([c0[:1], c0[:-1]])
-    context[first] = end
-    p = (c2 + mu[0] * (c0 + 0.5) / whole) / (context + mu[0])
-    later = np.ones(len(c0), dtype=bool)
-    later[first] = False
-    at = np.flatnonzero(later)
-    p[at] = (c3 + mu[1] * p[at]) / (c2[at - 1] + mu[1])
-    return np.add.reduceat(np.log10(p), first)
-
-
-class Head:
-    """The frequent words: their hashes, rising, with the end of a text always among them."""
-
-    def __init__(self, keys: list[int]):
-        self.words = np.unique(np.append(np.array(keys, dtype=np.int64).view(U), END))
-        self.n = len(self.words)
-        self.end = int(np.searchsorted(self.words, END))
-
-    def of(self, words: np.ndarray) -> np.ndarray:
-        """Number of each word in the head, or -1."""
-        at = np.minimum(np.searchsorted(self.words, words), self.n - 1)
-        return np.where(self.words[at] == words, at, -1)
-
-
-#: Kinds of keys: contexts of one and of two words, the same before an open word, 2-grams and 3-grams.
-ONE, ONE_OPEN, TWO, PAIR, PAIR_OPEN, THREE = range(6)
-
-
-def ngrams(w: np.ndarray, sizes: np.ndarray, learn: np.ndarray, head: Head) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of a stream of head numbers (-1: open), with their counts where ``learn``."""
-    starts = np.cumsum(sizes) - sizes
-    v = np.concatenate([[0], w[:-1]])
-    u = np.concatenate([[0, 0], w[:-2]])[:len(w)]
-    v[starts], u[starts] = head.end, -1
-    second = starts[sizes > 1] + 1
-    u[second] = head.end
-    h, keys, counts = head.n, [], []
-
-    def add(kind, value, on, limit=None):
-        if limit:
-            there = np.flatnonzero(np.bincount(value[on], minlength=1))
-            n = np.bincount(value[on & learn], minlength=limit)[there]
-        else:
-            there, place = np.unique(value[on], return_inverse=True)
-            n = np.bincount(place[learn[on]], minlength=len(there))
-        keys.append(there.astype(np.int64) | np.int64(kind) << np.int64(58))
-        counts.append(n)
-
-    one, open_, pair = v >= 0, w < 0, (v >= 0) & (u >= 0)
-    add(ONE, v, one, h)
-    add(ONE_OPEN, v, one & open_, h)
-    add(TWO, v * h + w, one & ~open_, h * h)
-    add(PAIR, u * h + v, pair, h * h)
-    add(PAIR_OPEN, u * h + v, pair & open_, h * h)
-    add(THREE, (u * h + v) * h + w, pair & ~open_)
-    return np.concatenate(keys), np.concatenate(counts)
 
-
-class Automaton:
-    """The backoff automaton of some documents. State 0 has no context, 1 to n are head words, then pairs."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, words: np.ndarray, unigram: np.ndarray, head: Head, open_mass: float, mu=MU):
-        h = self.h = head.n
-        kind, value = keys >> 58, keys & ((1 << 58) - 1)
-        uni = np.full(h, 1e-300)
-        uni[words[words >= 0]] = unigram[words >= 0]
-
-        def dense(of, n):
-            out = np.zeros(n)
-            out[value[kind == of]] = counts[kind == of]
-            return out
-
-        one, one_open = dense(ONE, h), dense(ONE_OPEN, h)
-        two = dense(TWO, h * h)
-        open_one = (one_open + mu[0] * open_mass) / (one + mu[0])
-        pairs, pair_n = value[kind == PAIR], counts[kind == PAIR]
-        pair_open = dense(PAIR_OPEN, h * h)[pairs]
-        last = pairs % h
-        open_pair = (pair_open + mu[1] * open_one[last]) / (pair_n + mu[1])
-        state = np.zeros(h * h, dtype=np.int64)
-        state[pairs] = h + 1 + np.arange(len(pairs))
-        # failure arcs: where to, and the weights for head and for open words
-        self.fail = [0] * (h + 1) + (last + 1).tolist()
-        self.seen = np.log10(np.concatenate([[1], mu[0] / (one + mu[0]), mu[1] / (pair_n + mu[1])])).tolist()
-        safe = max(open_mass, 1e-300)
-        self.open = np.log10(np.concatenate([[1], np.maximum(open_one, 1e-300) / safe, np.maximum(open_pair, 1e-300) / np.maximum(open_one[last], 1e-300)])).tolist()
-        pair2 = value[kind == TWO]
-        v, w = pair2 // h, pair2 % h
-        p2 = (two[pair2] + mu[0] * uni[w]) / (one[v] + mu[0])
-        triple, n3 = value[kind == THREE], counts[kind == THREE]
-        uv, w3 = triple // h, triple % h
-        below = (two[uv % h * h + w3] + mu[0] * uni[w3]) / (one[uv % h] + mu[0])
-        pair_total = dense(PAIR, h * h)[uv]
-        p3 = (n3 + mu[1] * below) / (pair_total + mu[1])
-        got2, got3 = two[pair2] > 0, n3 > 0
-
-        def arcs(states, read, p):
-            return zip((states * h + read).tolist(), np.log10(p).tolist(), strict=True)
-
-        self.arcs = dict(arcs(v[got2] + 1, w[got2], p2[got2]))
-        self.arcs.update(arcs(state[uv[got3]], w3[got3], p3[got3]))
-        self.pair = dict(zip(pairs.tolist(), state[pairs].tolist(), strict=True))
-        self.start = head.end + 1
-
-    def read(self, tokens: list[int], unigram: list[float]) -> float:
-        """Log10 probability of a text: ``tokens`` are head numbers or -1, ``unigram`` the bottom's logs."""
-        state, total, h, n = self.start, 0.0, self.h, self.h
-        arcs, fail, seen, open_, pair = self.arcs, self.fail, self.seen, self.open, self.pair
-        for w, bottom in zip(tokens, unigram, strict=True):
-            if w < 0:
-                while state:
-                    total += open_[state]
-                    state = fail[state]
-                total += bottom
+    def __init__(self, seen: np.ndarray, end: int, ids: np.ndarray, sizes: np.ndarray, c2: np.ndarray, c3: np.ndarray, whole: float, mu=MU):
+        v = self.words = len(seen)
+        first = np.cumsum(sizes) - sizes
+        last = np.concatenate([ids[:1], ids[:-1]])
+        last[first] = end
+        unigram = (seen + 0.5) / whole
+        self.bottom = np.log10(unigram)
+        self.known = np.where(seen > 0, np.arange(1, v + 1), 0)
+        self.start = int(self.known[end])
+
+        def after_one(at):
+            return (c2[at] + mu[0] * unigram[ids[at]]) / (seen[last[at]] + mu[0])
+
+        on = np.flatnonzero(c2 > 0)
+        self.two, at, place = np.unique(last[on] * v + ids[on], return_index=True, return_inverse=True)
+        at2 = on[at]
+        pair = np.zeros(len(ids), dtype=np.int64)
+        pair[on] = place
+        counts = np.zeros(len(ids), dtype=np.int64)
+        counts[np.delete(np.arange(len(ids)), first)] = c3
+        on = np.flatnonzero(counts > 0)
+        three, at = np.unique(pair[on - 1] * v + ids[on], return_index=True)
+        at = on[at]
+        after_two = (counts[at] + mu[1] * after_one(at)) / (c2[at - 1] + mu[1])
+        # by length of context, the longer first: its lowest state less one, its arcs by state and word, their weights and ends
+        self.levels = (
+            (v, three, np.log10(after_two), 1 + v + pair[at]),
+            (0, self.two, np.log10(after_one(at2)), 1 + v + np.arange(len(self.two))))
+        self.fail = np.concatenate([np.zeros(v + 1, dtype=np.int64), 1 + self.two % v])
+        self.weight = np.log10(np.concatenate([[1.0], mu[0] / (seen + mu[0]), mu[1] / (c2[at2] + mu[1])]))
+
+    def context(self, state: int) -> tuple[int, ...]:
+        """The words that a state stands for."""
+        v = self.words
+        return divmod(int(self.two[state - 1 - v]), v) if state > v else (state - 1,) if state else ()
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Let each state read its word: the states they lead to and the log10 probabilities."""
+        state, to, log = state.copy(), np.zeros(len(state), dtype=np.int64), np.zeros(len(state))
+        for low, arcs, weights, ends in self.levels:
+            here = np.flatnonzero(state > low)
+            if not len(here):
                 continue
-            before = state
-            while state:
-                p = arcs.get(state * h + w)
-                if p is not None:
-                    total += p
-                    break
-                total += seen[state]
-                state = fail[state]
-            else:
-                total += bottom
-            # the next context: this word after the last one, if that is a state
-            last = before if before <= n else fail[before]
-            state = pair.get((last - 1) * h + w, w + 1) if last else w + 1
-        return total
-
-
-def score(docs: DataFrame, text: str = "text", key: str = "doc_id", fold: int = 1, folds: int = 5, head: int | None = None, mu=MU, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+            key = (state[here] - 1 - low) * self.words + word[here]
+            at = np.searchsorted(arcs, key)
+            there = np.zeros(len(key), dtype=bool) if not len(arcs) else arcs[np.minimum(at, len(arcs) - 1)] == key
+            taken, at = here[there], at[there]
+            log[taken] += weights[at]
+            to[taken] = ends[at]
+            state[taken] = -1
+            failed = here[~there]
+            log[failed] += self.weight[state[failed]]
+            state[failed] = self.fail[state[failed]]
+        rest = np.flatnonzero(state == 0)
+        log[rest] += self.bottom[word[rest]]
+        to[rest] = self.known[word[rest]]
+        return to, log
+
+    def read(self, ids: np.ndarray, sizes: np.ndarray, stretch: int = STRETCH) -> np.ndarray:
+        """Log10 probability of each text.
+
+        A text of more than ``stretch`` (at least two) tokens is read in stretches, in step with all others. A stretch
+        starts two tokens early at the bottom: the state after two words is the same wherever one comes from.
+        """
+        pieces = -(-sizes // stretch)
+        text = np.repeat(np.arange(len(sizes)), pieces)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = (np.cumsum(sizes) - sizes)[text] + nth * stretch
+        length = np.minimum(stretch, sizes[text] - nth * stretch) + 2 * (nth > 0)
+        order = np.argsort(-length, kind="stable")
+        text, length, early = text[order], length[order], 2 * (nth[order] > 0)
+        at = begin[order] - early
+        state = np.where(early > 0, 0, self.start)
+        total = np.zeros(len(text))
+        for t in range(int(length[0]) if len(length) else 0):
+            n = int(np.searchsorted(-length, -t))
+            state[:n], log = self.step(state[:n], ids[at[:n] + t])
+            total[:n] += np.where(early[:n] <= t, log, 0.0)
+        return np.bincount(text, weights=total, minlength=len(sizes))
+
+
+def score(docs: DataFrame, text: str = "text", key: str = "doc_id", fold: int = 1, folds: int = 5, mu=MU, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Score every text with a model learned from the documents whose crc32(id) mod ``folds`` is not ``fold``.
 
     One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score (smoothed
     unigram), score (log10 probability under the automaton). Tokens are the lower-cased (A-Z) words that white
     space parts, and one end; null and empty texts are an end alone. Rows without an id are learned from.
-    Repeated rows count as often as they come. n-grams are over the whole vocabulary, or over the ``head`` most frequent
-    words. Without any text to learn from, every token has its
-    share of one unknown.
+    Repeated rows count as often as they come. n-grams are over the whole vocabulary. Without any text to learn from, every
+    token has its share of one unknown. Other columns are not read; without rows there are none in the result.
     """
     held = F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds == fold, F.lit(False))
     source = docs.select(F.col(key).cast("long").alias("doc"), held.alias("held"), F.col(text).alias("text"))
     size = source.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     buckets = max(1, -(-((size[0] or 0) + 64 * size[1]) // shard_bytes))
     made = stored(shards(source, buckets, shard_bytes))
-    words = stored(totals(made.select("shard", F.inline("words")), top=head or 0))
+    words = stored(totals(made.select("shard", F.inline("words"))))
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("seen"), F.lit(0))).first()
-    # at most `head` rows, none for the whole vocabulary
-    best = [] if head is None else words.where("shard IS NULL").select(F.inline(F.arrays_zip("top_keys", "top_counts"))).orderBy(F.desc("top_counts"), "top_keys").limit(head).collect()
-    frequent = Head([r["top_keys"] for r in best])
-    counted = {r["top_keys"]: r["top_counts"] for r in best}
     whole = n + 0.5 * (v + 1)
-    in_head = sum((counted.get(int(k), 0) + 0.5) / whole for k in frequent.words.view(np.int64))
-    open_mass = max(0.0, 1.0 - in_head)
 
     def streams(docs_of, blob, word_rows):
         held_out = np.array([d["held"] for d in docs_of])
@@ -362,33 +299,26 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", fold: int =
         vocabulary = np.concatenate([_unpacked_keys(r["keys"]).view(U) for r in word_rows])
         return sizes, _unsqueeze(blob, int(sizes.sum())), vocabulary, np.repeat(~held_out, sizes)
 
-    def of_head(sizes, ids, vocabulary, learn):
-        in_order = frequent.of(vocabulary)
-        return in_order, *ngrams(in_order[ids], sizes, learn, frequent)
-
     def of_part(part, sizes, ids, vocabulary, learn):
         at, keys, place = part_keys(np.concatenate(all_ngrams(vocabulary[ids], sizes)), part)
         learn = np.concatenate([learn, np.delete(learn, np.cumsum(sizes) - sizes)])[at]
         return part_rows(keys, np.bincount(place[learn], minlength=len(keys)), -(-buckets // PARTS))
 
-    def count(part: int | None):
+    def count(part: int):
         def run(batches) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(batch.num_rows):
                     shard, *row = (batch.column(c)[at].as_py() for c in ("shard", "docs", "stream", "words"))
-                    rows = _by_bucket(*of_head(*streams(*row))[1:], buckets)[1] if part is None else of_part(part, *streams(*row))
+                    rows = of_part(part, *streams(*row))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([shard] * len(rows), pa.int64()), *(pa.array([r[c] for r in rows], t) for c, t in (("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())))],
                         names=["shard", "bucket", "keys", "counts"])
 
         return totals(made.mapInArrow(run, "shard long, bucket int, keys binary, counts binary")).select("shard", "bucket", "totals")
 
-    given = words.where("shard IS NOT NULL").select("shard", F.lit(-1).alias("part"), "bucket", "totals")
-    if head is None:
-        for part in range(PARTS):
-            given = given.unionByName(release(stored(count(part).withColumn("part", F.lit(part)))))
-    else:
-        given = given.unionByName(count(None).withColumn("part", F.lit(0)))
+    given = words.select("shard", F.lit(-1).alias("part"), "bucket", "totals")
+    for part in range(PARTS):
+        given = given.unionByName(release(stored(count(part).withColumn("part", F.lit(part)))))
 
     def read(mine: pa.Table, counts_of: pa.Table) -> pa.Table:
         out = []
@@ -398,33 +328,23 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", fold: int =
             return np.concatenate([np.zeros(0, np.int64), *(_unpacked(r["totals"]) for r in rows if r["part"] == part)])
 
         for row in mine.to_pylist():
-            stream = sizes, ids, vocabulary, _ = streams(row["docs"], row["stream"], row["words"])
+            sizes, ids, vocabulary, _ = streams(row["docs"], row["stream"], row["words"])
             seen = got(-1)
-            unigram = (seen + 0.5) / whole
-            logs = np.log10(unigram)
-            if head is None:
-                grams = np.concatenate(all_ngrams(vocabulary[ids], sizes))
-                total = np.empty(len(grams), dtype=np.int64)
-                for part in range(PARTS):
-                    at, _, place = part_keys(grams, part)
-                    total[at] = got(part)[place]
-                end = int(seen[np.flatnonzero(vocabulary == END)[0]])
-                scores = read_all(sizes, seen[ids], end, total[:len(ids)], total[len(ids):], whole, mu).tolist()
-            else:
-                in_order, keys, counts = of_head(*stream)
-                order, _ = _by_bucket(keys, counts, buckets)
-                automaton = Automaton(keys[order], got(0), in_order, unigram, frequent, open_mass, mu)
-            at = 0
-            for i, (d, size) in enumerate(zip(row["docs"], sizes.tolist(), strict=True)):
-                part = ids[at:at + size]
-                bottom = logs[part]
-                out.append((d["doc"], d["held"], size, int((seen[part] > 0).sum()), n, float(bottom.sum()),
-                            scores[i] if head is None else automaton.read(in_order[part].tolist(), bottom.tolist())))
-                at += size
-        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        names = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
-        columns = zip(*out, strict=True) if out else [[]] * 7
-        return pa.table({c: pa.array(x, k) for c, x, k in zip(names, columns, kinds, strict=True)})
+            grams = np.concatenate(all_ngrams(vocabulary[ids], sizes))
+            total = np.empty(len(grams), dtype=np.int64)
+            for part in range(PARTS):
+                at, _, place = part_keys(grams, part)
+                total[at] = got(part)[place]
+            del grams
+            end = int(np.flatnonzero(vocabulary == END)[0])
+            automaton = Automaton(seen, end, ids, sizes, total[:len(ids)], total[len(ids):], whole, mu)
+            scores = automaton.read(ids, sizes)
+            starts = np.cumsum(sizes) - sizes
+            bases, known = np.add.reduceat(automaton.bottom[ids], starts), np.add.reduceat((seen[ids] > 0).astype(np.int64), starts)
+            out.append(pa.table({
+                "doc_id": pa.array([d["doc"] for d in row["docs"]], pa.int64()), "held_out": pa.array([d["held"] for d in row["docs"]], pa.bool_()),
+                "n_tokens": sizes, "n_known": known, "train_tokens": pa.array([n] * len(sizes), pa.int64()), "base_score": bases, "score": scores}))
+        return pa.concat_tables(out) if out else pa.table({c: pa.array([], k) for c, k in _SCORES})
 
     return made.groupBy("shard").cogroup(given.groupBy("shard")).applyInArrow(
         read, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

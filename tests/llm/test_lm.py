@@ -27,53 +27,33 @@ def held(doc):
 class Plain:
     """The same model from its formulas, with dictionaries."""
 
-    def __init__(self, rows, head, mu):
+    def __init__(self, rows, mu):
         learn = [tokens(t) for d, t in rows if not held(d)]
         self.c, self.mu = Counter(w for t in learn for w in t), mu
         self.n, self.v = sum(self.c.values()), len(self.c)
-        self.head = set(head)
-        self.two, self.one, self.one_open = Counter(), Counter(), Counter()
-        self.three, self.pair, self.pair_open = Counter(), Counter(), Counter()
-        for t in learn:
-            for i, w in enumerate(t):
-                u, v = ([".none", END, *t])[i:i + 2]
-                if v in self.head:
-                    self.one[v] += 1
-                    self.two[v, w] += w in self.head
-                    self.one_open[v] += w not in self.head
-                    if u in self.head:
-                        self.pair[u, v] += 1
-                        self.three[u, v, w] += w in self.head
-                        self.pair_open[u, v] += w not in self.head
-        self.open = 1 - sum(self.p0(w) for w in self.head)
+        self.two = Counter(x for t in learn for x in zip([END, *t], t, strict=False))
+        self.three = Counter(x for t in learn for x in zip([END, *t], t, t[1:], strict=False))
 
     def p0(self, w):
         return (self.c[w] + 0.5) / (self.n + 0.5 * (self.v + 1))
 
     def p(self, u, v, w):
-        p, q = self.p0(w), self.open
-        if v not in self.head:
-            return p
-        below = self.one_open[v] + self.mu[0] * q
-        p1 = (self.two[v, w] + self.mu[0] * p) / (self.one[v] + self.mu[0]) if w in self.head else below / (self.one[v] + self.mu[0]) * p / q
-        q1 = below / (self.one[v] + self.mu[0])
-        if u not in self.head:
-            return p1
-        if w in self.head:
-            return (self.three[u, v, w] + self.mu[1] * p1) / (self.pair[u, v] + self.mu[1])
-        return (self.pair_open[u, v] + self.mu[1] * q1) / (self.pair[u, v] + self.mu[1]) * p1 / q1
-
-
-@pytest.mark.parametrize(("head", "shard_bytes"), [(40, 20_000), (300, 16_000_000)])
-def test_against_the_formulas(documents, odd, head, shard_bytes):
-    docs = documents.select("doc_id", "text").where("length(text) < 3000").unionByName(odd.select("doc_id", "text"))
+        p1 = (self.two[v, w] + self.mu[0] * self.p0(w)) / (self.c[v] + self.mu[0])
+        return p1 if u == ".none" else (self.three[u, v, w] + self.mu[1] * p1) / (self.two[u, v] + self.mu[1])
+
+    def state(self, read):
+        """The longest context of at most two words, the start's end with them, that the training texts have."""
+        words = [END, *read][-2:]
+        return tuple(words) if len(words) == 2 and self.two[tuple(words)] else tuple(words[-1:]) if self.c[words[-1]] else ()
+
+
+@pytest.mark.parametrize("shard_bytes", [20_000, 16_000_000])
+def test_against_the_formulas(documents, odd, shard_bytes):
+    docs = documents.select("doc_id", "text").where("length(text) < 12000").unionByName(odd.select("doc_id", "text"))
     rows = [(r["doc_id"], r["text"]) for r in rows_of(docs)]
-    got = rows_of(lm.score(docs, head=head, mu=(30.0, 5.0), shard_bytes=shard_bytes))
-    counts = Counter(w for d, t in rows if not held(d) for w in tokens(t))
-    # ties at the end of the head are cut by hash
-    hashes = {w: int(lm.tokens([w.encode()])[0][0].view(np.int64)) if w is not END else int(lm.END.view(np.int64)) for w in counts}
-    best = sorted(counts, key=lambda w: (-counts[w], hashes[w]))[:head]
-    plain = Plain(rows, {*best, END}, (30.0, 5.0))
+    got = rows_of(lm.score(docs, mu=(30.0, 5.0), shard_bytes=shard_bytes))
+    plain = Plain(rows, (30.0, 5.0))
+    assert plain.v > 1024 and max(len(tokens(t)) for _, t in rows) > lm.STRETCH
     want = []
     for d, t in rows:
         ts = tokens(t)
@@ -86,30 +66,55 @@ def test_against_the_formulas(documents, odd, head, shard_bytes):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9, abs=1e-9)
 
 
-def test_whole_vocabulary_against_the_formulas(documents, odd):
-    docs = documents.select("doc_id", "text").where("length(text) < 3000").unionByName(odd.select("doc_id", "text"))
-    rows = [(r["doc_id"], r["text"]) for r in rows_of(docs)]
-    got = rows_of(lm.score(docs, mu=(30.0, 5.0), shard_bytes=20_000))
-    plain = Plain(rows, {w for d, t in rows if not held(d) for w in tokens(t)} | {END}, (30.0, 5.0))
-    assert len(plain.head) > 1024
-    want = []
-    for d, t in rows:
-        padded = [".none", END, *tokens(t)]
-        want.append((repr(d), len(padded) - 2, sum(math.log10(plain.p(*padded[i:i + 3])) for i in range(len(padded) - 2))))
-    got = sorted((repr(r["doc_id"]), r["n_tokens"], r["score"]) for r in got)
-    for a, b in zip(got, sorted(want), strict=True):
-        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-9, abs=1e-9)
+def small_automaton(rows, mu):
+    """The automaton of some texts, its plain twin, the words by number, the tokens and their numbers."""
+    plain = Plain(rows, mu)
+    texts = [tokens(t) for _, t in rows]
+    words = sorted({w for t in texts for w in t}, key=str)
+    number = {w: i for i, w in enumerate(words)}
+    flat = np.array([number[w] for t in texts for w in t])
+    sizes = np.array([len(t) for t in texts])
+    c2 = np.array([plain.two[x] for t in texts for x in zip([END, *t], t, strict=False)])
+    c3 = np.array([plain.three[x] for t in texts for x in zip([END, *t], t, t[1:], strict=False)])
+    seen = np.array([plain.c[w] for w in words])
+    return lm.Automaton(seen, number[END], flat, sizes, c2, c3, plain.n + 0.5 * (plain.v + 1), mu), plain, words, texts, flat, sizes
+
+
+LEARNED = ["a b a b c", "a b d e", "b a b a", "x y z a b", "a b a c", ""]
+HELD = ["q a b q q a", "e d b a a a b", "never ever a b c d", "b a b a c b"]
+ROWS = [*zip([i for i in range(99) if not held(i)], LEARNED, strict=False), *zip([i for i in range(99) if held(i)], HELD, strict=False)]
+
+
+def test_states_and_probabilities_of_the_walk():
+    automaton, plain, words, texts, flat, _ = small_automaton(ROWS, (2.0, 1.0))
+    at, longest, failed = 0, 0, 0
+    for text in texts:
+        state = np.array([automaton.start])
+        padded = [".none", END, *text]
+        for i in range(len(text)):
+            before = len(automaton.context(int(state[0])))
+            state, log = automaton.step(state, flat[at + i:at + i + 1])
+            context = tuple(words[w] for w in automaton.context(int(state[0])))
+            assert context == plain.state(text[:i + 1])
+            assert log[0] == pytest.approx(math.log10(plain.p(*padded[i:i + 3])), abs=1e-12)
+            longest, failed = max(longest, len(context)), failed + (len(context) < before)
+        at += len(text)
+    assert longest == 2 and failed
+
+
+@pytest.mark.parametrize("stretch", [2, 3, 1000])
+def test_stretches_change_nothing(stretch):
+    automaton, plain, _, texts, flat, sizes = small_automaton(ROWS, (2.0, 1.0))
+    want = [sum(math.log10(plain.p(*[".none", END, *t][i:i + 3])) for i in range(len(t))) for t in texts]
+    assert automaton.read(flat, sizes, stretch).tolist() == pytest.approx(want)
 
 
 def test_probabilities_sum_to_one():
-    rows = [(i, t) for i, t in enumerate(["a b a b c", "a b d e", "b a b a", "x y z a b", "a b a c"])]
-    plain = Plain(rows, {"a", "b", END}, (2.0, 1.0))
+    plain = Plain(ROWS, (2.0, 1.0))
     unseen = 0.5 / (plain.n + 0.5 * (plain.v + 1))
-    for u, v in (("a", "b"), (END, "a"), ("x", "b"), ("b", "x")):
-        words = [*plain.c]
-        total = sum(plain.p(u, v, w) for w in words)
-        factor = plain.p(u, v, "never") / unseen
-        assert total + factor * unseen == pytest.approx(1)
+    for u, v in (("a", "b"), (END, "a"), ("x", "b"), ("b", "x"), (".none", END)):
+        factor = plain.p(u, v, "unheard") / unseen
+        assert sum(plain.p(u, v, w) for w in plain.c) + factor * unseen == pytest.approx(1)
 
 
 def test_better_than_the_base_on_held_out_texts(spark):
