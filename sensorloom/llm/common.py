@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sensorloom.session import scratch
 
 #: Bytes of text that are cut into words at once.
-SLICE = 1_000_000
+SLICE = 250_000
 #: Texts of an Arrow batch at most: by default a batch has 10,000, which are hundreds of MB outside the heap where texts are long.
 BATCH_ROWS = 1_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -69,9 +69,8 @@ def shingle_sets(column: pa.Array, k: int = K) -> Iterator[np.ndarray]:
 def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
     """Hashes of shingles that many documents share: at most ``FREQUENT``, rising. They only order prefixes."""
 
-    def count(every: list[np.ndarray]) -> pa.RecordBatch:
+    def count(every: np.ndarray) -> pa.RecordBatch:
         # of the sorted shingles only those that stand FREQUENT_FROM times in a row are looked at any more
-        every = np.concatenate([np.zeros(0, dtype=U), *every])
         every.sort()
         reach = FREQUENT_FROM - 1
         values, n = np.unique(every[reach:][every[reach:] == every[:len(every) - reach]], return_counts=True)
@@ -80,15 +79,17 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
         return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(n[often])], names=["s", "n"])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size = np.empty(FREQUENT_OF, dtype=U), 0
         for batch in batches:
             for s in shingle_sets(batch.column("text"), k):
-                held.append(s)
+                if size + len(s) > FREQUENT_OF:
+                    yield count(held[:size])
+                    size = 0
+                if len(s) > FREQUENT_OF:
+                    continue  # distinct shingles of one text: none stands there twice
+                held[size:size + len(s)] = s
                 size += len(s)
-                if size >= FREQUENT_OF:
-                    yield count(held)
-                    held, size = [], 0
-        yield count(held)
+        yield count(held[:size])
         give_back()
 
     top = docs.mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(FREQUENT)

@@ -14,6 +14,9 @@ import numpy as np
 U = np.uint64
 _BASE, _WORD_BASE = U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95)
 
+#: Bytes that are summed up at once.
+BLOCK = 1 << 17
+
 #: Bytes of a word: what is not white space; digits, letters and all outside ASCII.
 NOT_SPACE = np.array([b not in (32, 9, 10, 11, 12, 13) for b in range(256)])
 ALNUM = np.array([48 <= b <= 57 or 97 <= b <= 122 or b >= 128 for b in range(256)])
@@ -49,13 +52,24 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return kept[:n]
 
 
-def _sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64) -> np.ndarray:
-    """For each segment the sum of value * base^place, place counted from the segment's start."""
-    n = len(values)
-    total = np.zeros(n + 1, dtype=U)
-    values *= _powers(base, n)
-    np.cumsum(values, out=total[1:])
-    return (total[ends] - total[starts]) * _powers(_inverse(base), n + 1)[starts]
+def _sums(values: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64) -> np.ndarray:
+    """For each segment of ``buf`` the sum of its bytes' ``values`` * base^place, place counted from the segment's start.
+
+    Segments are rising and apart. They are summed in blocks of about ``BLOCK`` bytes, so that eight bytes for each byte
+    are held of one block only.
+    """
+    out = np.zeros(len(starts), dtype=U)
+    a = 0
+    while a < len(starts):
+        low = starts[a]
+        b = max(a + 1, int(np.searchsorted(ends, low + BLOCK, side="right")))
+        n = int(ends[b - 1] - low)
+        total = np.zeros(n + 1, dtype=U)
+        np.multiply(values[buf[low:low + n]], _powers(base, n), out=total[1:])
+        np.cumsum(total[1:], out=total[1:])
+        out[a:b] = (total[ends[a:b] - low] - total[starts[a:b] - low]) * _powers(_inverse(base), n + 1)[starts[a:b] - low]
+        a = b
+    return out
 
 
 @dataclass
@@ -105,7 +119,7 @@ def cut(texts: list[bytes], word_bytes: np.ndarray = NOT_SPACE) -> Words:
     size = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
     begins = np.cumsum(size) - size
     with np.errstate(over="ignore"):
-        sums = _sums(_BYTE[buf], starts, ends, _BASE)
+        sums = _sums(_BYTE, buf, starts, ends, _BASE)
         hashes = mix(sums + (ends - starts).astype(U) * _WORD_BASE)
     text = np.searchsorted(begins, starts, side="right") - 1
     return Words(buf, starts, ends, text, hashes, len(texts))
