@@ -6,6 +6,9 @@ around a threshold, and the lines above it select the content region: an article
 most of their text, else the innermost container that holds all of it. All lines of that region are returned,
 short ones too; what sits in menus, headers, footers, side bars, notices, adverts, forms, scripts, styles or
 reader comments never counts. Where only a class or id name says so, the ratios may overrule it (``overruled``).
+
+Time is linear in the page: containers and named elements are trees by parent, open elements are found by tag, and what
+an element holds is summed up from its children.
 """
 
 from __future__ import annotations
@@ -42,41 +45,57 @@ _NAME = re.compile(r"[a-z]+")
 #: A start tag of these ends an open element of the same family.
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
            "th": {"td", "th"}, "option": {"option"}}
+_WALLS = CONTAINERS | SKIPPED
 
 
 class Blocks(HTMLParser):
-    """Collects text blocks outside skipped elements: text, tags, the path of containers, the elements named away."""
+    """Collects text blocks outside skipped elements: text, tags, innermost container, innermost element named away.
+
+    Containers and named elements are numbered from 1 as they open; ``parent`` and ``outer`` give what is around them, 0 for
+    nothing.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, tuple[int, ...], tuple[int, ...]]] = []
-        self.lines: list[tuple[str, int, tuple[int, ...], tuple[int, ...]]] = []
-        self.plain: dict[int, bool] = {}
+        self.stack: list[tuple[str, bool, int, int]] = []
+        self.places: dict[str, list[int]] = {}  # of the open elements by tag
+        self.walls: list[int] = []  # places of the open elements that a stray tag does not close
+        self.lines: list[tuple[str, int, int, int]] = []
+        self.parent, self.kind, self.marked = [0], [""], [False]
+        self.outer, self.plain = [0], [False]
         self.parts: list[str] = []
         self.tags = 0
-        self.next = 0
-        self.kinds: dict[int, str] = {}
 
     def skipping(self) -> bool:
         return bool(self.stack) and self.stack[-1][1]
 
-    def path(self) -> tuple[int, ...]:
-        return self.stack[-1][2] if self.stack else ()
+    def container(self) -> int:
+        return self.stack[-1][2] if self.stack else 0
 
-    def named(self) -> tuple[int, ...]:
-        return self.stack[-1][3] if self.stack else ()
+    def named(self) -> int:
+        return self.stack[-1][3] if self.stack else 0
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element of some tags, -1 for none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def close_from(self, at: int) -> None:
+        while len(self.stack) > at:
+            tag = self.stack.pop()[0]
+            self.places[tag].pop()
+            if tag in _WALLS:
+                self.walls.pop()
 
     def end_head(self, tag: str) -> None:
         """The end tag of a head may be left out: the body or anything else that is not of a head ends it."""
         if self.stack and (self.stack[-1][0] == "head" and tag not in IN_HEAD or tag == "body"):
-            at = next((i for i, x in enumerate(self.stack) if x[0] == "head"), None)
-            if at is not None:
-                del self.stack[at:]
+            if self.places.get("head"):
+                self.close_from(self.places["head"][0])
 
     def end_block(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.path(), self.named()))
+            self.lines.append((text, self.tags, self.container(), self.named()))
             self.tags = 0
         self.parts = []
 
@@ -88,27 +107,27 @@ class Blocks(HTMLParser):
         if tag in VOID:
             return
         if tag in _CLOSES:
-            for at in range(len(self.stack) - 1, -1, -1):
-                name = self.stack[at][0]
-                if name in _CLOSES[tag]:
-                    del self.stack[at:]
-                    break
-                if name in CONTAINERS or name in SKIPPED or name in ("ul", "ol", "dl"):
-                    break
+            at = self.last(_CLOSES[tag])
+            if at >= max(self.last(("ul", "ol", "dl")), self.walls[-1] if self.walls else 0, 0):
+                self.close_from(at)
         plain = self._named(tag, attrs)
         skip = self.skipping() or tag in SKIPPED or self._put_away(tag, attrs)
         if (skip or plain is not None) and not self.skipping():
             self.end_block()
-        path, named = self.path(), self.named()
+        node, named = self.container(), self.named()
         if plain is not None and not skip:
-            self.next += 1
-            self.plain[self.next] = plain
-            named = (*named, self.next)
+            self.outer.append(named)
+            self.plain.append(plain)
+            named = len(self.outer) - 1
         if tag in CONTAINERS and not skip:
-            self.next += 1
-            self.kinds[self.next] = tag
-            path = (*path, self.next)
-        self.stack.append((tag, skip, path, named))
+            self.parent.append(node)
+            self.kind.append(tag)
+            self.marked.append(self.marked[node] or tag in ("article", "main"))
+            node = len(self.parent) - 1
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in _WALLS:
+            self.walls.append(len(self.stack))
+        self.stack.append((tag, skip, node, named))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -137,19 +156,19 @@ class Blocks(HTMLParser):
 
     def handle_endtag(self, tag):
         self.tags += 1
-        at = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag), None)
+        at = self.last((tag,))
         if tag in BLOCKS and not self.skipping():
             self.end_block()
-        if at is None:
+        if at < 0:
             return
         # a stray end tag inside a container or a skipped part does not close what is around it
-        if tag not in CONTAINERS and tag not in SKIPPED and any(x[0] in CONTAINERS or x[0] in SKIPPED for x in self.stack[at + 1:]):
+        if tag not in _WALLS and self.walls and self.walls[-1] > at:
             return
-        if not self.skipping() and (tag in CONTAINERS or self.named() != (self.stack[at - 1][3] if at else ())):
+        if not self.skipping() and (tag in CONTAINERS or self.named() != (self.stack[at - 1][3] if at else 0)):
             self.end_block()
         if self.stack[at][1] and not (at and self.stack[at - 1][1]):
             self.tags = 0  # those of a skipped part are not around the next line
-        del self.stack[at:]
+        self.close_from(at)
 
     def handle_data(self, data):
         if data.strip():
@@ -189,6 +208,24 @@ def selected(lines: list[tuple], sigma: float) -> np.ndarray:
     return np.where(values >= values[clustered(values)].mean() / 2, sizes, 0.0)
 
 
+def held(at: list[int], values, around: list[int]) -> list[float]:
+    """What each element of a tree holds: the values of its lines and of all elements inside."""
+    out = [0.0] * len(around)
+    for node, value in zip(at, values, strict=True):
+        out[node] += value
+    for node in range(len(around) - 1, 0, -1):
+        out[around[node]] += out[node]
+    return out
+
+
+def inherited(flags: list[bool], around: list[int], every: bool) -> list[bool]:
+    """Whether a flag stands at an element or one around it; with ``every``, at it and all around it."""
+    out = list(flags)
+    for node in range(1, len(around)):
+        out[node] = (out[node] and out[around[node]]) if every else (out[node] or out[around[node]])
+    return out
+
+
 def overruled(parser: Blocks, sigma: float, cover: float) -> set[int]:
     """Elements named away that hold the page's main text after all.
 
@@ -196,16 +233,13 @@ def overruled(parser: Blocks, sigma: float, cover: float) -> set[int]:
     says nothing else ("comments", not "has-comments"), all that is in no such element must be under that, too.
     """
     weight = selected(parser.lines, sigma)
-    marks = np.array([any(parser.kinds[n] in ("article", "main") for n in x[2]) for x in parser.lines])
-    sizes = np.array([len(x[0]) for x in parser.lines])
+    names = [x[3] for x in parser.lines]
+    marked = [len(x[0]) if parser.marked[x[2]] else 0 for x in parser.lines]
     bare = sum(len(x[0]) for x in parser.lines if not x[3])
-    out = set()
-    for node in {n for x in parser.lines for n in x[3]}:
-        inside = np.array([node in x[3] for x in parser.lines])
-        own = weight[inside].sum()
-        if own > cover * weight.sum() and not (parser.plain[node] and 20 * bare >= own) and 20 * sizes[~inside & marks].sum() < own:
-            out.add(node)
-    return out
+    own, own_marked = held(names, weight.tolist(), parser.outer), held(names, marked, parser.outer)
+    least, all_marked = cover * weight.sum(), sum(marked)
+    return {n for n in range(1, len(parser.outer))
+            if own[n] > least and not (parser.plain[n] and 20 * bare >= own[n]) and 20 * (all_marked - own_marked[n]) < own[n]}
 
 
 def main_text(html: str | None, sigma: float = 1.0, cover: float = 0.5) -> str:
@@ -215,26 +249,29 @@ def main_text(html: str | None, sigma: float = 1.0, cover: float = 0.5) -> str:
     parser.end_block()
     lines = parser.lines
     stay = overruled(parser, sigma, cover) if any(x[3] for x in lines) else set()
-    lines = [x for x in lines if stay.issuperset(x[3])]
+    kept = inherited([n == 0 or n in stay for n in range(len(parser.outer))], parser.outer, every=True)
+    lines = [x for x in lines if kept[x[3]]]
     if not lines:
         return ""
     weight = selected(lines, sigma)
-    held: dict[int, float] = {}
-    for (_, _, path, _), w in zip(lines, weight, strict=True):
-        for node in path:
-            held[node] = held.get(node, 0.0) + w
+    nodes, whole = [x[2] for x in lines], weight.sum()
+    own, count = held(nodes, weight.tolist(), parser.parent), held(nodes, [1] * len(nodes), parser.parent)
     # articles hold the main text where a page has them, else the innermost container of all content; where a name
     # was overruled, nothing else is left out
-    marked = [n for n, kind in parser.kinds.items() if kind in ("article", "main") and held.get(n, 0) > cover * weight.sum()]
-    region = max(marked) if marked else None if stay else max((n for n, w in held.items() if w >= weight.sum()), default=None)
-    return " ".join(x[0] for x in lines if region is None or region in x[2])
+    inner = range(len(parser.parent) - 1, 0, -1)
+    region = next((n for n in inner if parser.kind[n] in ("article", "main") and own[n] > cover * whole), 0)
+    if not region and not stay:
+        region = next((n for n in inner if count[n] and own[n] >= whole), 0)
+    within = inherited([n == region for n in range(len(parser.parent))], parser.parent, every=False)
+    return " ".join(x[0] for x in lines if within[x[2]])
 
 
 def extract(pages: DataFrame, html: str = "html", sigma: float = 1.0) -> DataFrame:
     """Add ``text`` (the main text) and ``n_chars`` (its code points) to all rows of ``pages``, without ``html``.
 
     Columns of these names are replaced. A null or empty page has an empty text. Unclosed and stray tags
-    are taken as browsers mostly do; a page without markup is one line and its own main text.
+    are taken as browsers mostly do; a page without markup is one line and its own main text. Pages of any length and
+    depth are read whole, in time linear in their size. Repeated rows stay.
     """
     keep = [c for c in pages.columns if c not in (html, "text", "n_chars")]
     schema = StructType([*pages.select(*keep).schema.fields, StructField("text", StringType()), StructField("n_chars", LongType())])

@@ -1,5 +1,9 @@
 """Main text of pages with all kinds of surroundings."""
 
+import time
+
+import pytest
+
 from sensorloom.llm import html
 from tests.llm.conftest import SF, rows_of
 
@@ -66,3 +70,15 @@ def test_odd_rows(spark):
     assert out.columns == ["page_id", "text", "n_chars"]
     assert sorted(r["text"] for r in rows_of(out)) == ["", "", "x", "x"]
     assert html.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 300_000 + "<p>Deep text stands here.</p>",
+    "<b>" * 100_000 + "<p>x</p>" * 100_000 + "</i>" * 100_000,
+    "<body><p>Text.</p>" + "<div class=has-sidebar>y" * 100_000,
+    "<ul>" + "<li><span>a" * 100_000,
+])
+def test_deep_and_broad_pages_take_linear_time(page):
+    begin = time.process_time()
+    assert html.main_text(page)
+    assert time.process_time() - begin < 30
