@@ -1,7 +1,7 @@
 """Operator 9: personal data, by DataFrame functions alone.
 
-Patterns propose spans, checksums confirm them (Luhn for cards, mod 97 for IBANs), words just before a
-span adjust its score. Places come from marking the matches: a text is split at its marks and the lengths
+Patterns propose spans, checksums confirm them (Luhn for cards, mod 97 for IBANs), whole words near a
+span, before or after it, adjust its score. Places come from marking the matches: a text is split at its marks and the lengths
 of the parts are summed up, in runs of 64 so that a text with many matches costs no square.
 
 Patterns are possessive and anchored at the start of a run of their characters (or at the last match's
@@ -56,12 +56,12 @@ _IBAN_PATTERN = rf"(?<![A-Za-z0-9])(?:{_OF_COUNTRY}|[A-Z]{{2}}[0-9]{{2}}(?:(?! {
 
 KINDS = (
     Kind("email", rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.9,
-         "mail|contact|write", base=True),
-    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", 0.6, "ip|address|host|server",
+         "mail|email|e-mail|contact|write", base=True),
+    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", 0.6, "ip|address|addresses|host|server|servers",
          r"m rlike '^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:[.]|$)){4}$'", base=True),
-    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "[0-9]", 0.7, "card|visa|credit|pay",
+    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "[0-9]", 0.7, "card|cards|visa|credit|pay|payment",
          f"length({_DIGITS}) BETWEEN 12 AND 19 AND {_LUHN}", base=True),
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.6, "phone|tel|call|mobile",
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.6, "phone|telephone|tel|call|mobile",
          f"length({_DIGITS}) BETWEEN 9 AND 15", base=True),
     Kind("iban", _IBAN_PATTERN, "[A-Z]{2}[0-9]{2}", 0.9, "iban|account|bank",
          f"length({_IBAN}) BETWEEN 15 AND 34 AND {_MOD97}"),
@@ -87,8 +87,8 @@ def find_pii(
     """Add ``pii`` (replaced if there): array of kind, start, end, score, base, sorted by start, then kind.
 
     Places count code points, end exclusive. Base kinds are kept as their pattern and check give them; of
-    the others those with ``threshold`` or more that overlap no base span. A word of the kind within
-    ``near`` characters before a span adds 0.2 to its score. A null or empty text has no spans. All rows and
+    the others those with ``threshold`` or more that overlap no base span. A whole word of the kind within
+    ``near`` characters before or after a span (up to the next span of its kind) adds 0.2 to its score. A null or empty text has no spans. All rows and
     other columns are returned as they came.
     """
     keep = [c for c in docs.columns if c != "pii"]
@@ -103,14 +103,15 @@ def find_pii(
         {f"{n}_at": F.expr(f"flatten(transform({n}_b, (b, c) -> {_running(f'slice({n}_l, c * 64 + 1, 64)', 'b')}))") for n in names},
         {f"{k.name}_m": F.expr(
             f"filter(transform({k.name}_at, (at, i) -> named_struct('at', at, 'm', substring_index({k.name}_p[i], '{_END}', 1), "
-            f"'before', if(i = 0, '', right({k.name}_p[i - 1], {near})), 'i', i)), x -> x.i > 0)") for k in kinds},
+            f"'near', if(i = 0, '', concat_ws(' ', right(substring_index({k.name}_p[i - 1], '{_END}', -1), {near}), "
+            f"left(substring_index({k.name}_p[i], '{_END}', -1), {near}))), 'i', i)), x -> x.i > 0)") for k in kinds},
     ]
     for step in steps:
         df = df.select("row", *[c for c in df.columns if c != "row" and c not in step], *[v.alias(k) for k, v in step.items()])
     spans = {}
     for order, k in enumerate(kinds):
         ok = f"exists(array(x.m), m -> {k.valid})"
-        score = f"round({k.score} + if(lower(x.before) rlike '{k.words}', 0.2, 0), 2)"
+        score = f"round({k.score} + if(lower(x.near) rlike '(?<![a-z])(?:{k.words})(?![a-z])', 0.2, 0), 2)"
         spans[k.name] = F.expr(
             f"coalesce(transform(filter({k.name}_m, x -> {ok}), x -> named_struct('start', x.at, 'place', {order}, 'kind', '{k.name}', "
             f"'end', x.at + length(x.m), 'score', double({score}), 'base', {str(k.base).lower()})), "

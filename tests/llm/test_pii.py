@@ -84,3 +84,10 @@ def test_odd_rows(odd, empty):
 def test_no_python_in_the_plan(spark, documents):
     plan = pii.find_pii(documents)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_context_is_whole_words_on_both_sides(spark):
+    rows = [(1, "ssn 123-45-6789"), (2, "antisocial 123-45-6789"), (3, "123-45-6789 is the social security number"), (4, "123-45-6789 socially"),
+            (5, "ssn " + "x " * 30 + "123-45-6789"), (6, "SSN: 123-45-6789, 987-65-4321 and 123-45-6780")]
+    got = {r["doc_id"]: [x["start"] for x in r["pii"] if x["kind"] == "ssn"] for r in rows_of(pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert got == {1: [4], 2: [], 3: [0], 4: [], 5: [], 6: [5]}
