@@ -15,7 +15,7 @@ from sensorloom.plans.tails import CHANNELS, channels
 from sensorloom.plans.quality import CHUNK, COARSE, END_US, W
 from sensorloom.plans.registry import query, r6
 from sensorloom.session import level as stored, scratch
-from sensorloom.sources import sinks, tables
+from sensorloom.sources import replay, sinks, tables
 from sensorloom.streaming import jobs
 
 RULE = [*KEYS, "rule"]
@@ -386,8 +386,11 @@ def q14_stream(spark, sf):
 
 @query("a10_replay_source", f"WITH {EV} SELECT site, variable, count(*) AS readings, max(value) AS top FROM ev GROUP BY ALL")
 def a10(spark, sf):
-    """A stored feed read to its end as a one-shot streaming query."""
-    rows = jobs.replay(in_parts(base.readings(spark, sf), "us"), lambda part: part.select(*KEYS, "value"))
+    """A feed that arrives in parts, each read from the custom source by the same streaming query, which stops in between."""
+    path, out, mark = scratch(spark), scratch(spark), scratch(spark)
+    for part in in_parts(base.readings(spark, sf), "us"):
+        replay.write(part, path)
+        rows = jobs.run_now(replay.stream(spark, path).select(*KEYS, "value"), "append", out, mark)
     return rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("readings"), F.max("value").alias("top"))
 
 
@@ -431,8 +434,22 @@ def u3(spark, sf):
 
 @query("u4_custom_feed", f"WITH {EV} SELECT site, variable, us, value FROM ev")
 def u4(spark, sf):
+    """A user's feed behind the custom source, held to the feed contract."""
     path = scratch(spark)
-    base.readings(spark, sf).select("site", "variable", "us", "value").write.csv(path, header=True)
+    replay.write(base.readings(spark, sf), path)
     modules = plugins.Registry()
-    modules.feed("loggers", plugins.logger_files)
+    modules.feed("loggers", replay.batch)
     return modules.readings("loggers", spark, path)
+
+
+FEED_FROM, FEED_TO = START_US + 5 * DAY_US, START_US + 9 * DAY_US
+
+
+@query("u4_custom_feed_window", f"""
+WITH {EV} SELECT site, variable, us, value FROM ev WHERE us BETWEEN {FEED_FROM} AND {FEED_TO} AND site IN ('view', 'click')""")
+def u4_window(spark, sf):
+    """Two sites over four days: the range and the sites reach the source, other folders are never opened."""
+    path = scratch(spark)
+    replay.write(base.readings(spark, sf), path)
+    rows = replay.batch(spark, path)
+    return rows.where(F.col("us").between(FEED_FROM, FEED_TO) & F.col("site").isin("view", "click"))

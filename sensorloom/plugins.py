@@ -77,9 +77,3 @@ class Registry:
         if absent:
             raise ValueError(f"{name} returned no column {', '.join(absent)}")
         return out.select(*FEED_COLUMNS)
-
-
-def logger_files(spark: SparkSession, uri: str) -> DataFrame:
-    """Logger files anywhere under a URI, in whatever store Spark reads."""
-    schema = "site string, variable string, us bigint, value double"
-    return spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).csv(uri)
