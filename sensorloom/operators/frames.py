@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sensorloom.functions.stats import MAD_SCALE, median_of
+from sensorloom.operators import sliding
 from sensorloom.operators.scale import framed, prefix
 
+WIDE = 32  # from this width on a rank index is cheaper than sorting each window; both give the same medians
+
 
 def trailing_median(df: DataFrame, keys: Sequence[str], rows: int, value: str = "value",
                     name: str = "median") -> DataFrame:
     """Median of the last ``rows`` values, this one included, over fewer at the start."""
+    if rows >= WIDE:
+        def work(values, present):
+            middle, seen = sliding.RankIndex(values, present).medians(*sliding.window(len(values), 1 - rows, 0))
+            return [(middle, seen > 0)]
+
+        return sliding.per_block(df, keys, "step", value, f"{name} double", work, rows, 0)
     return framed(
         df, keys, "step",
         {name: lambda w: median_of(F.collect_list(value).over(w.rowsBetween(1 - rows, 0)))},
@@ -27,6 +37,13 @@ def level(df: DataFrame, keys: Sequence[str], width: int, min_real: float = 0.75
     A series no longer than the window has no level at all.
     """
     need = -int(-min_real * width // 1)
+    if width >= WIDE:
+        def work(values, present):
+            middle, seen = sliding.RankIndex(values, present).medians(*sliding.window(len(values), -width, -1))
+            low, high = sliding.window(len(values), -width, width)
+            return [(middle, (high - low > width) & (seen >= max(need, 1)))]
+
+        return sliding.per_block(df, keys, "step", value, f"{name} double", work, width, width)
     out = framed(
         df, keys, "step",
         {
@@ -80,18 +97,19 @@ def x84(df: DataFrame, keys: Sequence[str], k: float = 5.2, width: int = 13,
 def centred_outlier(df: DataFrame, keys: Sequence[str], order: str, k: float, width: int = 96,
                     value: str = "value") -> DataFrame:
     """Hampel outliers in centred windows, each deviation from its own point's median."""
-    low, high = -(width // 2), width - width // 2 - 1
-    out = framed(
-        df, keys, order,
-        [
-            {"_near": lambda w: F.collect_list(value).over(w.rowsBetween(low, high))},
-            {"_m": lambda w: median_of(F.col("_near"))},
-            {"_apart": lambda w: F.collect_list(F.abs(F.col(value) - F.col("_m"))).over(w.rowsBetween(low, high))},
-        ],
-        before=width, after=width,
-    )
-    far = F.abs(F.col(value) - F.col("_m")) > median_of(F.col("_apart")) * (k * MAD_SCALE)
-    return out.withColumn("outlier", far).drop("_near", "_m", "_apart")
+    first, last = -(width // 2), width - width // 2 - 1
+
+    def work(values, present):
+        near = sliding.window(len(values), first, last)
+        middle, seen = sliding.RankIndex(values, present).medians(*near)
+        judged = present & (seen > 0)
+        apart = np.where(judged, np.abs(values - middle), 0.0)
+        scale, _ = sliding.RankIndex(apart, judged).medians(*near)
+        # NaN is above all numbers and equal to itself, as in Spark
+        line = scale * (k * MAD_SCALE)
+        return [((apart > line) | (np.isnan(apart) & ~np.isnan(line)), judged)]
+
+    return sliding.per_block(df, keys, order, value, "outlier boolean", work, width, width)
 
 
 def daily_profile(df: DataFrame, site_keys: Sequence[str], value: str, day: str, slot: str,

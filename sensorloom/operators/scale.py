@@ -24,6 +24,21 @@ from pyspark.sql.window import WindowSpec
 Frame = Callable[[WindowSpec], Column]
 
 
+def spread(df: DataFrame, order: str, before: int, after: int, block: int) -> DataFrame:
+    """Rows with their ``_home`` block and one copy for each ``_block`` whose frames reach them."""
+    size = max(block, before, after, 1)
+    at = F.col(order)
+    offset = at - F.col("_home") * size
+    copies = F.array_compact(
+        F.array(
+            F.col("_home"),
+            *([F.when(offset >= size - before, F.col("_home") + 1)] if before else []),
+            *([F.when(offset < after, F.col("_home") - 1)] if after else []),
+        )
+    )
+    return df.withColumn("_home", F.floor(at / F.lit(size))).withColumn("_block", F.explode(copies))
+
+
 def framed(
     df: DataFrame,
     keys: Sequence[str],
@@ -41,19 +56,8 @@ def framed(
     ``before`` and ``after`` cover the sum of their reaches.
     """
     stages = [stages] if isinstance(stages, Mapping) else list(stages)
-    size = max(block, before, after, 1)
-    at = F.col(order)
-    home = F.floor(at / F.lit(size))
-    offset = at - F.col("_home") * size
-    copies = F.array_compact(
-        F.array(
-            F.col("_home"),
-            *([F.when(offset >= size - before, F.col("_home") + 1)] if before else []),
-            *([F.when(offset < after, F.col("_home") - 1)] if after else []),
-        )
-    )
     w = Window.partitionBy(*keys, "_block").orderBy(order, *tie)
-    out = df.withColumn("_home", home).withColumn("_block", F.explode(copies))
+    out = spread(df, order, before, after, block)
     for stage in stages:
         out = out.withColumns({name: make(w) for name, make in stage.items()})
     return out.where("_block = _home").drop("_home", "_block")
