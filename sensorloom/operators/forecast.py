@@ -42,6 +42,81 @@ def leave_one_out(grid: DataFrame, group: Sequence[str]) -> DataFrame:
     ).drop("_sum", "_n")
 
 
+def _solved(moments: DataFrame, inputs: Sequence[str], tolerance: float) -> DataFrame:
+    """Coefficients ``_b_<i>`` from covariances ``_c_<i>_<j>`` and ``_y_<i>``, by a square-root-free Cholesky factorisation.
+
+    Each step is a column over one row per key. An input that the ones before it explain (its remaining share of variance is
+    at most ``tolerance``) gets the coefficient 0.
+    """
+    n, zero = len(inputs), F.lit(0.0)
+    out = moments
+    for j in range(n):
+        left = F.col(f"_c_{j}_{j}")
+        for k in range(j):
+            left = left - F.col(f"_l_{j}_{k}") * F.col(f"_l_{j}_{k}") * F.col(f"_d_{k}")
+        out = out.withColumn(f"_d_{j}", F.when(left > F.col(f"_c_{j}_{j}") * tolerance, left).otherwise(zero))
+        below = {}
+        for i in range(j + 1, n):
+            cell = F.col(f"_c_{j}_{i}")
+            for k in range(j):
+                cell = cell - F.col(f"_l_{i}_{k}") * F.col(f"_l_{j}_{k}") * F.col(f"_d_{k}")
+            below[f"_l_{i}_{j}"] = F.when(F.col(f"_d_{j}") > 0, cell / F.col(f"_d_{j}")).otherwise(zero)
+        rest = F.col(f"_y_{j}")
+        for k in range(j):
+            rest = rest - F.col(f"_l_{j}_{k}") * F.col(f"_z_{k}")
+        out = out.withColumns({**below, f"_z_{j}": rest})
+    for j in reversed(range(n)):
+        share = F.when(F.col(f"_d_{j}") > 0, F.col(f"_z_{j}") / F.col(f"_d_{j}")).otherwise(zero)
+        for i in range(j + 1, n):
+            share = share - F.col(f"_l_{i}_{j}") * F.col(f"_b_{i}")
+        out = out.withColumn(f"_b_{j}", share)
+    return out
+
+
+def linear_fit(rows: DataFrame, keys: Sequence[str], target: str, inputs: Sequence[str], fit_on: Column | None = None,
+               tolerance: float = 1e-9) -> DataFrame:
+    """Least squares of ``target`` on several inputs per key: ``coefficients`` in order of ``inputs``, ``intercept``, ``fitted_on``.
+
+    The normal equations are covariances, one aggregate that is summed map-side and merged, so a key's rows never meet in one
+    task; what follows works on one row per key. Only rows with the target, all inputs and ``fit_on`` count; a key with none
+    has no fit. Inputs that others explain, and constant ones, get 0, so that as few as one row give a fit: its mean.
+    """
+    known = F.col(target).isNotNull() if fit_on is None else F.col(target).isNotNull() & F.coalesce(fit_on, F.lit(False))
+    for name in inputs:
+        known = known & F.col(name).isNotNull()
+    n = len(inputs)
+    moments = rows.where(known).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("fitted_on"), F.avg(target).alias("_y"),
+        *[F.avg(name).alias(f"_m_{i}") for i, name in enumerate(inputs)],
+        *[F.covar_pop(name, target).alias(f"_y_{i}") for i, name in enumerate(inputs)],
+        *[F.covar_pop(inputs[i], inputs[j]).alias(f"_c_{i}_{j}") for i in range(n) for j in range(i, n)],
+    )
+    solved = _solved(moments, inputs, tolerance)
+    level = F.col("_y")
+    for i in range(n):
+        level = level - F.col(f"_b_{i}") * F.col(f"_m_{i}")
+    return solved.select(*keys, F.array(*[F.col(f"_b_{i}") for i in range(n)]).alias("coefficients"), level.alias("intercept"), "fitted_on")
+
+
+def linear_forecast(rows: DataFrame, fit: DataFrame, keys: Sequence[str], inputs: Sequence[str], name: str) -> DataFrame:
+    """Add a fit's prediction; NULL where an input is missing or the key has no fit. All rows stay."""
+    made = F.col("_fit.intercept")
+    for i, column in enumerate(inputs):
+        made = made + F.col("_fit.coefficients")[i] * F.col(column)
+    boxed = fit.select(*keys, F.struct("coefficients", "intercept").alias("_fit"))
+    return rows.join(boxed, list(keys), "left").withColumn(name, made).drop("_fit")
+
+
+def upstream_mean(grid: DataFrame, paths: DataFrame, site: str, at: Sequence[str], name: str = "upstream") -> DataFrame:
+    """Add the mean value of all upstream sites at the same place in time (``at``); NULL where none has one.
+
+    ``paths`` holds every (src, dst) of the flow graph's closure, each once.
+    """
+    above = paths.select(F.col("src").alias(site), F.col("dst").alias("_below"))
+    seen = grid.where("value IS NOT NULL").join(above, site).groupBy(F.col("_below").alias(site), *at).agg(F.avg("value").alias(name))
+    return grid.join(seen, [site, *at], "left")
+
+
 def scale_by(df: DataFrame, groups: Sequence[str], residual: Column, name: str = "scale", floor: float = 1e-2) -> DataFrame:
     """Predicted spread: the residuals' population deviation per group, floored."""
     return df.groupBy(*groups).agg(F.greatest(F.stddev_pop(residual), F.lit(floor)).alias(name))

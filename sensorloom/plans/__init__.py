@@ -12,7 +12,7 @@ from sensorloom.plans import registry
 from sensorloom.session import checkpoint
 from sensorloom.sources import tables
 
-FAMILIES = ("grids", "charts", "quality", "tails", "flow", "grading", "health", "feeds", "lifecycle")
+FAMILIES = ("grids", "charts", "quality", "tails", "flow", "linear", "grading", "health", "feeds", "lifecycle")
 
 for _family in FAMILIES:
     importlib.import_module(f"sensorloom.plans.{_family}")
