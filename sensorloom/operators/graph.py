@@ -75,20 +75,63 @@ def roles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def undirected_weights(edges: DataFrame) -> DataFrame:
+    """(src, dst, weight) of the normalised undirected graph, every node joined to itself."""
+    given = edges.select("src", "dst").dropna()
+    both = given.unionByName(given.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    both = both.unionByName(both.select("src", F.col("src").alias("dst"))).distinct()
+    degree = both.groupBy("src").agg(F.count(F.lit(1)).alias("_n"))
+    ends = degree.select(F.col("src").alias("dst"), F.col("_n").alias("_m"))
+    return both.join(degree, "src").join(ends, "dst").select("src", "dst", (1 / F.sqrt(F.col("_n") * F.col("_m"))).alias("weight"))
+
+
+def _by_messages(values: DataFrame, edges: DataFrame, keys: Sequence[str], node: str, value: str, iterations: int,
+                 cut: int = 4) -> DataFrame:
+    """The diffusion as joins of open nodes with their edges, for networks of any size.
+
+    What known nodes send never changes and is summed once; only open nodes send again each round. Steps with nothing missing
+    take no part. Lineage is cut every ``cut`` rounds.
+    """
+    weights = checkpoint(undirected_weights(edges))
+    rows = values.withColumn("_k", F.struct(*keys))
+    open_steps = rows.where(F.col(value).isNull()).select("_k").distinct()
+    known = checkpoint(
+        rows.where(F.col(value).isNotNull()).join(open_steps, "_k", "left_semi")
+        .groupBy("_k", F.col(node).alias("dst")).agg(F.max(value).alias("x"))
+    )
+
+    def sent(state: DataFrame) -> DataFrame:
+        out = state.withColumnRenamed("dst", "src").join(weights, "src")
+        return out.select("_k", "dst", (F.col("weight") * F.col("x")).alias("x"))
+
+    def summed(messages: DataFrame) -> DataFrame:
+        return messages.groupBy("_k", "dst").agg(F.sum("x").alias("x")).join(known, ["_k", "dst"], "left_anti")
+
+    base = state = checkpoint(summed(sent(known)))
+    for i in range(1, iterations):
+        state = summed(sent(state).unionByName(base))
+        if i % cut == 0:
+            state = checkpoint(state)
+    filled = known.unionByName(state).select("_k", F.col("dst").alias(node), F.col("x").alias("_x"))
+    out = rows.join(filled, ["_k", node], "left").withColumn("filled", F.coalesce(F.col(value), F.col("_x"), F.lit(0.0)))
+    return out.select(*values.columns, "filled")
+
+
 def propagate_missing(values: DataFrame, edges: DataFrame, keys: Sequence[str], node: str, value: str,
                       iterations: int = 40, max_edges: int = 4096) -> DataFrame:
     """Missing node values by diffusion on the normalised undirected graph, known nodes held fixed.
 
-    One step's network is a handful of nodes, so each step is one small grouped pandas task; steps
-    with nothing missing never enter it. The edge list is the site graph, refused past ``max_edges``;
-    a node without edges has nobody to borrow from and reads 0, as diffusion leaves it.
+    Up to ``max_edges`` edges one step's network is a handful of nodes, so each step is one small grouped pandas task; steps
+    with nothing missing never enter it. Larger networks go round by round as joins of open nodes with their edges, with the
+    same result. A node without edges has nobody to borrow from and reads 0, as diffusion leaves it. A node given
+    twice in a step counts with its larger value.
     """
     import numpy as np
     import pandas as pd
 
-    known_edges = edges.select("src", "dst").limit(max_edges + 1).collect()
+    known_edges = edges.select("src", "dst").dropna().limit(max_edges + 1).collect()
     if len(known_edges) > max_edges:
-        raise ValueError(f"over {max_edges} edges: this operator is for one network's site graph")
+        return _by_messages(values, edges, keys, node, value, iterations)
     names = sorted({n for r in known_edges for n in (r.src, r.dst)})
     place = {n: i for i, n in enumerate(names)}
     adjacency = np.eye(len(names))
@@ -97,12 +140,11 @@ def propagate_missing(values: DataFrame, edges: DataFrame, keys: Sequence[str],
     half = 1.0 / np.sqrt(adjacency.sum(axis=1))
     spread = half[:, None] * adjacency * half[None, :]
 
-    state = values.groupBy(*keys).agg(
-        F.count(value).alias("_known"), F.count(F.lit(1)).alias("_all")
-    )
-    marked = values.join(state, list(keys))
-    whole = marked.where("_known = _all").select(*keys, node, value, F.col(value).alias("filled"))
-    rest = marked.where("_known < _all").select(*keys, node, value)
+    boxed = values.withColumn("_k", F.struct(*keys))  # a box of nulls equals itself
+    state = boxed.groupBy("_k").agg(F.count(value).alias("_known"), F.count(F.lit(1)).alias("_all"))
+    marked = boxed.join(state, "_k")
+    whole = marked.where("_known = _all").select(*values.columns, F.col(value).alias("filled"))
+    rest = marked.where("_known < _all").select(*values.columns)
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         linked = pdf[node].isin(place)
@@ -112,11 +154,13 @@ def propagate_missing(values: DataFrame, edges: DataFrame, keys: Sequence[str],
         held = np.zeros(len(names), dtype=bool)
         real = pdf[value].notna().to_numpy()
         held[at[real]] = True
-        x[at[real]] = pdf[value].to_numpy()[real]
+        x[at[real]] = -np.inf
+        np.maximum.at(x, at[real], pdf[value].to_numpy(dtype=float)[real])
         known = x.copy()
         for _ in range(iterations):
             x = np.where(held, known, spread @ x)
-        return pd.concat([pdf.assign(filled=x[at]), alone.assign(filled=alone[value].fillna(0.0))])
+        own = pdf[value].to_numpy(dtype=float)
+        return pd.concat([pdf.assign(filled=np.where(real, own, x[at])), alone.assign(filled=alone[value].fillna(0.0))])
 
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in rest.schema]
     return whole.unionByName(

@@ -296,7 +296,27 @@ def i13(spark, sf):
     return out.where("_n > 0").drop("_n")
 
 
-@query("l13_fill_missing_nodes")
+LINKS = """ed(src, dst) AS (VALUES ('purchase', 'click'), ('click', 'view'), ('signup', 'view')),
+both_ways AS (SELECT src, dst FROM ed UNION SELECT dst, src FROM ed UNION SELECT src, src FROM ed UNION SELECT dst, dst FROM ed),
+dg AS (SELECT src, count(*) AS n FROM both_ways GROUP BY src),
+lk AS (SELECT b.src, b.dst, 1 / sqrt(x.n * y.n) AS w FROM both_ways b JOIN dg x ON x.src = b.src JOIN dg y ON y.src = b.dst)"""
+DIFFUSED = f"""{GRID}, {LINKS},
+cells AS (SELECT variable, step, site, value FROM (SELECT DISTINCT variable, step FROM g) CROSS JOIN (SELECT src AS site FROM dg) LEFT JOIN g USING (variable, step, site)),
+it AS (SELECT 0 AS i, variable, step, site, coalesce(value, 0.0) AS x FROM cells
+  UNION ALL SELECT it.i + 1, it.variable, it.step, lk.dst, coalesce(max(c.value), sum(lk.w * it.x)) FROM it JOIN lk ON lk.src = it.site
+    JOIN cells c ON c.variable = it.variable AND c.step = it.step AND c.site = lk.dst WHERE it.i < 40 GROUP BY it.i, it.variable, it.step, lk.dst)
+SELECT g.site, variable, step, r6(g.value) AS value, r6(coalesce(g.value, x, 0.0)) AS filled FROM g LEFT JOIN (SELECT * FROM it WHERE i = 40) USING (variable, step, site)"""
+
+
+@query("l13_fill_missing_nodes", f"WITH RECURSIVE {DIFFUSED}")
 def l13(spark, sf):
     wide = series(spark, sf)
-    return graph.propagate_missing(wide, network(spark), ["variable", "step"], "site", "value")
+    out = graph.propagate_missing(wide, network(spark), ["variable", "step"], "site", "value")
+    return out.withColumns({"value": r6("value"), "filled": r6("filled")})
+
+
+@query("l13_fill_by_messages", f"WITH RECURSIVE {DIFFUSED}")
+def l13_messages(spark, sf):
+    """The same filling as a network too large for one task gets it."""
+    out = graph.propagate_missing(series(spark, sf), network(spark), ["variable", "step"], "site", "value", max_edges=0)
+    return out.withColumns({"value": r6("value"), "filled": r6("filled")})
