@@ -60,7 +60,7 @@ def caught(grid: DataFrame, spans: DataFrame, keys: Sequence[str], over: str, se
     """Per key and span: whether a step over the line fell inside, and minutes to the first."""
     hits = period_join(grid.where(over).select(*keys, "step"), spans, [], "step", "lo", "hi", bucket)
     first = hits.groupBy(*keys, "span").agg(F.min("step").alias("_first"))
-    every = grid.select(*keys).distinct().crossJoin(F.broadcast(spans))
+    every = grid.select(*keys).distinct().crossJoin(spans)  # one row per key and span is the result
     return every.join(first, [*keys, "span"], "left").select(
         *keys, "span", F.col("_first").isNotNull().alias("caught"),
         ((F.col("_first") - F.col("lo")) * (seconds / 60.0)).alias("minutes"),

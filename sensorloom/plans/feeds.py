@@ -49,9 +49,28 @@ def a2(spark, sf):
 @query("a3_bounded_event_folder", f"""
 WITH {EV} SELECT site, seq, value FROM ev WHERE us BETWEEN {START_US + 5 * DAY_US} AND {START_US + 9 * DAY_US}""")
 def a3(spark, sf):
+    own, _ = files.split_weather(_event(spark, sf), WEATHER)
+    return own.select("site", "seq", "value")
+
+
+WEATHER = ("rain_mm", "air_temp_c")
+
+
+def _event(spark, sf):
+    """An event's days of a folder whose files carry weather beside the readings."""
     path = scratch(spark)
-    base.readings(spark, sf).select("site", "time", "seq", "value").write.partitionBy("site").parquet(path)
-    return files.event_folder(spark, path, "2024-01-06 00:00:00", "2024-01-10 00:00:00").select("site", "seq", "value")
+    seq, value = F.col("seq"), F.col("value")
+    files.write_event_folder(base.readings(spark, sf).select("site", "time", "seq", "value", F.when(seq % 4 == 0, value / 10).alias("rain_mm"),
+                                                             F.when(seq % 4 < 2, value / 2 - 10).alias("air_temp_c")), path)
+    return files.event_folder(spark, path, "2024-01-06 00:00:00", "2024-01-10 00:00:00")
+
+
+@query("a3_weather_of_an_event_folder", f"""
+WITH {EV} SELECT us, r6(max(CASE WHEN seq % 4 = 0 THEN value / 10 END)) AS rain_mm, r6(max(value / 2 - 10)) AS air_temp_c
+FROM ev WHERE us BETWEEN {START_US + 5 * DAY_US} AND {START_US + 9 * DAY_US} AND seq % 4 < 2 AND value IS NOT NULL GROUP BY us""")
+def a3_weather(spark, sf):
+    _, sky = files.split_weather(_event(spark, sf), WEATHER)
+    return sky.select(F.unix_micros("time").alias("us"), *[r6(c).alias(c) for c in WEATHER])
 
 
 PIV = ", ".join(f"max(CASE WHEN variable = '{v}' THEN value END) AS {v}" for v in VARIABLES)

@@ -56,9 +56,33 @@ def site_of(file: Column, aliases: Mapping[str, str] | None = None) -> Column:
     return F.coalesce(F.element_at(table, name), name)
 
 
+def write_event_folder(rows: DataFrame, path: str) -> None:
+    """Rows in folders by day and site; a busy site is spread over tasks by time."""
+    placed = rows.withColumn("day", F.to_date("time"))
+    placed.repartitionByRange("site", "time").write.mode("append").partitionBy("day", "site").parquet(path)
+
+
 def event_folder(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:
-    """Readings of a per-site parquet folder bounded to [start, end]; the bound reaches the scan."""
-    return spark.read.parquet(path).where(F.col("time").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")))
+    """Rows of a folder by day and site bounded to [start, end]: other days' folders are not opened.
+
+    Rows without a time are in no range.
+    """
+    low, high = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
+    days = F.col("day").between(F.to_date(low), F.to_date(high))
+    return spark.read.parquet(path).where(days & F.col("time").between(low, high)).drop("day")
+
+
+def split_weather(rows: DataFrame, weather: Sequence[str], at: str = "time") -> tuple[DataFrame, DataFrame]:
+    """(rows without the weather columns, weather per moment) where every site's file carries the weather.
+
+    Sites that disagree on a moment's weather give its largest value; a moment no site has weather for has no row.
+    """
+    carried = [c for c in weather if c in rows.columns]
+    some = F.coalesce(*[F.col(c).cast("double") for c in carried]).isNotNull() if carried else F.lit(False)
+    sky = rows.where(some & F.col(at).isNotNull()).groupBy(at).agg(
+        *[(F.max(c) if c in carried else F.lit(None)).cast("double").alias(c) for c in weather]
+    )
+    return rows.drop(*carried), sky
 
 
 def jdbc_readings(spark: SparkSession, url: str, tables: Sequence[str], channels: Sequence[str], start: str, end: str,
