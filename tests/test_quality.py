@@ -1,5 +1,7 @@
 """Quality tests, levels, life cycle and streams on hand-made series."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +52,28 @@ def test_attenuated_uses_each_series_own_width(spark):
         assert got == want
 
 
+def test_attenuated_work_does_not_grow_with_the_window(spark):
+    df = series(spark, [1.0, 2.0, 3.0])
+    plan = quality.attenuated(df, KEYS, F.lit(3000), F.lit(1.0), F.lit(1.0))._jdf.queryExecution().toString()
+    starts = set(re.findall(r"specifiedwindowframe\(\w+, ([^,]+),", plan))
+    assert starts == {"unboundedpreceding$()"}  # running frames only: a sliding one is read anew at every row
+
+
+def test_attenuated_over_wide_windows_gaps_and_sentinels(spark):
+    rng = np.random.default_rng(8)
+    calm = np.arange(3000) // 500 % 2
+    values = [None if rng.random() < 0.1 else -9999.0 if i in (700, 1900) else float(rng.normal(50, 8 - 7 * calm[i])) for i in range(3000)]
+    df = series(spark, values).repartition(4)
+    for width in (1, 2, 499, 1000, 2999, 3000, 3001):
+        std = flags_of(quality.attenuated(df, KEYS, F.lit(width), F.lit(5.0), name="flag"))
+        span = flags_of(quality.attenuated(df, KEYS, F.lit(width).cast("bigint"), min_range=F.lit(30.0), name="flag"))
+        for i in range(0, 3000, 7):
+            seen = [v for v in values[max(0, i + 1 - width): i + 1] if v is not None]
+            judged = i + 1 >= width and len(seen) > 1
+            assert std[i] == (9 if values[i] is None else 3 if judged and np.std(seen, ddof=1) < 5.0 else 1)
+            assert span[i] == (9 if values[i] is None else 3 if judged and max(seen) - min(seen) < 30.0 else 1)
+
+
 def test_rate_of_change_holds_the_rate(spark):
     df = series(spark, [0.0, 0.0, 0.0, 10.0, 10.0])
     got = flags_of(quality.rate_of_change(df, KEYS, F.lit(2).cast("bigint"), F.lit(12.0), 3600, name="flag"))
