@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -216,6 +217,14 @@ def benchmark_hits(
     The benchmark is a stated query set. It is read in blocks of about ``block_words`` words, one block on
     the driver at a time while planning; each block is one more pass over the documents.
     """
+    body, blocks = _begun(docs, benchmark, item, item_text, block_words)
+    for block in blocks:
+        body = _searched(body, _windows(block, width), text)
+    return body
+
+
+def _begun(docs: DataFrame, benchmark: DataFrame, item: str, item_text: str, block_words: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Documents without hits so far, and the blocks of the benchmark."""
     asked = benchmark.select(
         F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("text")
     ).where("text IS NOT NULL").distinct()
@@ -227,13 +236,16 @@ def benchmark_hits(
         "hit_spans": F.array().cast("array<struct<begin:bigint,end:bigint>>"),
         "hit_items": F.array().cast("array<string>"),
     })
-    for block in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
-        body = _searched(body, Windows([(r["item"], r["text"].encode()) for r in part.toLocalIterator()], width), text)
-    return body
+    return body, [asked.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block) for block in range(blocks)]
 
 
-def _searched(docs: DataFrame, windows: Windows, text: str) -> DataFrame:
+def _windows(block: DataFrame, width: int) -> Windows:
+    return Windows([(r["item"], r["text"].encode()) for r in block.toLocalIterator()], width)
+
+
+def _searched(docs: DataFrame, windows: Windows, text: str, then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema=None) -> DataFrame:
+    """Hits of one block added to those before. ``then`` goes on with each batch, in the same Python worker: chained
+    Arrow steps hold a worker each, for every task."""
     names = docs.columns
 
     def search(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -247,9 +259,10 @@ def _searched(docs: DataFrame, windows: Windows, text: str) -> DataFrame:
                                   pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),
             "hit_items": pa.array(items, pa.list_(pa.string())),
         }
-        return pa.RecordBatch.from_arrays([made.get(c, batch.column(c)) for c in names], names=names)
+        out = pa.RecordBatch.from_arrays([made.get(c, batch.column(c)) for c in names], names=names)
+        return then(out) if then else out
 
-    return arrow_rows(docs, docs.schema, search)
+    return arrow_rows(docs, schema or docs.schema, search)
 
 
 def item_digest() -> Column:
@@ -257,23 +270,29 @@ def item_digest() -> Column:
     return F.sha2(F.array_join("hit_items", ","), 256)
 
 
-def without_hits(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.5, text: str = "text", **options) -> DataFrame:
+def without_hits(
+    docs: DataFrame, benchmark: DataFrame, max_share: float = 0.5, text: str = "text", width: int = WINDOW,
+    item: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS,
+) -> DataFrame:
     """Documents without their hit words: the removal spans of :func:`benchmark_hits` are cut out.
 
     A document of which more than ``max_share`` of the words are hit goes. Text outside the spans stays as
     it is; untouched documents are returned unchanged. Columns are those of ``docs``.
     """
-    found = benchmark_hits(docs, benchmark, text=text, **options)
     names = docs.columns
 
     def cut_out(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, spans = batch.column(text).to_pylist(), batch.column("hit_spans").to_pylist()
-        out = [_without(t, s) if s else t for t, s in zip(texts, spans, strict=True)]
+        spans, words = batch.column("hit_spans").to_pylist(), batch.column("n_words").to_pylist()
+        stay = [sum(s["end"] - s["begin"] for s in found) <= n * max_share for found, n in zip(spans, words, strict=True)]
+        batch, spans = batch.filter(pa.array(stay, pa.bool_())), [s for s, x in zip(spans, stay, strict=True) if x]
+        out = [_without(t, s) if s else t for t, s in zip(batch.column(text).to_pylist(), spans, strict=True)]
         return pa.RecordBatch.from_arrays(
             [pa.array(out, pa.string()) if c == text else batch.column(c) for c in names], names=names)
 
-    hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["begin"])
-    return arrow_rows(found.where(hit <= F.col("n_words") * max_share), docs.schema, cut_out)
+    body, (*blocks, last) = _begun(docs, benchmark, item, item_text, block_words)
+    for block in blocks:
+        body = _searched(body, _windows(block, width), text)
+    return _searched(body, _windows(last, width), text, cut_out, docs.schema)
 
 
 def _without(text: str, spans: list[dict]) -> str:

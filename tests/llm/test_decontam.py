@@ -64,6 +64,18 @@ def test_spans_are_cut_out(spark):
     assert decontam.without_hits(docs, bench, max_share=0.5).count() == 0
 
 
+def test_spans_are_searched_and_cut_out_in_one_step(spark):
+    rows = [(1, "x a b c d e y. tail", "s"), (2, "a b c", "s"), (3, None, None), (3, None, None), (None, "", "s"), (4, "none here", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    bench = spark.createDataFrame([(1, "a b c"), (2, "d e")], "item_id long, text string")
+    for block_words, steps in ((1_000, 1), (1, 2)):
+        clean = decontam.without_hits(docs, bench, max_share=0.7, block_words=block_words)
+        # each Arrow step holds a Python worker of its own in every task
+        assert clean._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == steps
+        assert sorted(map(repr, map(tuple, clean.collect()))) == sorted(map(repr, [
+            (1, "x  y. tail", "s"), (3, None, None), (3, None, None), (None, "", "s"), (4, "none here", "s")]))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 4), max_size=80))
 def test_index_finds_all_places(body):
