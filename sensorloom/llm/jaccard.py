@@ -242,15 +242,16 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, text
         both = F.least(F.col("n") - F.col("pos"), F.col("pivot_n") - F.col("pivot_pos"))
         near = members.join(chosen, "region").where((F.col("label") != F.col("pivot_label")) & (both * (100 + percent) >= percent * (F.col("n") + F.col("pivot_n"))))
         near = stored(near.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
-        faced, pairs = None, near
-        if 1 < pivots <= CELL_PIVOTS:
-            large = members.groupBy("region").agg(F.count("*").alias("size")).where(F.col("size") >= SPLIT_FROM).select("region")
-            faced = stored(members.join(large, "region").join(chosen, "region").withColumns({"a": F.least("node", "pivot"), "b": F.greatest("node", "pivot")}))
-            pairs = near.unionByName(faced.where("label != pivot_label").select("a", "b")).distinct()
-        bounds = stored(_bounds(pairs, sets, percent))
-        exact = release(stored(_distances(bounds.where("open").join(near, ["a", "b"], "left_semi").select("a", "b"), sets, percent)))
+        bounds = stored(_bounds(near, sets, percent))
+        exact = release(stored(_distances(bounds.where("open").select("a", "b"), sets, percent)))
         labels = components(labels, exact.where("link").select("a", "b"))
-        known = bounds.join(exact.drop("link"), ["a", "b"], "left")
+        faced = known = None
+        if 1 < pivots <= CELL_PIVOTS:
+            parting = stored(_parting(members, chosen, exact, percent))
+            if not parting.isEmpty():
+                faced = stored(members.join(parting, "region").join(chosen, "region").withColumns({"a": F.least("node", "pivot"), "b": F.greatest("node", "pivot")}))
+                more = faced.where("label != pivot_label").select("a", "b").distinct().join(near, ["a", "b"], "left_anti")
+                known = bounds.unionByName(_bounds(more, sets, percent)).join(exact.drop("link"), ["a", "b"], "left")
         members = release(_next_regions(members, chosen, faced, known, labels, percent))
         pivots *= 4 if pivots < CELL_PIVOTS else 8
     found = named.groupBy("n", "one", "two").agg(F.min("doc").alias("node")).join(labels, "node", "left").select("n", "one", "two", F.coalesce("label", "node").alias("label"))
@@ -274,10 +275,31 @@ def _unsettled(members: DataFrame) -> DataFrame:
     return members.join(kept, "region")
 
 
-def _next_regions(members: DataFrame, chosen: DataFrame, faced: DataFrame | None, known: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _parting(members: DataFrame, chosen: DataFrame, exact: DataFrame, percent: int) -> DataFrame:
+    """Large regions that cells may part: nearly all of their members are known to be near a pivot.
+
+    A member that is not is in the cell of every pivot, for no distance is above 1. Where these alone make the cells
+    hold over 1.5 times the region's rows, no member needs to face all pivots to tell that the region stays whole.
+    """
+    close = exact.where(F.col("exact") + 2 * (1 - percent / 100) + 1e-9 < 1)
+    close = stored(close.select(F.inline(F.array(*(F.struct(F.col(x).alias("pivot"), F.col(y).alias("node")) for x, y in ("ab", "ba"))))))
+    parts = lambda placed: (placed + (F.col("size") - placed) * F.col("pivots")) <= 1.5 * F.col("size")
+    large = members.groupBy("region").agg(F.count("*").alias("size")).where(F.col("size") >= SPLIT_FROM)
+    own = chosen.select("region", "pivot").join(large, "region")
+    # a pivot places itself and at most all that it is close to, in whatever region
+    reach = own.join(close.groupBy("pivot").agg(F.count("*").alias("reach")), "pivot", "left").withColumn("reach", F.coalesce("reach", F.lit(0)) + 1)
+    held = reach.groupBy("region").agg(F.first("size").alias("size"), F.count("*").alias("pivots"), F.sum("reach").alias("reach"))
+    held = stored(held.where(parts(F.col("reach"))).drop("reach"))
+    own = chosen.select("region", "pivot").join(held, "region")
+    placed = own.join(close, "pivot").select("region", "node").join(members, ["region", "node"], "left_semi")
+    placed = placed.unionByName(own.select("region", F.col("pivot").alias("node"))).distinct().groupBy("region").agg(F.count("*").alias("placed"))
+    return held.join(placed, "region").where(parts(F.col("placed"))).select("region")
+
+
+def _next_regions(members: DataFrame, chosen: DataFrame, faced: DataFrame | None, known: DataFrame | None, labels: DataFrame, percent: int) -> DataFrame:
     """Regions that still hold more than one component, without the pivots all their members have met.
 
-    ``faced``: members of large regions with all of their pivots, for cells. Where a distance is only bounded, the cells
+    ``faced``: members of regions that cells may part with all of their pivots. Where a distance is only bounded, the cells
     are those that the bounds allow.
     """
     places = members.select("region", "node", "n", "pos", "leads")

@@ -74,3 +74,15 @@ def test_groups_of_near_copies(spark, seed):
 def test_the_order_of_frequent_shingles_changes_nothing(spark, documents, monkeypatch):
     monkeypatch.setattr(jaccard, "FREQUENT_FROM", 2)
     same(documents)
+
+
+def test_only_regions_that_cells_may_part_face_all_pivots(spark):
+    """A region whose members are near none of its pivots stays whole, whatever else they are near."""
+    member = [(region, node) for region, first in ((1, 0), (2, 100), (3, 200), (4, 0)) for node in range(first, first + (20 if region == 3 else 80))]
+    chosen = [(1, 0), (1, 1), (2, 100), (2, 101), (3, 200), (3, 201), (4, 2), (4, 3)]
+    exact = [(100 + i % 2, 100 + i, 0.3, False) for i in range(2, 80)] + [(200, 200 + i, 0.3, False) for i in range(2, 20)]
+    exact += [(0, i, 0.6 if i < 60 else 0.5, False) for i in range(4, 80)] + [(2, 500 + i, 0.1, True) for i in range(90)]
+    rows = lambda data, schema: spark.createDataFrame(data, schema).coalesce(2)
+    got = jaccard._parting(rows(member, "region long, node long"), rows(chosen, "region long, pivot long"),
+                           rows(exact, "a long, b long, exact double, link boolean"), 80)
+    assert [r["region"] for r in got.collect()] == [2]  # 1: too few are near; 3: too small; 4: what its pivot is near is elsewhere
