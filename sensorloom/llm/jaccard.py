@@ -20,18 +20,22 @@ joined need no more comparison, so a region ends once it holds one component; co
 member. Only pairs of a pivot and a member are ever made, never all pairs of a group. Short vectors
 of shingle counts bound distances from below and spare most pairs the sets; every link is decided by exact
 counts.
+
+Tables of shingles are as large as the texts. Each is deleted once the next is made of it, regions are found and sets
+compared in ``SLICES`` turns whose shuffles are not on disk together, and whole sets are made of open pairs only.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sensorloom.llm.common import arrow_rows, give_back, release, stored, text_slices
+from sensorloom.llm.common import arrow_rows, discard, give_back, release, stored, text_slices
 from sensorloom.llm.words import U, cut, mix, sequence_hash
 
 K, PERCENT = 5, 80
@@ -42,9 +46,13 @@ FREQUENT, FREQUENT_FROM, FREQUENT_PER_BATCH = 200_000, 3, 65_536
 #: Shingles that are counted together.
 FREQUENT_OF = 3_000_000
 #: Places of the count vectors: the sum of their differences is at most the number of shingles in one set only.
-PLACES = 128
+PLACES = 256
 #: Bits of the filter that spares texts of no region their second reading; what it lets through in vain only costs.
 FILTER_BITS = 1 << 23
+#: Turns in which regions are found and sets compared.
+SLICES = 3
+#: Rounds whose pairs alone get sets; those of later rounds find the sets of all members left, who are few by then.
+PAIRED_ROUNDS = 2
 #: Regions of fewer members are not worth cells of their own: their pivots are soon all used.
 SPLIT_FROM = 64
 #: Pivots of a region that span cells; regions with more of them are not split any further.
@@ -97,28 +105,30 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """doc, n, two hashes of the whole set, and its prefix in the common order."""
+    """doc, n, two hashes of the whole set, its prefix in the common order, and how many shingles fall on each of ``PLACES`` places (127 at most)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for s in shingle_sets(batch.column("text"), k):
             n = len(s)
             if not n:
-                rows.append((0, 0, 0, s.view(np.int64)))
+                rows.append((0, 0, 0, s.view(np.int64), np.zeros(PLACES, dtype=np.int8)))
                 continue
             with np.errstate(over="ignore"):
                 one, two = mix(s).sum(), mix(s ^ U(0xA5A5A5A5A5A5A5A5)).sum()
             late = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s if len(frequent) else np.zeros(n, dtype=bool)
             prefix = np.concatenate([s[~late], s[late]])[:n - -(-percent * n // 100) + 1]
-            rows.append((n, int(one.view(np.int64)), int(two.view(np.int64)), prefix.view(np.int64)))
-        n, one, two, prefix = zip(*rows, strict=True)
+            counts = np.minimum(np.bincount((s % U(PLACES)).astype(np.int64), minlength=PLACES), 127).astype(np.int8)
+            rows.append((n, int(one.view(np.int64)), int(two.view(np.int64)), prefix.view(np.int64), counts))
+        n, one, two, prefix, counts = zip(*rows, strict=True)
         ends = np.cumsum([0, *map(len, prefix)])
         return pa.RecordBatch.from_arrays(
             [batch.column("doc"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
-             pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(prefix))).cast(pa.list_(pa.int64()))],
-            names=["doc", "n", "one", "two", "prefix"])
+             pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(prefix))).cast(pa.list_(pa.int64())),
+             pa.array(counts, pa.list_(pa.int8()))],
+            names=["doc", "n", "one", "two", "prefix", "counts"])
 
-    return arrow_rows(docs, "doc long, n long, one long, two long, prefix array<long>", run)
+    return arrow_rows(docs, "doc long, n long, one long, two long, prefix array<long>, counts array<tinyint>", run)
 
 
 def _bit(node: str) -> Column:
@@ -135,23 +145,34 @@ def _filter(ids: DataFrame) -> np.ndarray:
     return out.view(U)
 
 
-def _full_sets(docs: DataFrame, wanted: np.ndarray, k: int) -> DataFrame:
-    """node, its set, the set's size, and how many shingles fall on each of ``PLACES`` places (127 at most).
+def _hits(batch: pa.RecordBatch, wanted: np.ndarray) -> pa.Array:
+    bit = batch.column("bit").to_numpy().astype(U)
+    return pa.array((wanted[(bit >> U(6)).astype(np.int64)] >> (bit & U(63))) & U(1) == 1)
 
-    Of all documents whose bit is ``wanted``; the text is not shuffled.
-    """
+
+def _marked(whole: DataFrame, copies: DataFrame) -> DataFrame:
+    """Rows of ``whole`` with ``copied``: false where no other row has their set, for sure; the sets of ``copies`` all have it true."""
+    name = F.xxhash64("n", "one", "two").alias("node")
+    wanted = _filter(copies.select(name))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bit = batch.column("bit").to_numpy().astype(U)
-        batch = batch.filter(pa.array((wanted[(bit >> U(6)).astype(np.int64)] >> (bit & U(63))) & U(1) == 1))
-        sets = list(shingle_sets(batch.column("text"), k))
-        counts = [np.minimum(np.bincount((s % U(PLACES)).astype(np.int64), minlength=PLACES), 127).astype(np.int8) for s in sets]
-        return pa.RecordBatch.from_arrays(
-            [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-             pa.array(counts, pa.list_(pa.int8()))], names=["node", "n", "set", "counts"])
+        return batch.append_column("copied", _hits(batch, wanted)).drop_columns(["bit"])
+
+    rows = whole.select("*", name).withColumn("bit", _bit("node")).drop("node")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in whole.schema)
+    return arrow_rows(rows, f"{kinds}, copied boolean", run)
+
+
+def _full_sets(docs: DataFrame, wanted: np.ndarray, k: int) -> DataFrame:
+    """node and its set, of all documents whose bit is ``wanted``; the text is not shuffled."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        batch = batch.filter(_hits(batch, wanted))
+        sets = pa.array([s.view(np.int64) for s in shingle_sets(batch.column("text"), k)], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([batch.column("node"), sets], names=["node", "set"])
 
     rows = docs.where("doc IS NOT NULL").select(F.col("doc").alias("node"), "text", _bit("doc").alias("bit"))
-    return arrow_rows(rows, "node long, n long, set array<long>, counts array<tinyint>", run)
+    return arrow_rows(rows, "node long, set array<long>", run)
 
 
 def components(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -202,6 +223,16 @@ def _distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.max(F.col("both") * 100 >= F.lit(percent) * (F.col("total") - F.col("both"))).alias("link"))
 
 
+def _sliced_distances(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """As ``_distances``, with sets that are made of the pairs' nodes alone and go when all pairs have been compared."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = release(stored(_full_sets(docs, _filter(wanted), k)))
+    turn = F.pmod(F.xxhash64("a", "b"), F.lit(SLICES))
+    turns = [release(stored(_distances(pairs.where(turn == i), sets, percent))) for i in range(SLICES)]
+    discard(sets)
+    return reduce(DataFrame.unionByName, turns)
+
+
 def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
     """For every document the size of its shingle set and the smallest id it is linked with.
 
@@ -212,27 +243,40 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, text
     share an id are one document: each is linked as any of them is.
     """
     source = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    rows = stored(_sets(source, k, percent, frequent_shingles(source, k)))
+    whole = stored(_sets(source, k, percent, frequent_shingles(source, k)))
+    rows = stored(whole.select("doc", "n", "one", "two"))
     named = rows.where("n > 0 AND doc IS NOT NULL")
-    nodes = named.groupBy("n", "one", "two").agg(F.min("doc").alias("node"), F.first("prefix").alias("prefix"))
+    # copies of one set are one node; only sets that have some are shuffled
+    marked = stored(_marked(whole.where("n > 0 AND doc IS NOT NULL"), named.groupBy("n", "one", "two").count().where("count > 1")))
+    discard(whole)
+    several = stored(marked.where("copied").groupBy("n", "one", "two").agg(F.min("doc").alias("node"), F.first("prefix").alias("prefix")).select("node", "n", "prefix"))
+    nodes = marked.where("NOT copied").select(F.col("doc").alias("node"), "n", "prefix").unionByName(several)
     shared = nodes.select("node", F.posexplode("prefix").alias("pos", "region"), "n").select("region", "node", (F.col("n") * _PLACE + F.col("pos")).alias("at"))
     # a link's smaller set has the first common shingle among its first ninth (at 80 percent)
     leads = F.col("pos") * (100 + percent) <= F.col("n") * (100 - percent)
     n, pos = F.shiftright("at", 31).alias("n"), F.col("at").bitwiseAND(_PLACE - 1).alias("pos")
-    # nodes and, above them, leading nodes of a region, in one number
-    regions = shared.select("region", n, pos).select("region", F.when(leads, F.lit(_PLACE + 1)).otherwise(F.lit(1)).alias("one")).groupBy("region").agg(F.sum("one").alias("sum"))
-    regions = release(stored(regions.where(f"sum > {_PLACE} AND sum % {_PLACE} > 1").select("region")))
     # sets within the radius differ in size by one step of this scale at most; a cell holds two steps
     step = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * math.log(100 / percent)))
     cell = F.explode(F.array(step, step - 1)).alias("cell")
-    sized = shared.join(regions, "region").select("region", "node", n, pos).select("region", "node", "n", "pos", leads.alias("leads"), cell)
-    sized = sized.select(F.xxhash64("region", "cell").alias("region"), "node", "n", "pos", "leads")
-    sized = release(stored(sized.groupBy("region", "node").agg(F.min(F.struct("pos", "n", "leads")).alias("m")).select("region", "node", "m.n", "m.pos", "m.leads")))
+    turns = []
+    for turn in range(SLICES):
+        part = shared.where(F.pmod("region", F.lit(SLICES)) == turn)
+        # nodes and, above them, leading nodes of a region, in one number
+        regions = part.select("region", n, pos).select("region", F.when(leads, F.lit(_PLACE + 1)).otherwise(F.lit(1)).alias("one")).groupBy("region").agg(F.sum("one").alias("sum"))
+        regions = release(stored(regions.where(f"sum > {_PLACE} AND sum % {_PLACE} > 1").select("region")))
+        sized = part.join(regions, "region").select("region", "node", n, pos).select("region", "node", "n", "pos", leads.alias("leads"), cell)
+        sized = sized.select(F.xxhash64("region", "cell").alias("region"), "node", "n", "pos", "leads")
+        turns.append(release(stored(sized.groupBy("region", "node").agg(F.min(F.struct("pos", "n", "leads")).alias("m")).select("region", "node", "m.n", "m.pos", "m.leads"))))
+        discard(regions)
+    sized = reduce(DataFrame.unionByName, turns)
+    counted = release(stored(marked.select(F.col("doc").alias("node"), "n", "counts")))
+    discard(marked, several)
     members = stored(_unsettled(sized.withColumn("label", F.col("node"))))
     ids = members.select("node").distinct()
     labels = stored(ids.withColumn("label", F.col("node")))
-    sets = release(stored(_full_sets(source, _filter(ids), k)))
-    pivots = 1
+    counts = release(stored(counted.join(ids, "node", "left_semi")))
+    discard(counted, *turns)
+    pivots, rounds, sets = 1, 0, None
     while not members.isEmpty():
         turn = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(pivots))
         chosen = members.where("leads").groupBy("region", turn.alias("turn")).agg(F.min(F.struct(F.xxhash64("node"), "node", "label", "n", "pos")).alias("p"))
@@ -242,8 +286,13 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, text
         both = F.least(F.col("n") - F.col("pos"), F.col("pivot_n") - F.col("pivot_pos"))
         near = members.join(chosen, "region").where((F.col("label") != F.col("pivot_label")) & (both * (100 + percent) >= percent * (F.col("n") + F.col("pivot_n"))))
         near = stored(near.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
-        bounds = stored(_bounds(near, sets, percent))
-        exact = release(stored(_distances(bounds.where("open").select("a", "b"), sets, percent)))
+        bounds = stored(_bounds(near, counts, percent))
+        opened, rounds = bounds.where("open").select("a", "b"), rounds + 1
+        if rounds <= PAIRED_ROUNDS:
+            exact = _sliced_distances(opened, source, k, percent)
+        else:
+            sets = release(stored(_full_sets(source, _filter(members.select("node").distinct()), k))) if sets is None else sets
+            exact = release(stored(_distances(opened, sets, percent)))
         labels = components(labels, exact.where("link").select("a", "b"))
         faced = known = None
         if 1 < pivots <= CELL_PIVOTS:
@@ -251,9 +300,10 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, text
             if not parting.isEmpty():
                 faced = stored(members.join(parting, "region").join(chosen, "region").withColumns({"a": F.least("node", "pivot"), "b": F.greatest("node", "pivot")}))
                 more = faced.where("label != pivot_label").select("a", "b").distinct().join(near, ["a", "b"], "left_anti")
-                known = bounds.unionByName(_bounds(more, sets, percent)).join(exact.drop("link"), ["a", "b"], "left")
+                known = bounds.unionByName(_bounds(more, counts, percent)).join(exact.drop("link"), ["a", "b"], "left")
         members = release(_next_regions(members, chosen, faced, known, labels, percent))
         pivots *= 4 if pivots < CELL_PIVOTS else 8
+    discard(counts, *([] if sets is None else [sets]))
     found = named.groupBy("n", "one", "two").agg(F.min("doc").alias("node")).join(labels, "node", "left").select("n", "one", "two", F.coalesce("label", "node").alias("label"))
     return (
         rows.select("doc", "n", "one", "two").join(found, ["n", "one", "two"], "left")

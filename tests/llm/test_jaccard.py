@@ -1,11 +1,13 @@
 """Links between similar shingle sets, against all pairs."""
 
+import os
 import random
 import re
 
 import pytest
 
 from sensorloom.llm import jaccard
+from sensorloom.session import shared_folder
 from tests.llm.conftest import rows_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -86,3 +88,26 @@ def test_only_regions_that_cells_may_part_face_all_pivots(spark):
     got = jaccard._parting(rows(member, "region long, node long"), rows(chosen, "region long, pivot long"),
                            rows(exact, "a long, b long, exact double, link boolean"), 80)
     assert [r["region"] for r in got.collect()] == [2]  # 1: too few are near; 3: too small; 4: what its pivot is near is elsewhere
+
+
+def test_tables_of_shingles_do_not_stay(spark):
+    """Large tables go once the next is made of them, and whole sets are made of documents in open pairs only."""
+    rng = random.Random(3)
+    near = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(near[:30 + i % 2])) for i in range(6)] + [(6, " ".join(near[:30]))]
+    # many that share a fifth of their shingles with all others of their kind and are compared by bounds alone
+    rows += [(10 + i, " ".join([f"v{j}" for j in range(30)] + [f"u{i}x{j}" for j in range(60)])) for i in range(40)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2).localCheckpoint()
+    folder = shared_folder(spark).removeprefix("file:")
+    before, made = set(os.listdir(folder)), []
+    whole = jaccard._full_sets
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(jaccard, "_full_sets", lambda *a: made.append(whole(*a)) or made[-1])
+        found = jaccard.jaccard_components(docs)
+    got = {r["doc_id"]: r["component_id"] for r in rows_of(found)}
+    assert got == {d: 0 if d < 10 else d for d, _ in rows}
+    assert all({r["node"] for r in rows_of(sets)} <= set(range(10)) for sets in made)
+    left = [f for f in set(os.listdir(folder)) - before if not f.startswith(".")]
+    names = [set(spark.read.parquet(f"{folder}/{f}").columns) for f in left if os.path.isdir(f"{folder}/{f}")]
+    assert names and not any({"prefix", "set", "counts"} & n for n in names)
